@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sample_key, uniform
-from .spread import join_stats, ranked, running_sum, value_bucket
+from .spread import join_stats, ranked, value_bucket, value_counts
 
 
 def question_scores(df: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def question_scores(df: DataFrame) -> DataFrame:
     votes = df.groupBy("uid", "answer").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("correct").alias("n_correct"),
-        F.min(F.struct(F.unix_micros("arrival").alias("t"), "rollout_id")).alias("seen"),
-        F.min_by("correct", F.struct(F.unix_micros("arrival"), F.col("rollout_id"))).alias("grade"),
+        F.min(F.struct(F.col("arrival").alias("t"), "rollout_id")).alias("seen"),
+        F.min_by("correct", F.struct("arrival", "rollout_id")).alias("grade"),
     )
     order = F.struct(F.col("n"), -F.col("seen.t"), -F.col("seen.rollout_id"))
     return votes.groupBy("uid").agg(
@@ -29,25 +29,25 @@ def question_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def best_worst(df: DataFrame, keys: list[str], value: str, row_id: str) -> DataFrame:
+def best_worst(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact expectation and deviation of the best and worst of n draws with replacement, n = 2,4,8,..,N.
 
-    With values sorted ascending, the i-th of N is the best of n draws with chance (i/N)^n - ((i-1)/N)^n.
+    With values sorted ascending, the i-th of N is the best of n draws with chance (i/N)^n - ((i-1)/N)^n;
+    equal values add up to one difference, so distinct values with counts are enough.
     """
-    bucket = value_bucket(df, F.col(value), F.col(row_id), parts=64)
-    rows = ranked(df.select(*keys, value, row_id), keys, [F.col(value), F.col(row_id)], bucket, "i")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
-    rows = rows.join(sizes, keys).where(F.col("N") > 1)
+    rows = value_counts(df, keys, F.col(value))
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("size"))
+    rows = rows.join(sizes, keys).where(F.col("size") > 1)
     powers = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.ceil(F.log2("N")) - 1, F.lit(1)).cast("int")),
+        F.sequence(F.lit(1), F.greatest(F.ceil(F.log2("size")) - 1, F.lit(1)).cast("int")),
         lambda e: F.pow(F.lit(2.0), e).cast("bigint"),
     )
-    ns = F.array_distinct(F.concat(F.filter(powers, lambda x: x < F.col("N")), F.array(F.col("N"))))
+    ns = F.array_distinct(F.concat(F.filter(powers, lambda x: x < F.col("size")), F.array(F.col("size"))))
     rows = rows.withColumn("n", F.explode(ns))
-    up = lambda a: F.pow(a / F.col("N"), F.col("n"))
-    i, N, v = F.col("i"), F.col("N"), F.col(value)
-    best = up(i) - up(i - 1)
-    worst = up(N - i + 1) - up(N - i)
+    up = lambda a: F.pow(a / F.col("size"), F.col("n"))
+    hi, lo, N, v = F.col("hi"), F.col("hi") - F.col("c"), F.col("size"), F.col("v")
+    best = up(hi) - up(lo)
+    worst = up(N - lo) - up(N - hi)
     out = rows.groupBy(*keys, "n").agg(
         F.sum(v * best).alias("best_mean"),
         F.sum(v * v * best).alias("b2"),
@@ -75,12 +75,12 @@ def majority_draws(df: DataFrame, keys: list[str], vote: str, value: str, row_id
     rows = ranked(
         df.select(*keys, vote, value, row_id), keys, [F.col(row_id)], value_bucket(df, F.col(row_id), parts=256), "i"
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N")).where(F.col("N") >= n)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= n)
     picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn(
         "k", F.explode(F.sequence(F.lit(1), F.lit(n)))
     )
     key = sample_key(seed, *[F.col(c) for c in keys], F.col("draw"), F.col("k"))
-    picks = picks.withColumn("i", F.floor(uniform(key) * F.col("N")) + 1)
+    picks = picks.withColumn("i", F.floor(uniform(key) * F.col("size")) + 1)
     # the row side has unique (keys, i); a prompt's picks spread over its row positions
     got = picks.join(rows, [*keys, "i"])
     per_draw = vote_value(got, [*keys, "draw"], vote, value, ["k"])
@@ -164,8 +164,8 @@ def trajectory_counters(df: DataFrame) -> DataFrame:
 
 
 def centred_rank(df: DataFrame, col: str, row_id: str, name: str) -> DataFrame:
-    """Average rank (ties share the mean of their positions) over the whole table, computed per distinct value."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
-    below = running_sum(counts, [], [F.col(col)], value_bucket(counts, F.col(col), parts=1024), {"__hi": F.col("__c")})
-    ranks = below.select(col, (F.col("__hi") - (F.col("__c") - 1) / 2).alias(name), F.col("__c").alias("__n"))
+    """Average rank over the whole table (ties share the mean of their positions), per distinct value."""
+    ranks = value_counts(df, [], F.col(col), parts=4096).select(
+        F.col("v").alias(col), (F.col("hi") - (F.col("c") - 1) / 2).alias(name), F.col("c").alias("__n")
+    )
     return join_stats(df, ranks, [col], [row_id]).drop("__n")

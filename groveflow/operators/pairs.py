@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sample_key, sigmoid, stable_id
-from .spread import attach_stats, hash_bucket, join_stats, ranked, running_sum, value_bucket
+from .spread import attach_stats, hash_bucket, join_stats, ranked, running_sum, value_bucket, value_counts
 
 
 def sample_pairs(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -45,9 +45,9 @@ def opposite_targets(df: DataFrame) -> DataFrame:
 
 def best_of_n_weight(df: DataFrame) -> DataFrame:
     """n * P(score_j <= score_i)^(n-1) within the prompt, from counts per distinct score."""
-    counts = df.groupBy("uid", "score").agg(F.count(F.lit(1)).alias("__n"))
-    bucket = value_bucket(counts, F.col("score"), parts=256)
-    cum = running_sum(counts, ["uid"], [F.col("score")], bucket, {"le": F.col("__n")})
+    cum = value_counts(df, ["uid"], F.col("score")).select(
+        "uid", F.col("v").alias("score"), F.col("c").alias("__n"), F.col("hi").alias("le")
+    )
     n = df.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     cum = cum.join(n, "uid").withColumn("weight", F.col("n") * F.pow(F.col("le") / F.col("n"), F.col("n") - 1))
     return join_stats(df, cum.drop("le", "n"), ["uid", "score"], ["rollout_id"]).drop("__n")
@@ -62,16 +62,20 @@ def detached_loss(df: DataFrame, beta: float = 1.0) -> DataFrame:
 def ranking_accuracy(df: DataFrame) -> DataFrame:
     """Share of (correct, wrong) pairs of a prompt that the score ranks right; 0.5 when all are equal.
 
-    A correct row outranks every wrong row before it in (score, position): running counts instead of pairs.
+    Pairs are counted, not listed: wrong rows at lower scores come from running counts over the distinct
+    scores, wrong rows at the same score count when they stand earlier (running counts by position).
     """
-    bucket = value_bucket(df, F.col("score"), F.col("rollout_id"), parts=64)
-    rows = running_sum(df, ["uid"], [F.col("score"), F.col("rollout_id")], bucket, {"wrong_before": 1 - F.col("correct")})
-    return rows.groupBy("uid").agg(
-        F.coalesce(
-            F.sum(F.col("correct") * F.col("wrong_before")) / F.nullif(F.sum("correct") * F.sum(1 - F.col("correct")), F.lit(0)),
-            F.lit(0.5),
-        ).alias("accuracy")
+    wrong = 1 - F.col("correct")
+    tie = running_sum(
+        df, ["uid", "score"], [F.col("rollout_id")], value_bucket(df, F.col("rollout_id")), {"tied": wrong}
+    )
+    level = tie.groupBy("uid", "score").agg(
+        F.sum("correct").alias("good"), F.sum(wrong).alias("bad"), F.sum(F.col("correct") * F.col("tied")).alias("tied")
     )
+    run = running_sum(level, ["uid"], [F.col("score")], value_bucket(level, F.col("score")), {"upto": F.col("bad")})
+    hits = F.sum(F.col("good") * (F.col("upto") - F.col("bad")) + F.col("tied"))
+    pairs = F.sum("good") * F.sum("bad")
+    return run.groupBy("uid").agg(F.coalesce(hits / F.nullif(pairs, F.lit(0)), F.lit(0.5)).alias("accuracy"))
 
 
 def action_ranking(df: DataFrame) -> DataFrame:

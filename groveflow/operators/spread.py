@@ -35,14 +35,19 @@ def attach_stats(
     salt while their rows spread over the salts by a hash of the unique row key.
     """
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggs.items()])
-    return join_stats(df, stats, keys, row_key, hot_rows, salts, how).drop("__n")
+    return join_stats(df, stats, keys, row_key, None, hot_rows, salts, how).drop("__n")
 
 
-def join_stats(df, stats, keys, row_key, hot_rows=HOT_ROWS, salts=SALTS, how="inner"):
-    """Join rows with one-row-per-key `stats` that carries the group size `__n`."""
-    total = scalar(df, F.count(F.lit(1)))
+def join_stats(df, stats, keys, row_key, sizes=None, hot_rows=HOT_ROWS, salts=SALTS, how="inner"):
+    """Join rows with one-row-per-key `stats` that carries the group size `__n`.
+
+    Hot keys are read from `sizes` (keys, __n), by default `stats` itself; pass a stored table where `stats`
+    is a long derivation, so that it is computed once.
+    """
+    sizes = stats.select(*keys, "__n") if sizes is None else sizes
+    total = scalar(sizes, F.sum("__n"))
     is_hot = (F.col("__n") > F.lit(hot_rows)) & (F.col("__n") * HOT_PARTS > total)
-    hot = stats.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
+    hot = sizes.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
     rows = df.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt",
         F.when(F.col("__hot"), F.pmod(F.xxhash64(*row_key), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
@@ -58,21 +63,17 @@ def hash_bucket(key: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
-def value_bucket(df: DataFrame, *cols: Column, parts: int = 64) -> Column:
-    """Order bucket for an ascending lexicographic order over numeric columns.
+def value_bucket(df: DataFrame, col: Column, parts: int = 256) -> Column:
+    """Order bucket for an ascending numeric column: equal widths between its minimum and maximum.
 
-    Each column is cut into equal widths between its minimum and maximum. Both are exact and
-    order-independent, so recomputed tasks always agree on the buckets.
+    Both ends are exact and order-independent, so recomputed tasks always agree on the buckets. One value
+    never spans buckets: where a value may repeat without bound, count the distinct values first.
     """
-    bucket = F.lit(0)
-    for col in cols:
-        c = col.cast("double")
-        ends = scalar(df, F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")))
-        lo, hi = ends["lo"], ends["hi"]
-        share = F.when(hi > lo, (c - lo) / (hi - lo)).otherwise(F.lit(0.0))
-        cell = F.least(F.floor(share * parts), F.lit(parts - 1))
-        bucket = bucket * parts + F.coalesce(cell, F.lit(0))
-    return bucket.cast("int")
+    c = col.cast("double")
+    ends = scalar(df, F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")))
+    lo, hi = ends["lo"], ends["hi"]
+    share = F.when(hi > lo, (c - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    return F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("int")
 
 
 def running_sum(
@@ -134,23 +135,23 @@ def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return out.withColumnRenamed("__rn", name) if name else out.drop("__rn")
 
 
-def exact_quantiles(df: DataFrame, value: Column, tie: Column, probs: list[float], parts: int = 256) -> DataFrame:
-    """Exact linearly interpolated quantiles of a column: (prob, value), without one task seeing all rows."""
-    rows = df.select(value.cast("double").alias("__v"), tie.alias("__t")).where(F.col("__v").isNotNull())
-    pos = ranked(rows, [], [F.col("__v"), F.col("__t")], value_bucket(rows, F.col("__v"), parts=parts), "__r")
-    n = scalar(rows, F.count(F.lit(1)))
-    spark = df.sparkSession
-    want = spark.createDataFrame([(float(p),) for p in probs], "prob double").withColumn(
-        "at", F.col("prob") * (n - 1)
-    )
-    frac = F.col("at") - F.floor("at")
-    want = want.withColumn(
-        "pick",
-        F.explode(
-            F.array(
-                F.struct((F.floor("at") + 1).alias("r"), (1 - frac).alias("w")),
-                F.struct((F.ceil("at") + 1).alias("r"), frac.alias("w")),
-            )
-        ),
-    ).select("prob", F.col("pick.r").alias("__r"), F.col("pick.w").alias("w"))
-    return pos.join(F.broadcast(want), "__r").groupBy("prob").agg(F.sum(F.col("w") * F.col("__v")).alias("value"))
+def value_counts(df: DataFrame, keys: list[str], value: Column, parts: int = 256) -> DataFrame:
+    """Distinct values with their multiplicity `c` and the running count `hi` in ascending order."""
+    counts = df.select(*keys, value.alias("v")).where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    return running_sum(counts, keys, [F.col("v")], value_bucket(counts, F.col("v"), parts), {"hi": F.col("c")})
+
+
+def exact_quantiles(df: DataFrame, value: Column, probs: list[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles (prob, value) from running counts of the distinct values."""
+    value = value.cast("double")
+    n = scalar(df, F.count(value))
+    picks = []
+    for p in probs:
+        at = F.lit(float(p)) * (n - 1)
+        frac = at - F.floor(at)
+        entry = lambda r, w: F.struct(F.lit(float(p)).alias("prob"), r.alias("r"), w.alias("w"))
+        picks += [entry(F.floor(at) + 1, 1 - frac), entry(F.ceil(at) + 1, frac)]
+    rows = value_counts(df, [], value, parts=4096)
+    mine = F.filter(F.array(*picks), lambda e: (e["r"] > F.col("hi") - F.col("c")) & (e["r"] <= F.col("hi")))
+    hit = rows.select("v", F.explode(mine).alias("e"))
+    return hit.groupBy(F.col("e.prob").alias("prob")).agg(F.sum(F.col("e.w") * F.col("v")).alias("value"))

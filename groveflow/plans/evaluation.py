@@ -65,7 +65,7 @@ def mean_std(spark, path):
   SELECT data_source, n, count(*) AS prompts, {R('avg(bm)')} AS best_mean, {R('avg(sqrt(greatest(b2-bm*bm,0.0)))')} AS best_std,
     {R('avg(wm)')} AS worst_mean, {R('avg(sqrt(greatest(w2-wm*wm,0.0)))')} AS worst_std FROM w GROUP BY 1,2""")
 def best_worst(spark, path):
-    per = E.best_worst(views.rollouts_by_source(spark, path), ["data_source", "uid"], "score", "rollout_id")
+    per = E.best_worst(views.rollouts_by_source(spark, path), ["data_source", "uid"], "score")
     stats = ["best_mean", "best_std", "worst_mean", "worst_std"]
     return per.groupBy("data_source", "n").agg(F.count(F.lit(1)).alias("prompts"), *[r6(F.avg(c)).alias(c) for c in stats])
 
@@ -85,7 +85,7 @@ def majority_draws(spark, path):
   m AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, seen) AS rn FROM v)
   SELECT uid, {R('val')} AS majority_value FROM m WHERE rn=1""")
 def majority_value(spark, path):
-    df = views.rollouts(spark, path).withColumn("t", F.unix_micros("arrival"))
+    df = views.rollouts(spark, path).withColumnRenamed("arrival", "t")
     out = E.vote_value(df, ["uid"], "pred", "score", ["t", "rollout_id"])
     return out.select("uid", r6("majority_value").alias("majority_value"))
 
@@ -251,16 +251,16 @@ def candidate_pairs(spark, path):
     return P.shortest_gap_pairs(t, 0.1).select("parent", "i", "j", r6("gap").alias("gap"))
 
 
-@query("a33_advantage_histogram", f"""WITH {VALUED}, b AS (SELECT mask, CASE WHEN advantage< -1 THEN 0 WHEN advantage>=2 THEN 31 ELSE floor((advantage+1)/3*30)+1 END::BIGINT AS bin FROM valued)
+@query("a33_advantage_histogram", f"""WITH {VALUED}, b AS (SELECT mask, CASE WHEN advantage< -1 THEN 0 WHEN advantage>=2 THEN 31 ELSE floor(30*(advantage+1)/3)+1 END::BIGINT AS bin FROM valued)
   SELECT mask, bin, count(*) AS n FROM b GROUP BY ALL""")
 def histogram(spark, path):
     return E.token_bins(valued_tokens(spark, path), F.col("advantage"), -1.0, 2.0, 30, ["mask"])
 
 
-@query("a34_metric_over_runs", f"""WITH {ROLLOUTS}, m AS (SELECT date_part('year',arrival)::INT AS run, pred, avg(score) AS v FROM rollouts GROUP BY ALL)
+@query("a34_metric_over_runs", f"""WITH {ROLLOUTS}, m AS (SELECT (arrival//365)::INT AS run, pred, avg(score) AS v FROM rollouts GROUP BY ALL)
   SELECT pred, count(*) AS runs, {R('avg(v)')} AS mean, {R('stddev_samp(v)')} AS std FROM m GROUP BY 1""")
 def over_runs(spark, path):
-    m = views.rollouts(spark, path).groupBy(F.year("arrival").alias("run"), "pred").agg(F.avg("score").alias("v"))
+    m = views.rollouts(spark, path).groupBy(F.floor(F.col("arrival") / 365).alias("run"), "pred").agg(F.avg("score").alias("v"))
     return m.groupBy("pred").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("std"))
 
 

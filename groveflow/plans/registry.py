@@ -36,7 +36,7 @@ def U(expr: str) -> str:
 # SQL twins of sources.views
 ROLLOUTS = """rollouts AS (SELECT o_custkey AS uid, o_orderkey AS rollout_id, ln(o_totalprice) AS score,
   (o_orderstatus='F')::INT AS correct, o_orderpriority AS pred,
-  CAST(floor(o_totalprice/1000) AS BIGINT)+1 AS n_tokens, o_orderdate AS arrival FROM orders)"""
+  CAST(floor(o_totalprice/1000) AS BIGINT)+1 AS n_tokens, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INT AS arrival FROM orders)"""
 SOURCED = ROLLOUTS + """, sourced AS (SELECT r.*, c_mktsegment AS data_source FROM rollouts r
   JOIN customer ON c_custkey=uid)"""
 TOKENS = """tokens AS (SELECT l_orderkey AS rollout_id, row_number() OVER w - 1 AS pos,

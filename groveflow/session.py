@@ -47,10 +47,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/groveflow/{name}-{os.urandom(6).hex()}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of an iterative result; survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def materialise(df, name: str = "step"):
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage of iterative results and keeps tables that several branches use from being computed
+    again; survives the loss of executors, and keeps column pruning and statistics.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -17,7 +17,7 @@ def rollouts(spark, path) -> DataFrame:
         (F.col("o_orderstatus") == "F").cast("int").alias("correct"),
         F.col("o_orderpriority").alias("pred"),
         (F.floor(F.col("o_totalprice") / 1000) + 1).alias("n_tokens"),
-        F.col("o_orderdate").alias("arrival"),
+        F.unix_date(F.to_date("o_orderdate")).alias("arrival"),
     )
 
 
