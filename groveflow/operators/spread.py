@@ -141,17 +141,21 @@ def value_counts(df: DataFrame, keys: list[str], value: Column, parts: int = 256
     return running_sum(counts, keys, [F.col("v")], value_bucket(counts, F.col("v"), parts), {"hi": F.col("c")})
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: list[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles (prob, value) from running counts of the distinct values."""
+def exact_quantiles(df: DataFrame, value: Column, probs: list[float], keys: list[str] | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles (keys, prob, value) from running counts of the distinct values."""
+    keys = keys or []
     value = value.cast("double")
-    n = scalar(df, F.count(value))
+    rows = value_counts(df, keys, value, parts=256 if keys else 4096)
+    if keys:
+        rows = rows.join(df.groupBy(*keys).agg(F.count(value).alias("n")), keys)
+    else:
+        rows = rows.withColumn("n", scalar(df, F.count(value)))
     picks = []
     for p in probs:
-        at = F.lit(float(p)) * (n - 1)
+        at = F.lit(float(p)) * (F.col("n") - 1)
         frac = at - F.floor(at)
         entry = lambda r, w: F.struct(F.lit(float(p)).alias("prob"), r.alias("r"), w.alias("w"))
         picks += [entry(F.floor(at) + 1, 1 - frac), entry(F.ceil(at) + 1, frac)]
-    rows = value_counts(df, [], value, parts=4096)
     mine = F.filter(F.array(*picks), lambda e: (e["r"] > F.col("hi") - F.col("c")) & (e["r"] <= F.col("hi")))
-    hit = rows.select("v", F.explode(mine).alias("e"))
-    return hit.groupBy(F.col("e.prob").alias("prob")).agg(F.sum(F.col("e.w") * F.col("v")).alias("value"))
+    hit = rows.select(*keys, "v", F.explode(mine).alias("e"))
+    return hit.groupBy(*keys, F.col("e.prob").alias("prob")).agg(F.sum(F.col("e.w") * F.col("v")).alias("value"))

@@ -305,11 +305,11 @@ def sibling_bleu(texts: DataFrame, order: int = 4) -> DataFrame:
     """
     words = texts.select("parent", "i", F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "").alias("w"))
     words = words.withColumn("len", F.size("w"))
+    gram = lambda n: F.transform(
+        F.sequence(F.lit(1), F.col("len") - (n - 1)), lambda p: F.array_join(F.slice("w", p, n), " ")
+    )
     grams = [
-        words.where(F.col("len") >= n).select(
-            "parent", "i", F.lit(n).alias("n"),
-            F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - (n - 1)), lambda p, n=n: F.array_join(F.slice("w", p, n), " "))).alias("g"),
-        )
+        words.where(F.col("len") >= n).select("parent", "i", F.lit(n).alias("n"), F.explode(gram(n)).alias("g"))
         for n in range(1, order + 1)
     ]
     counts = reduce(DataFrame.unionByName, grams).groupBy("parent", "i", "n", "g").agg(F.count(F.lit(1)).alias("c"))

@@ -1,4 +1,4 @@
 """Registered queries; importing the plan modules fills the registry."""
 
-from . import advantages, evaluation, trees  # noqa: F401
+from . import advantages, allocation, evaluation, trees  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
