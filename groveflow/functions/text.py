@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """Remove white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def last_match(text: Column, pattern: str, group: int = 0) -> Column:
     """Last match of a pattern or null."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -50,7 +55,7 @@ REMOVED = [
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points",
     "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students",
     "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}",
-    "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\;", ",\\!", "{,}", '"', "\\dots",
+    "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
 
 
@@ -76,7 +81,7 @@ def normal_answer(text: Column) -> Column:
         x = F.regexp_replace(x, pattern, new)
     x = F.replace(x, F.lit("$"), F.lit(""))
     digits = F.replace(x, F.lit(","), F.lit(""))
-    return F.trim(F.when(digits.rlike(r"^\d+$"), digits).otherwise(x))
+    return strip(F.when(digits.rlike(r"^\d+$"), digits).otherwise(x))
 
 
 def latex_normal(text: Column) -> Column:
@@ -102,14 +107,13 @@ def latex_normal(text: Column) -> Column:
 def qa_normal(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single spaces."""
     x = F.regexp_replace(F.lower(text), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]""", "")
-    x = F.regexp_replace(x, r"\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    x = F.regexp_replace(x, r"(?U)\b(a|an|the)\b", " ")
+    return strip(F.regexp_replace(x, r"\s+", " "))
 
 
 def answer_tag(text: Column) -> Column:
-    """Content of the last <answer> tag when the text has at least two of them (the first is the prompt's)."""
-    found = F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))
-    return F.when(F.size(found) > 1, F.trim(F.try_element_at(found, F.lit(-1))))
+    """Content of the last <answer> tag, trimmed; null without one."""
+    return strip(last_match(text, r"(?s)<answer>(.*?)</answer>", 1))
 
 
 def count_of(text: Column, needle: str) -> Column:
@@ -120,22 +124,27 @@ def count_of(text: Column, needle: str) -> Column:
 def boxed_or_delimited(prompt: Column, text: Column) -> Column:
     """Parse mode from the prompt: `# answer` means exactly one delimiter split, otherwise boxed."""
     parts = F.split(text, r"# answer")
-    by_mark = F.when(F.size(parts) == 2, F.trim(F.element_at(parts, 2)))
+    by_mark = F.when(F.size(parts) == 2, strip(F.element_at(parts, 2)))
     return F.when(F.contains(F.lower(prompt), F.lit("# answer")), by_mark).otherwise(last_boxed(text))
 
 
-def step_offsets(text: Column, delimiter: str = "\n") -> Column:
-    """Start offsets of the steps of a solution plus its length; leading empty steps merge into the first
-    real one and an answer part after `####` stays with the last step."""
-    body = F.element_at(F.split(text, "####"), 1)
-    lead = F.length(F.regexp_extract(body, "^(" + delimiter + ")*", 0))
-    trimmed = F.regexp_replace(F.substr(body, lead + 1), "(" + delimiter + ")+$", "")
-    sizes = F.transform(F.split(trimmed, delimiter), lambda s: F.length(s) + len(delimiter))
-    ends = F.aggregate(
-        sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
+def step_offsets(text: Column, delimiter: str = "\n", answer_mark: str = "####") -> Column:
+    """Start offsets of the steps of a solution plus its length. Steps end before a delimiter; leading blank
+    steps belong to the first real one, and what follows the last real step belongs to it when an answer part
+    (after `answer_mark`) exists."""
+    parts = F.split(text, answer_mark)
+    has_answer = F.size(parts) == 2
+    body = F.when(has_answer, F.element_at(parts, 1)).otherwise(text)
+    steps = F.split(body, delimiter)
+    ends = F.slice(
+        F.aggregate(steps, F.array(F.lit(-len(delimiter))), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + F.length(s) + len(delimiter))),
+        2, F.size(steps) - 1,
     )
-    inner = F.transform(F.slice(ends, 2, F.greatest(F.size(ends) - 2, F.lit(0))), lambda e: e + lead)
-    return F.concat(F.array(F.lit(0)), inner, F.array(F.length(text)))
+    real = F.transform(steps, lambda s, i: F.when(s.rlike(r"\S"), i))
+    known = F.filter(real, lambda i: i.isNotNull())
+    first, last = F.coalesce(F.array_min(known), F.lit(0)), F.coalesce(F.array_max(known), F.lit(0))
+    cuts = F.transform(ends, lambda e, i: F.when((i >= first) & (~has_answer | (i < last)), e))
+    return F.concat(F.array(F.lit(0)), F.filter(cuts, lambda e: e.isNotNull()), F.array(F.length(text)))
 
 
 def strip_calculator(text: Column) -> Column:
@@ -148,12 +157,12 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.element_at(F.split(F.trim(text), "\n"), 1)
+    return F.element_at(F.split(strip(text), "\n"), 1)
 
 
 def clean_completion(text: Column) -> Column:
     """Sentence-completion clean-up: titles and bracketed marks go, double spaces collapse once."""
-    x = F.replace(F.trim(text), F.lit(" [title]"), F.lit(". "))
+    x = F.replace(strip(text), F.lit(" [title]"), F.lit(". "))
     x = F.regexp_replace(x, r"\[.*?\]", "")
     return F.replace(x, F.lit("  "), F.lit(" "))
 
