@@ -50,6 +50,24 @@ def delimited_solution(df: DataFrame, solution: str) -> DataFrame:
     return df.withColumns({"reasoning": X.strip(F.element_at(parts, 1)), "answer": X.strip(F.try_element_at(parts, F.lit(2)))})
 
 
+def math_fields(df: DataFrame) -> DataFrame:
+    """Rename the question, take a missing answer from the solution's last box, make the answer a list."""
+    answer = F.coalesce(F.nullif(X.strip(F.col("answer")), F.lit("")), X.last_boxed(F.col("solution")))
+    return df.withColumnRenamed("question", "problem").withColumn("answer", F.array(answer))
+
+
+def search_rows(df: DataFrame, system: str) -> DataFrame:
+    """Search-QA prompts: tagged source, system and user message, tool arguments; the ground truth falls back to the
+    golden answers."""
+    truth = F.coalesce("ground_truth", "golden_answers")
+    return df.select(
+        F.concat(F.lit("search_"), F.col("source")).alias("data_source"), "doc_id",
+        F.array(message("system", F.lit(system)), message("user", F.col("question"))).alias("prompt"),
+        F.struct(F.lit("rule").alias("style"), truth.alias("target")).alias("reward_model"),
+        F.struct(F.lit(True).alias("need_tools"), F.struct(F.col("doc_id"), F.col("question"), truth.alias("ground_truth")).alias("tools_kwargs")).alias("extra_info"),
+    )
+
+
 def preference_to_sft(df: DataFrame) -> DataFrame:
     """Chosen and rejected responses both become (prompt, response) rows."""
     return df.select("prompt", F.explode(F.array("chosen", "rejected")).alias("response"))

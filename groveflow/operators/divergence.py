@@ -209,3 +209,11 @@ def proxy(method: str, c: str = "c", variance: str = "variance", tv2: str = "tv2
         "empirical_variance": lambda: F.greatest(F.col(variance), F.lit(0.0)),
         "external": lambda: F.greatest(F.col(external), F.lit(0.0)),
     }[method]()
+
+
+def eps_for_depth(depth: Column, table: dict[int, float], default: float) -> Column:
+    """Tail epsilon of the nearest configured depth at or below a depth."""
+    out = F.lit(float(default))
+    for d in sorted(table):
+        out = F.when(depth >= d, F.lit(float(table[d]))).otherwise(out)
+    return out

@@ -28,14 +28,15 @@ def inner_product_top_k(queries: DataFrame, corpus: DataFrame, k: int, block_row
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        left = left.sort_values("doc_id")  # column order is the tie order
         a = np.stack(left["vector"].to_numpy()).astype("float64")
         b = np.stack(right["vector"].to_numpy()).astype("float64")
         scores = b @ a.T
         top = min(k, a.shape[0])
-        idx = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-        # keep every row that ties with the k-th score, so the final order decides between them
-        floor = np.take_along_axis(scores, idx, axis=1).min(axis=1, keepdims=True)
-        qi, di = np.nonzero(scores >= floor)
+        kth = np.partition(scores, a.shape[0] - top, axis=1)[:, a.shape[0] - top][:, None]
+        above, tie = scores > kth, scores == kth
+        keep = above | (tie & (np.cumsum(tie, axis=1) <= top - above.sum(axis=1, keepdims=True)))
+        qi, di = np.nonzero(keep)
         return pd.DataFrame({"query_id": right["query_id"].to_numpy()[qi], "doc_id": left["doc_id"].to_numpy()[di], "score": scores[qi, di]})
 
     part = c.groupBy("qb", "cb").cogroup(q.groupBy("qb", "cb")).applyInPandas(best, "query_id bigint, doc_id bigint, score double")

@@ -64,15 +64,20 @@ def hash_bucket(key: Column, digits: int = 3) -> Column:
 
 
 def value_bucket(df: DataFrame, col: Column, parts: int = 256) -> Column:
-    """Order bucket for an ascending numeric column: equal widths between its minimum and maximum.
+    """Order bucket for an ascending numeric column, from its minimum and maximum alone.
 
-    Both ends are exact and order-independent, so recomputed tasks always agree on the buckets. One value
+    Half of the bucket width follows the value and half its logarithm, so even and heavy-tailed columns both
+    spread. The ends are exact and order-independent: recomputed tasks always agree on the buckets. One value
     never spans buckets: where a value may repeat without bound, count the distinct values first.
     """
     c = col.cast("double")
     ends = scalar(df, F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")))
     lo, hi = ends["lo"], ends["hi"]
-    share = F.when(hi > lo, (c - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    unit = F.greatest(F.abs(lo), F.abs(hi)) * 1e-9
+    log = lambda x: F.signum(x) * F.log1p(F.abs(x) / unit)
+    even = (c - lo) / (hi - lo)
+    tail = (log(c) - log(lo)) / (log(hi) - log(lo))
+    share = F.when(hi > lo, (even + tail) / 2).otherwise(F.lit(0.0))
     return F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("int")
 
 

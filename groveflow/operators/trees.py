@@ -420,3 +420,42 @@ def group_metrics(rows: DataFrame) -> DataFrame:
         F.when(den > 0, num / den).otherwise(0.0).alias("weight_branch_corr"),
         scalar(t, F.count(F.lit(1))).alias("trees"),
     )
+
+
+def pair_bleu(texts: DataFrame, order: int = 4) -> DataFrame:
+    """Sentence BLEU of each sibling pair i < j of a parent (parent, i, j, bleu); unmatched orders give 0, so only
+    pairs that share an n-gram of the highest order are rows."""
+    words = texts.select("parent", "i", F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "").alias("w"))
+    words = words.withColumn("len", F.size("w"))
+    gram = lambda n: F.transform(
+        F.sequence(F.lit(1), F.col("len") - (n - 1)), lambda p: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", p, n), " ").alias("g"))
+    )
+    per = [F.when(F.col("len") >= n, gram(n)).otherwise(F.array().cast("array<struct<n:int,g:string>>")) for n in range(1, order + 1)]
+    counts = words.select("parent", "i", F.inline(F.concat(*per))).groupBy("parent", "i", "n", "g").agg(F.count(F.lit(1)).alias("c"))
+    a = counts.select("parent", "n", "g", F.col("i").alias("i"), F.col("c").alias("ca"))
+    b = counts.select("parent", "n", "g", F.col("i").alias("j"), F.col("c").alias("cb"))
+    m = a.join(b, ["parent", "n", "g"]).where("i < j").groupBy("parent", "i", "j", "n").agg(F.sum(F.least("ca", "cb")).alias("m"))
+    size = words.select("parent", "i", "len")
+    rows = m.join(size, ["parent", "i"]).join(size.select("parent", F.col("i").alias("j"), F.col("len").alias("ref")), ["parent", "j"])
+    score = rows.groupBy("parent", "i", "j").agg(
+        F.count(F.lit(1)).alias("orders"), F.avg(F.log(F.col("m") / (F.col("len") - F.col("n") + 1))).alias("logs"), F.first("len").alias("len"), F.first("ref").alias("ref")
+    )
+    ratio = F.col("len") / F.col("ref")
+    brevity = F.when(ratio > 1, 1.0).otherwise(F.exp(1 - 1 / ratio))
+    return score.where(F.col("orders") == order).select("parent", "i", "j", (F.exp("logs") * brevity).alias("bleu"))
+
+
+def diverse_acceptance(texts: DataFrame, pairs: DataFrame, threshold: float, last: Column) -> DataFrame:
+    """Siblings accepted in arrival order while their mean BLEU to those accepted stays within the threshold; rows
+    of the last try are always accepted. A fold over one small array per parent (bounded by the branch factor)."""
+    key = F.concat_ws("_", "i", "j")
+    m = pairs.groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("bleu")))).alias("b"))
+    per = texts.withColumn("last", last).groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("i", "last"))).alias("x"))
+    per = per.join(m, "parent", "left").withColumn("b", F.coalesce("b", F.create_map().cast("map<string,double>")))
+
+    def step(acc, x):
+        got = F.transform(acc, lambda a: F.coalesce(F.try_element_at(F.col("b"), F.concat_ws("_", a, x["i"])), F.lit(0.0)))
+        mean = F.aggregate(got, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size(acc), F.lit(1))
+        return F.when(x["last"] | (mean <= threshold), F.array_append(acc, x["i"])).otherwise(acc)
+
+    return per.select("parent", F.explode(F.aggregate("x", F.array().cast("array<bigint>"), step)).alias("i"))

@@ -472,3 +472,9 @@ def value_error(spark, path):
     out = sampled_means(rewards, materialise(k, "k"), seeds=4, k_max=32)
     err = F.pow(F.col("mean") - F.col("ref"), F.lit(2.0))
     return out.groupBy("method").agg(F.count(F.lit(1)).alias("samples"), r6(F.avg(err)).alias("mse"))
+
+
+@query("b16_tail_by_depth", f"WITH {CAL}, e AS (SELECT * FROM (VALUES (0,0.01::DOUBLE),(2,0.05::DOUBLE)) t(d,eps)), j AS (SELECT node_id, pilot, depth, (SELECT arg_max(eps,d) FROM e WHERE d<=depth) AS eps FROM cal) SELECT depth, {R('any_value(eps)')} AS eps, count(*) AS pairs FROM j GROUP BY 1")
+def tail_eps(spark, path):
+    rows = calibration(spark, path).withColumn("eps", D.eps_for_depth(F.col("depth"), {0: 0.01, 2: 0.05}, 0.0))
+    return rows.groupBy("depth").agg(r6(F.max("eps")).alias("eps"), F.count(F.lit(1)).alias("pairs"))

@@ -390,3 +390,48 @@ def validation_split(spark, path):
 def concatenated(spark, path):
     part = lambda t, c: views.table(spark, path, t).select(F.col(c).alias("name"), F.lit(t).alias("origin"))
     return part("nation", "n_name").unionByName(part("region", "r_name")).unionByName(part("customer", "c_name"))
+
+
+@query("p04_math_fields", f"WITH {GRADED} SELECT id, 'p'||id AS problem, CASE WHEN id%2=0 THEN id::VARCHAR ELSE '\\frac{{1}}{{'||n||'}}' END AS answer, 1 AS answers FROM gr")
+def math_fields(spark, path):
+    raw = responses(spark, path).select(
+        "id", F.concat(F.lit("p"), F.col("id")).alias("question"), F.col("text").alias("solution"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("answer")
+    )
+    rows = C.math_fields(raw)
+    return rows.select("id", "problem", F.element_at("answer", 1).alias("answer"), F.size("answer").alias("answers"))
+
+
+@query("p08_alignment_prompts", f"WITH {PREF} SELECT 'user:'||prompt AS prompt, 'alignment' AS ability, chosen AS ground_truth, row_number() OVER (ORDER BY seq)-1 AS idx FROM pref")
+def alignment_prompts(spark, path):
+    from ..session import materialise
+
+    rows = C.with_index(materialise(preference(spark, path), "pairs"), "seq")
+    out = C.prompt_rows(rows, F.lit("pref"), F.col("prompt"), F.col("chosen"), "alignment", "train")
+    return out.select(lines("prompt", "role", "content").alias("prompt"), "ability", F.col("reward_model.ground_truth"), F.col("extra_info.index").alias("idx"))
+
+
+@query("p10_search_rows", "SELECT 'search_'||source AS data_source, 'system:Search first.|user:'||lang||'?' AS prompt, CASE WHEN doc_id%2=0 THEN 'gold'||doc_id ELSE source END AS target, doc_id%2=0 AS from_reward, doc_id AS tool_doc FROM documents")
+def search_rows(spark, path):
+    even = F.col("doc_id") % 2 == 0
+    raw = views.texts(spark, path).select(
+        "doc_id", "source", F.concat("lang", F.lit("?")).alias("question"), F.when(even, F.concat(F.lit("gold"), F.col("doc_id"))).alias("ground_truth"), F.col("source").alias("golden_answers")
+    )
+    rows = C.search_rows(raw, "Search first.")
+    return rows.select(
+        "data_source", lines("prompt", "role", "content").alias("prompt"), F.col("reward_model.target").alias("target"), even.alias("from_reward"), F.col("extra_info.tools_kwargs.doc_id").alias("tool_doc")
+    )
+
+
+@query("u01_custom_reward", f"WITH {ROLLOUTS} SELECT rollout_id, {R('score*0.5+correct')} AS reward, {R('sqrt(score)')} AS external FROM rollouts")
+def custom_reward(spark, path):
+    import pandas as pd
+
+    from ..operators.registry import with_reward
+
+    @F.pandas_udf("double")
+    def outside(s: pd.Series) -> pd.Series:
+        return s**0.5
+
+    rows = with_reward(views.rollouts(spark, path), lambda df, w: df["score"] * w + df["correct"], w=0.5)
+    rows = with_reward(rows, lambda df: outside(df["score"]), name="external")
+    return rows.select("rollout_id", r6("reward").alias("reward"), r6("external").alias("external"))
