@@ -168,4 +168,5 @@ def centred_rank(df: DataFrame, col: str, row_id: str, name: str) -> DataFrame:
     ranks = value_counts(df, [], F.col(col), parts=4096).select(
         F.col("v").alias(col), (F.col("hi") - (F.col("c") - 1) / 2).alias(name), F.col("c").alias("__n")
     )
-    return join_stats(df, ranks, [col], [row_id]).drop("__n")
+    sizes = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
+    return join_stats(df, ranks, [col], [row_id], sizes).drop("__n")

@@ -49,7 +49,7 @@ def split_share(df: DataFrame, row_id: str, share: float, seed) -> Column:
     return uniform(sample_key(seed, F.col(row_id))) < share
 
 
-def contiguous_shard(df: DataFrame, row_id: str, shards: int, bucket: Column) -> DataFrame:
+def contiguous_shard(df: DataFrame, row_id: str, shards: int, bucket) -> DataFrame:
     """Shard number of contiguous shards; the first `rows mod shards` shards hold one row more."""
     n = scalar(df, F.count(F.lit(1)))
     rows = ranked(df, [], [F.col(row_id)], bucket, "__p").withColumn("__n", n)

@@ -63,29 +63,42 @@ def hash_bucket(key: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
-def value_bucket(df: DataFrame, col: Column, parts: int = 256) -> Column:
+def value_bucket(df: DataFrame, col: Column, parts: int = 256, descending: bool = False):
     """Order bucket for an ascending numeric column, from its minimum and maximum alone.
 
     Half of the bucket width follows the value and half its logarithm, so even and heavy-tailed columns both
     spread. The ends are exact and order-independent: recomputed tasks always agree on the buckets. One value
     never spans buckets: where a value may repeat without bound, count the distinct values first.
+
+    Returns a function that adds the bucket `__b`; the ends stay one sub-query with one reference.
     """
     c = col.cast("double")
-    ends = scalar(df, F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")))
-    lo, hi = ends["lo"], ends["hi"]
-    unit = F.greatest(F.abs(lo), F.abs(hi)) * 1e-9
-    log = lambda x: F.signum(x) * F.log1p(F.abs(x) / unit)
-    even = (c - lo) / (hi - lo)
-    tail = (log(c) - log(lo)) / (log(hi) - log(lo))
-    share = F.when(hi > lo, (even + tail) / 2).otherwise(F.lit(0.0))
-    return F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("int")
+    log = lambda x, unit: F.signum(x) * F.log1p(F.abs(x) / unit)
+
+    def add(rows: DataFrame) -> DataFrame:
+        ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
+        ends = ends.withColumn("unit", F.greatest(F.abs("lo"), F.abs("hi")) * 1e-9)
+        logs = {"llo": log(F.col("lo"), F.col("unit")), "lhi": log(F.col("hi"), F.col("unit"))}
+        ends = ends.select(F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi", "unit", *[v.alias(k) for k, v in logs.items()])).alias("e"))
+        rows = rows.withColumn("__e", ends.scalar())
+        e = F.col("__e")
+        share = ((c - e["lo"]) / (e["hi"] - e["lo"]) + (log(c, e["unit"]) - e["llo"]) / (e["lhi"] - e["llo"])) / 2
+        cell = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("int")
+        return rows.withColumn("__b", -cell if descending else cell).drop("__e")
+
+    return add
+
+
+def with_bucket(df: DataFrame, bucket) -> DataFrame:
+    """Add `__b` from a bucket column or from a function made by `value_bucket`."""
+    return bucket(df) if callable(bucket) and not isinstance(bucket, Column) else df.withColumn("__b", bucket)
 
 
 def running_sum(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    bucket: Column,
+    bucket,
     sums: dict[str, Column],
 ) -> DataFrame:
     """Inclusive running sums in `order` within `keys`, computed per (keys, bucket) plus offsets.
@@ -93,7 +106,7 @@ def running_sum(
     `bucket` must be non-decreasing along `order`. A hot group is split over its buckets; the offsets table
     has one row per (group, bucket).
     """
-    rows = df.withColumn("__b", bucket)
+    rows = with_bucket(df, bucket)
     per_bucket = rows.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__p_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -114,7 +127,7 @@ def last_known(df, keys, order, bucket, value: Column, name: str) -> DataFrame:
 
     Looked up inside the order bucket first; the value carried in from earlier buckets is joined on.
     """
-    rows = df.withColumn("__b", bucket).withColumn("__v", value)
+    rows = with_bucket(df, bucket).withColumn("__v", value)
     ends = (
         rows.groupBy(*keys, "__b")
         .agg(F.max_by(F.col("__v"), F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))

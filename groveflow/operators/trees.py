@@ -276,7 +276,7 @@ def top_share(df: DataFrame, share: float, how: str = "mean") -> DataFrame:
     rows = df.withColumn("path_score", F.round(score, 9))
     # equal scores are common (few distinct values): rank by score level, then inside a level by leaf hash
     levels = rows.groupBy("tree_id", "path_score").agg(F.count(F.lit(1)).alias("c"))
-    run = running_sum(levels, ["tree_id"], [F.desc("path_score")], -value_bucket(levels, F.col("path_score")), {"upto": F.col("c")})
+    run = running_sum(levels, ["tree_id"], [F.desc("path_score")], value_bucket(levels, F.col("path_score"), descending=True), {"upto": F.col("c")})
     n = rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
     run = run.join(n, "tree_id").withColumn("quota", F.greatest(F.floor(F.col("n") * share), F.lit(1)))
     run = run.withColumn("above", F.col("upto") - F.col("c")).where(F.col("above") < F.col("quota"))
