@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
+from ..session import materialise
 from .registry import DIAGNOSTICS
-from .spread import exact_quantiles, scalar
+from .spread import add_row, exact_quantiles, scalar
 
 BOUND = 20.0
 EPS = 1e-8
@@ -59,6 +60,7 @@ def importance_weights(
 def weight_metrics(rows: DataFrame, upper: float = 2.0, lower: float | None = None) -> DataFrame:
     """Mean, extremes, deviation of clamped weights, effective sample size, sequence means, tails, quantiles."""
     lower = 1.0 / upper if lower is None else lower
+    rows = materialise(rows.select("rollout_id", "raw", "mask"), "weights")  # four passes read it
     w, m = F.col("raw"), F.col("mask")
     c = clip(w, lower, upper)
     on = m == 1
@@ -87,18 +89,17 @@ def weight_metrics(rows: DataFrame, upper: float = 2.0, lower: float | None = No
         F.avg((F.col("s") > upper).cast("double")).alias("seq_share_high"),
         F.avg((F.col("s") < lower).cast("double")).alias("seq_share_low"),
     )
-    out = tok.withColumns({c: seq.select(c).scalar() for c in seq.columns})
-    q = exact_quantiles(rows.where(on), w, [0.25, 0.5, 0.75, 0.95, 0.99])
-    return out.withColumns(
-        {f"p{int(p * 100)}": q.where(F.col("prob") == p).select("value").scalar() for p in (0.25, 0.5, 0.75, 0.95, 0.99)}
-    )
+    probs = [0.25, 0.5, 0.75, 0.95, 0.99]
+    q = exact_quantiles(rows.where(on), w, probs)
+    q = q.agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in probs])
+    return add_row(add_row(tok, seq), q)
 
 
 def mismatch_metrics(tokens: DataFrame) -> DataFrame:
     """KL, k3, perplexities and log-perplexity gap of training against rollout policy; sequence then batch."""
     m, o, r = F.col("mask"), F.col("old_lp"), F.col("rollout_lp")
     lr = o - r
-    batch = tokens.agg(masked_mean(-lr, m).alias("kl"), masked_mean(F.exp(lr) - lr - 1, m).alias("k3"))
+    batch = tokens.agg(masked_mean(-lr, m).alias("kl"), masked_mean(F.exp(lr) - lr - 1, m).alias("k3_kl"))
     per = tokens.groupBy("rollout_id").agg(masked_mean(o, m).alias("mo"), masked_mean(r, m).alias("mr"))
     gap = F.col("mr") - F.col("mo")
     seq = per.agg(
@@ -112,7 +113,7 @@ def mismatch_metrics(tokens: DataFrame) -> DataFrame:
         F.min(gap).alias("log_ppl_gap_min"),
         F.avg(F.exp(gap)).alias("ppl_ratio"),
     )
-    return seq.withColumns({"kl": batch.select("kl").scalar(), "k3_kl": batch.select("k3").scalar()})
+    return add_row(seq, batch)
 
 
 def kl(lp: Column, ref: Column, kind: str = "k1") -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sample_key, uniform
-from .spread import join_stats, ranked, value_bucket, value_counts
+from .spread import add_row, join_stats, ranked, value_bucket, value_counts
 
 
 def question_scores(df: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def batch_metrics(rollouts: DataFrame, tokens: DataFrame, max_len: int) -> DataF
         F.avg(keep("value")).alias("value_mean"),
         (1 - F.var_samp(F.when(m, F.col("ret") - F.col("value"))) / (F.var_samp(keep("ret")) + 1e-5)).alias("explained_var"),
     )
-    return seq.withColumns({c: tok.select(c).scalar() for c in tok.columns})
+    return add_row(seq, tok)
 
 
 def token_bins(df: DataFrame, value: Column, lo: float, hi: float, bins: int, keys: list[str]) -> DataFrame:

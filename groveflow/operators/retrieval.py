@@ -2,10 +2,28 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import first_k, last_known, scalar, value_bucket
+from ..session import materialise
+from .spread import attach_stats, first_k, last_known, value_bucket
+
+
+def _blocks(df: DataFrame, rows: int) -> int:
+    """Number of hash blocks so that blocks hold about `rows` rows; hashing is uneven, so a third more."""
+    return max(1, -(-df.count() * 4 // (3 * rows)))
+
+
+def _cut(query_ids, doc_ids, scores, k: int, positive: bool = False) -> pd.DataFrame:
+    """Rows of the k best documents per query of a score matrix; columns ascend by document id, which breaks ties."""
+    top = min(k, scores.shape[1])
+    kth = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top][:, None]
+    above, tie = scores > kth, scores == kth
+    keep = above | (tie & (np.cumsum(tie, axis=1) <= top - above.sum(axis=1, keepdims=True)))
+    if positive:
+        keep &= scores > 0
+    qi, di = np.nonzero(keep)
+    return pd.DataFrame({"query_id": query_ids[qi], "doc_id": doc_ids[di], "score": scores[qi, di]})
 
 
 def inner_product_top_k(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 65536, query_rows: int = 4096) -> DataFrame:
@@ -15,11 +33,7 @@ def inner_product_top_k(queries: DataFrame, corpus: DataFrame, k: int, block_row
     matrices and emits at most k rows per query, so scores of all pairs are never rows. Both block sizes are
     fixed, so a task's memory does not grow with the data.
     """
-    spark = corpus.sparkSession
-    n, m = corpus.count(), queries.count()  # block counts only
-    cb, qb = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-    # hashing spreads ids unevenly: a third more blocks keeps every block below the row limit in practice
-    cb, qb = (cb * 4 + 2) // 3, (qb * 4 + 2) // 3
+    cb, qb = _blocks(corpus, block_rows), _blocks(queries, query_rows)
     c = corpus.select("doc_id", "vector").withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(cb)).cast("int"))
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     q = queries.select("query_id", "vector").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
@@ -31,37 +45,61 @@ def inner_product_top_k(queries: DataFrame, corpus: DataFrame, k: int, block_row
         left = left.sort_values("doc_id")  # column order is the tie order
         a = np.stack(left["vector"].to_numpy()).astype("float64")
         b = np.stack(right["vector"].to_numpy()).astype("float64")
-        scores = b @ a.T
-        top = min(k, a.shape[0])
-        kth = np.partition(scores, a.shape[0] - top, axis=1)[:, a.shape[0] - top][:, None]
-        above, tie = scores > kth, scores == kth
-        keep = above | (tie & (np.cumsum(tie, axis=1) <= top - above.sum(axis=1, keepdims=True)))
-        qi, di = np.nonzero(keep)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[qi], "doc_id": left["doc_id"].to_numpy()[di], "score": scores[qi, di]})
+        return _cut(right["query_id"].to_numpy(), left["doc_id"].to_numpy(), b @ a.T, k)
 
     part = c.groupBy("qb", "cb").cogroup(q.groupBy("qb", "cb")).applyInPandas(best, "query_id bigint, doc_id bigint, score double")
     return first_k(part, ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank")
 
 
-def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, salts: int = 16) -> DataFrame:
-    """Lexical top-k: postings joined to query terms, BM25 weights summed per (query, document).
+def bm25_top_k(
+    queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, block_rows: int = 16384, query_rows: int = 512
+) -> DataFrame:
+    """Exact lexical top-k (query_id, doc_id, score, rank) by BM25.
 
-    A frequent term has many postings, so both sides are salted: the postings by document, the query terms copied
-    to each salt.
+    Document frequencies are one pre-aggregated count per term. Scoring works on blocks like the inner product:
+    postings move once, by document block (never by term, so frequent terms are no hot key), query terms are
+    copied to each block, and a task returns at most k rows per query.
     """
     terms = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     docs = corpus.select("doc_id", terms(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    avg = scalar(docs, F.avg("dl"))
-    n = scalar(docs, F.count(F.lit(1)))
-    post = docs.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    cb, qb = _blocks(corpus, block_rows), _blocks(queries.select("query_id").distinct(), query_rows)
+    post = docs.select("doc_id", "dl", F.explode_outer("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = materialise(post, "postings")  # read for document frequencies, lengths and scoring
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    df = post.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = q.join(df, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    post = post.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    hits = post.join(q, ["term", "salt"]).groupBy("query_id", "doc_id").agg(F.sum(idf * tf).alias("score"))
-    return first_k(hits.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank")
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.struct(F.avg("dl").alias("avg"), F.count(F.lit(1)).alias("n")).alias("v"))
+    q = q.join(df, "term").withColumn("__s", size.scalar())
+    idf = F.log(1 + (F.col("__s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    q = q.select("query_id", "term", idf.alias("idf"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"))
+    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
+    weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__s.avg")))
+    post = post.where("term IS NOT NULL").withColumn("__s", size.scalar()).select(
+        "doc_id", "term", weight.alias("weight"), F.pmod(F.xxhash64("doc_id"), F.lit(cb)).cast("int").alias("cb")
+    )
+    post = post.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        vocab = pd.Index(right["term"].unique())
+        code = vocab.get_indexer(left["term"])
+        left, code = left[code >= 0], code[code >= 0]
+        if left.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        doc, d = np.unique(left["doc_id"].to_numpy(), return_inverse=True)
+        ids, qi = np.unique(right["query_id"].to_numpy(), return_inverse=True)
+        qcode, idf = vocab.get_indexer(right["term"]), right["idf"].to_numpy()
+        scores = np.zeros((len(ids), len(doc)))
+        order, qorder = np.argsort(code, kind="stable"), np.argsort(qcode, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(vocab) + 1))
+        qstarts = np.searchsorted(qcode[qorder], np.arange(len(vocab) + 1))
+        w = left["weight"].to_numpy()
+        for t in range(len(vocab)):
+            p, r = order[starts[t] : starts[t + 1]], qorder[qstarts[t] : qstarts[t + 1]]
+            if len(p):
+                scores[np.ix_(qi[r], d[p])] += idf[r][:, None] * w[p][None, :]
+        return _cut(ids, doc, np.round(scores, 9), k, positive=True)
+
+    part = post.groupBy("qb", "cb").cogroup(q.groupBy("qb", "cb")).applyInPandas(best, "query_id bigint, doc_id bigint, score double")
+    return first_k(part, ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank")
 
 
 def lookup(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -91,8 +129,6 @@ def nearest_key(probes: DataFrame, keys: DataFrame) -> DataFrame:
 
 def unique_requests(requests: DataFrame) -> DataFrame:
     """Every request with the first request of the same text: (request_id, first_id)."""
-    from .spread import attach_stats
-
     rows = requests.withColumn("__h", F.md5("query"))
     return attach_stats(rows, ["__h"], {"first_id": F.min("request_id")}, ["request_id"]).select("request_id", "first_id")
 

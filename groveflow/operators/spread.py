@@ -20,6 +20,11 @@ def scalar(df: DataFrame, expr: Column) -> Column:
     return df.agg(expr.alias("v")).scalar()
 
 
+def add_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Append the columns of a one-row table to every row, through one scalar sub-query."""
+    return df.withColumn("__one", one.select(F.struct(*one.columns)).scalar()).select("*", "__one.*").drop("__one")
+
+
 def attach_stats(
     df: DataFrame,
     keys: list[str],
