@@ -36,8 +36,8 @@ def best_worst(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     equal values add up to one difference, so distinct values with counts are enough.
     """
     rows = value_counts(df, keys, F.col(value))
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("size"))
-    rows = rows.join(sizes, keys).where(F.col("size") > 1)
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("size"), F.count(F.lit(1)).alias("__n"))
+    rows = join_stats(rows, sizes, keys, ["v"]).drop("__n").where(F.col("size") > 1)
     powers = F.transform(
         F.sequence(F.lit(1), F.greatest(F.ceil(F.log2("size")) - 1, F.lit(1)).cast("int")),
         lambda e: F.pow(F.lit(2.0), e).cast("bigint"),

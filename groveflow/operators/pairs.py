@@ -48,8 +48,9 @@ def best_of_n_weight(df: DataFrame) -> DataFrame:
     cum = value_counts(df, ["uid"], F.col("score")).select(
         "uid", F.col("v").alias("score"), F.col("c").alias("__n"), F.col("hi").alias("le")
     )
-    n = df.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
-    cum = cum.join(n, "uid").withColumn("weight", F.col("n") * F.pow(F.col("le") / F.col("n"), F.col("n") - 1))
+    n = df.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("__n"))
+    cum = join_stats(cum.withColumnRenamed("__n", "c"), n, ["uid"], ["score"]).drop("__n").withColumnRenamed("c", "__n")
+    cum = cum.withColumn("weight", F.col("n") * F.pow(F.col("le") / F.col("n"), F.col("n") - 1))
     return join_stats(df, cum.drop("le", "n"), ["uid", "score"], ["rollout_id"]).drop("__n")
 
 

@@ -170,7 +170,8 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], keys: list
     value = value.cast("double")
     rows = value_counts(df, keys, value, parts=256 if keys else 4096)
     if keys:
-        rows = rows.join(df.groupBy(*keys).agg(F.count(value).alias("n")), keys)
+        sizes = df.groupBy(*keys).agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("__n"))
+        rows = join_stats(rows, sizes, keys, ["v"]).drop("__n")
     else:
         rows = rows.withColumn("n", scalar(df, F.count(value)))
     picks = []

@@ -277,8 +277,8 @@ def top_share(df: DataFrame, share: float, how: str = "mean") -> DataFrame:
     # equal scores are common (few distinct values): rank by score level, then inside a level by leaf hash
     levels = rows.groupBy("tree_id", "path_score").agg(F.count(F.lit(1)).alias("c"))
     run = running_sum(levels, ["tree_id"], [F.desc("path_score")], value_bucket(levels, F.col("path_score"), descending=True), {"upto": F.col("c")})
-    n = rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
-    run = run.join(n, "tree_id").withColumn("quota", F.greatest(F.floor(F.col("n") * share), F.lit(1)))
+    n = rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("__n"))
+    run = join_stats(run, n, ["tree_id"], ["path_score"]).drop("__n").withColumn("quota", F.greatest(F.floor(F.col("n") * share), F.lit(1)))
     run = run.withColumn("above", F.col("upto") - F.col("c")).where(F.col("above") < F.col("quota"))
     rows = join_stats(rows, run.withColumnRenamed("c", "__n").drop("upto", "n"), ["tree_id", "path_score"], ["leaf_id"])
     # only the level that crosses the quota needs an order inside it
@@ -402,7 +402,7 @@ def group_metrics(rows: DataFrame) -> DataFrame:
     queue = rows.groupBy("tree_id", "queue").agg(F.countDistinct("parent_id").alias("q")).groupBy("tree_id").agg(F.sum("q").alias("q"))
     t = tree.join(queue, "tree_id")
     # every edge of a parent shares weight and factor: the correlation is weighted by k on parent rows
-    p = parent.join(tree, "tree_id").withColumn("w", 1.0 / (F.col("parents") * F.col("k")))
+    p = join_stats(parent, tree.withColumn("__n", F.col("parents")), ["tree_id"], ["parent_id"]).withColumn("w", 1.0 / (F.col("parents") * F.col("k")))
     k = F.col("k")
     s = p.agg(
         F.sum(k).alias("n"), F.sum(k * F.col("w")).alias("sw"), F.sum(k * k).alias("sk"), F.sum(k * k * F.col("w")).alias("swk"),

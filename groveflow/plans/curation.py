@@ -362,7 +362,8 @@ def dedup(spark, path):
     return C.dedup_by(views.texts(spark, path), F.col("text"), "doc_id").select("doc_id")
 
 
-@query("w07_iteration_slice", """WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5.0|'||o_orderkey), o_orderkey)-1 AS pos_at FROM orders) SELECT o_orderkey, pos_at FROM s WHERE pos_at>=2048 AND pos_at<3072""")
+@query("w07_iteration_slice", """WITH n AS (SELECT count(*) AS n FROM orders), s AS (SELECT o_orderkey, p*n.n+row_number() OVER (PARTITION BY p ORDER BY md5('5.'||p||'|'||o_orderkey), o_orderkey)-1 AS pos_at FROM orders, n, range(0,3) t(p))
+  SELECT o_orderkey, pos_at FROM s WHERE pos_at>=2048 AND pos_at<3072""")
 def iteration_slice(spark, path):
     o = views.table(spark, path, "orders").select("o_orderkey")
     return SM.iteration_slice(o, "o_orderkey", 2, 1024, max(o.count(), 1), 5).select("o_orderkey", F.col("at").alias("pos_at"))
