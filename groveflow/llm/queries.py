@@ -1,4 +1,5 @@
 """All queries of this subpackage: importing a module registers its query."""
 
+import groveflow.llm.bpe  # noqa: F401
 import groveflow.llm.decontaminate  # noqa: F401
 from groveflow.llm.registry import QUERIES, SQL  # noqa: F401
