@@ -2,6 +2,7 @@
 
 import groveflow.llm.bpe  # noqa: F401
 import groveflow.llm.decontaminate  # noqa: F401
+import groveflow.llm.digest  # noqa: F401
 import groveflow.llm.licenses  # noqa: F401
 import groveflow.llm.lmscore  # noqa: F401
 from groveflow.llm.registry import QUERIES, SQL  # noqa: F401
