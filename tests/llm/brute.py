@@ -35,3 +35,43 @@ def decontaminate(docs, items, span=13):
                     found |= got
         ids = sorted(str(x) for x in found if x is not None)
         yield doc, len(w), len(hit), len(ids), sha(",".join(ids)), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def spaced(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def shingles(text, width=5):
+    w = spaced(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def similar(docs, percent=80, width=5):
+    """(doc_id, set size, smallest id of the component), one per document."""
+    sets = [shingles(t, width) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        met = {}
+        for x in s:
+            for j in where[x]:
+                if j < i:
+                    met[j] = met.get(j, 0) + 1
+        for j, n in met.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(docs)]
