@@ -75,3 +75,21 @@ def similar(docs, percent=80, width=5):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     return [(d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(docs)]
+
+
+def remove_repeats(docs, length=200):
+    """(doc_id, bytes, removed, runs, sha of the rest)."""
+    raws = [(t or "").encode() for _, t in docs]
+    seen = {}
+    for raw in raws:
+        for i in range(len(raw) - length + 1):
+            key = raw[i : i + length]
+            seen[key] = seen.get(key, 0) + 1
+    for (d, _), raw in zip(docs, raws):
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        yield d, len(raw), sum(gone), runs, sha(kept)
