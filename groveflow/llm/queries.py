@@ -4,6 +4,7 @@ import groveflow.llm.bpe  # noqa: F401
 import groveflow.llm.decontaminate  # noqa: F401
 import groveflow.llm.digest  # noqa: F401
 import groveflow.llm.jaccard  # noqa: F401
+import groveflow.llm.language  # noqa: F401
 import groveflow.llm.licenses  # noqa: F401
 import groveflow.llm.lmscore  # noqa: F401
 import groveflow.llm.suffixes  # noqa: F401
