@@ -7,5 +7,6 @@ import groveflow.llm.jaccard  # noqa: F401
 import groveflow.llm.language  # noqa: F401
 import groveflow.llm.licenses  # noqa: F401
 import groveflow.llm.lmscore  # noqa: F401
+import groveflow.llm.personal  # noqa: F401
 import groveflow.llm.suffixes  # noqa: F401
 from groveflow.llm.registry import QUERIES, SQL  # noqa: F401

@@ -93,3 +93,32 @@ def remove_repeats(docs, length=200):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         runs = len(re.findall(b"\1+", bytes(gone)))
         yield d, len(raw), sum(gone), runs, sha(kept)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(digits[::-1]):
+        v = int(c) * (1 + i % 2)
+        total += v // 10 + v % 10
+    return total % 10 == 0
+
+
+def personal(text):
+    """(begin, kind number, end, kind) of the contract's base patterns."""
+    text, out = text or "", []
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    checks = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    for i, (kind, pattern, ok) in enumerate(checks):
+        out += [(m.start(), i, m.end(), kind) for m in re.finditer(pattern, text) if ok(m.group())]
+    return sorted(out)
+
+
+def personal_row(doc, text):
+    found = personal(text)
+    kinds = [k for *_, k in found]
+    return doc, kinds.count("email"), kinds.count("ip"), kinds.count("card"), kinds.count("phone"), sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in found))
