@@ -122,3 +122,13 @@ def personal_row(doc, text):
     found = personal(text)
     kinds = [k for *_, k in found]
     return doc, kinds.count("email"), kinds.count("ip"), kinds.count("card"), kinds.count("phone"), sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in found))
+
+
+def url_rule(url, rules):
+    """(host, path, rule, label)."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = lower(re.match(r"[^/?#]*", rest).group())
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fit, key=lambda r: len(r[0] + r[1]), default=None)
+    return host, path, best and best[0] + best[1], best and best[2]
