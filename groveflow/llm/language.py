@@ -131,8 +131,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     return spark.sparkContext.broadcast(Centroids(rows, [r.lang for r in found]))
 
 
-def predict(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """The columns `keep`, lang_pred, score (cosine, 0 to 1), rejected (too far from any centroid, or no letters)."""
+def predict(docs: DataFrame, model, keep: list[str], nested: bool = False) -> DataFrame:
+    """The columns `keep` (nested: as one struct `kept`), lang_pred, score (cosine, 0 to 1), rejected (too far from any
+    centroid, or no letters)."""
     ready(docs.sparkSession)
 
     def run(batches):
@@ -155,7 +156,7 @@ def predict(docs: DataFrame, model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("kept").slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["kept", "lang_pred", "score", "rejected"])
 
     rows = docs.select("text", F.struct(*keep).alias("kept"))
-    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").select("kept.*", "lang_pred", "score", "rejected")
+    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").select("kept" if nested else "kept.*", "lang_pred", "score", "rejected")
 
 
 def crc(doc_id) -> int:

@@ -258,8 +258,8 @@ def redact(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, field, keep: list[str], redacted: bool = True) -> DataFrame:
-    """The columns `keep`, counts per kind by the rules, base_spans, spans (text form), and, if wanted, the redacted text.
+def find(docs: DataFrame, field, keep: list[str], redacted: bool = True, nested: bool = False) -> DataFrame:
+    """The columns `keep` (nested: as one struct `kept`), counts per kind by the rules, base_spans, spans (text form), and, if wanted, the redacted text.
 
     redacted is null where nothing is found.
     """
@@ -287,7 +287,7 @@ def find(docs: DataFrame, field, keep: list[str], redacted: bool = True) -> Data
     rows = docs.select("text", F.struct(*keep).alias("kept"))
     kinds = ", ".join(f"n_{k} bigint" for k in KINDS)
     return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, {kinds}, base_spans string, spans string, redacted string").select(
-        "kept.*", *(f"n_{k}" for k in KINDS), "base_spans", "spans", "redacted"
+        "kept" if nested else "kept.*", *(f"n_{k}" for k in KINDS), "base_spans", "spans", "redacted"
     )
 
 
