@@ -11,8 +11,11 @@ their sets is `PERCENT` hundredths or more. The work goes:
    none of them is below the threshold. For every token the matrix holds the groups whose members have it in this prefix
    (the union over the group). Frequent tokens come last in the order, so common passages hardly occur in prefixes.
 4. Bound. A class and a foreign group that share c prefix tokens overlap in at most c + max(n - prefix) tokens with any
-   member; only groups for which that can reach the threshold are opened, in one direction: the smaller group asks.
-5. Opened groups are compared member by member on whole sets. Both rounds' links give the components.
+   member, so c must reach a number that follows from the sizes. Ordered by rarity, the first common token then has as
+   many prefix tokens from there on in both, so frequent tokens of a prefix need not be looked up at all. Only groups
+   whose union holds enough of the class's prefix are opened, in one direction: the smaller group asks.
+5. Opened groups are compared member by member on whole sets: first a few members each (`FEW`, by hash), then, with the
+   components known so far, all others that are not connected yet. The links of all rounds give the components.
 
 Nothing is dropped or capped: the order of the tokens and the leaders only decide how much is compared. The list of
 frequent tokens is bounded (`FREQUENT`), and any list gives the same result.
@@ -27,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groveflow.llm import kernel
@@ -36,8 +40,10 @@ from groveflow.session import materialise
 
 WIDTH, PERCENT = 5, 80
 SEEDS = 4
-FREQUENT = 1 << 16
-OFTEN = 4  # documents of one block of texts in which a token must occur to be proposed as frequent
+FREQUENT = 1 << 17
+BLOCK = 32 << 20  # bytes of texts that are counted together
+OFTEN = 4  # documents of one block in which a token must occur to be proposed as frequent
+FEW = 24
 BITS = 24
 
 
@@ -90,27 +96,33 @@ def prefix(n, percent: int = PERCENT):
 def _describe(width):
     """Rows of documents: doc_id, class, size, min-hashes; and, with null class, tokens proposed as frequent and their count."""
 
+    names = ["doc_id", "c", "n", *(f"m{j}" for j in range(SEEDS))]
+
+    def proposals(held, kind):
+        tokens, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= OFTEN
+        k = int(often.sum())
+        tokens, times = pa.array(tokens[often].view(np.int64)), pa.array(times[often])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.binary()), times, tokens, *[pa.nulls(k, pa.int64())] * (SEEDS - 1)], names=names)
+
     def run(batches):
+        held, size, seen, kind = [], 0, set(), None
         for batch in batches:
-            column = kernel.texts(batch.column("text"))
-            for a, b in kernel.slices(column, 4 * kernel.SLICE):
+            column, kind = kernel.texts(batch.column("text")), batch.column("doc_id").type
+            for a, b in kernel.slices(column):
                 sets = Sets(column.slice(a, b - a), width)
-                names = sets.digests()
+                classes = sets.digests()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), _binary(names), pa.array(sets.size), *(pa.array(m.view(np.int64)) for m in sets.minima())],
-                    names=["doc_id", "c", "n", *(f"m{j}" for j in range(SEEDS))],
+                    [batch.column("doc_id").slice(a, b - a), _binary(classes), pa.array(sets.size), *(pa.array(m.view(np.int64)) for m in sets.minima())], names=names
                 )
-                _, one = np.unique(names, return_index=True)  # equal sets count once
-                tokens = sets.tokens[kernel.ragged(sets.bounds[one], sets.size[one])]
-                tokens, times = np.unique(tokens, return_counts=True)
-                often = times >= OFTEN
-                k = int(often.sum())
-                if k:
-                    none = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(k, batch.column("doc_id").type), pa.nulls(k, pa.binary()), pa.array(times[often]), pa.array(tokens[often].view(np.int64)), *[none] * (SEEDS - 1)],
-                        names=["doc_id", "c", "n", *(f"m{j}" for j in range(SEEDS))],
-                    )
+                new = [i for i, c in enumerate(classes.tolist()) if not (c in seen or seen.add(c))]  # equal sets count once in a block
+                held.append(sets.tokens[kernel.ragged(sets.bounds[new], sets.size[new])])
+                size += int(sets.bounds[-1]) * 8
+                if size >= BLOCK:
+                    yield proposals(held, kind)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield proposals(held, kind)
 
     return run
 
@@ -241,15 +253,21 @@ def _shared_tokens(batches):
     if not names:
         return
     names, counts, tokens = map(np.concatenate, (names, counts, tokens))
-    order = np.argsort(tokens)
-    tokens = tokens[order]
-    same = np.zeros(len(tokens) + 1, bool)
-    same[1:-1] = tokens[1:] == tokens[:-1]
-    keep = np.flatnonzero(same[1:] | same[:-1])
-    owner = np.repeat(np.arange(len(names)), counts)[order[keep]]
+    names, number = np.unique(names.view(">u8").reshape(-1, 2), axis=0, return_inverse=True)
+    owner = np.repeat(number.ravel(), counts)
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    new = np.ones(len(tokens), bool)  # the same class may come from several tasks
+    new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+    tokens, owner = tokens[new], owner[new]
+    begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    times = np.diff(np.append(begin, len(tokens)))
+    times = np.repeat(times, times)
+    keep = np.flatnonzero(times > 1)
+    names = np.ascontiguousarray(names.astype(">u8")).view("V16").ravel()
     for at in range(0, len(keep), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep[part]].view(np.int64)), _binary(names[owner[part]])], names=["token", "c"])
+        part = keep[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(times[part]), _binary(names[owner[part]])], names=["token", "times", "c"])
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
@@ -287,25 +305,41 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     frequent = spark.sparkContext.broadcast((tokens[order], (len(tokens) - 1 - order).astype(np.uint64)))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("text").mapInArrow(_prefixes(width, percent, frequent, buckets), "bucket int, names binary, counts binary, tokens binary")
-    shared = packed.repartition(buckets, "bucket").mapInArrow(_shared_tokens, "token bigint, c binary")
-    entries = shared.distinct().join(members, "c")
+    shared = packed.repartition(buckets, "bucket").mapInArrow(_shared_tokens, "token bigint, times bigint, c binary")
+    entries = shared.join(members, "c")
     across = entries.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    entries = materialise(entries.join(across, "token", "left_semi"), "matrix")
-    matrix = entries.groupBy("token", "g").agg(F.first("members").alias("members"), F.first("low").alias("low"), F.first("high").alias("high"))
-    matrix = matrix.select("token", F.col("g").alias("other"), F.col("members").alias("many"), "low", "high")
+    # All tokens are ordered: those of one group only, then the rarest first. `left`: prefix tokens of the class from there on
+    by_class = Window.partitionBy("c").orderBy(F.desc("times"), F.desc("token"))
+    entries = materialise(entries.join(across, "token", "left_semi").withColumn("left", F.row_number().over(by_class)), "matrix")
+    matrix = entries.groupBy("token", F.col("g").alias("other")).agg(F.max("left").alias("left_there"), *(F.first(x).alias(y) for x, y in (("members", "many"), ("low", "low_there"), ("high", "high_there"))))
     asks = (F.col("members") < F.col("many")) | ((F.col("members") == F.col("many")) & (F.col("g") < F.col("other")))
-    low, high = (100 * F.col("high") >= percent * F.col("n")), (percent * F.col("low") <= 100 * F.col("n"))
-    met = entries.select("token", "c", "n", "g", "members").join(matrix, "token").where((F.col("g") != F.col("other")) & asks & low & high)
-    met = met.groupBy("c", "n", "other", "low", "high").agg(F.count("*").alias("shared"))
+    fits = (100 * F.col("high_there") >= percent * F.col("n")) & (percent * F.col("low_there") <= 100 * F.col("n"))
+    # two similar sets share `need` prefix tokens at least, so the rarest of them has as many from there on in both
     rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  tokens behind the prefix
     need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent)) - F.greatest(rest(F.col("n")), rest(m))
-    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    most = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    opened = met.where(F.col("shared") >= F.least(need(least), need(most))).select(F.col("c").alias("a"), "n", F.col("other"))
-    inside = members.select(F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("m"))
-    pairs = opened.join(inside, "other").where(close(F.col("n"), F.col("m"))).select("a", "b")
-    second = verified(docs, materialise(pairs, "pairs"), width, percent)
-    return documents, materialise(first.unionByName(second), "links")
+    least = F.greatest(F.col("low_there"), F.ceil(F.col("n") * percent / 100))
+    most = F.least(F.col("high_there"), F.floor(F.col("n") * 100 / percent))
+    enough = F.greatest(F.least(need(least), need(most)), F.lit(1))
+    met = entries.select("token", "c", "n", "g", "members", "left").join(matrix, "token")
+    met = met.where((F.col("g") != F.col("other")) & asks & fits & (F.least("left", "left_there") >= enough))
+    met = materialise(met.select("c", "other", enough.alias("enough")).distinct(), "met")
+    # the bound: prefix tokens of the class that the group's union holds
+    shared = met.join(entries.select("c", "n", "token"), "c").join(matrix.select("token", "other"), ["token", "other"])
+    opened = shared.groupBy("c", "n", "other", "enough").agg(F.count("*").alias("shared")).where("shared >= enough")
+    opened = materialise(opened.select(F.col("c").alias("a"), "n", "other"), "opened")
+    inside = members.select(F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("m"), "members")
+    # first about FEW members of each opened group; most of what belongs together is then connected and needs no more looks
+    slice_ = F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / FEW), F.lit(1))) == 0
+    pairs = opened.join(inside, (opened.other == inside.other) & close(F.col("n"), F.col("m")) & slice_).select("a", "b")
+    second = materialise(first.unionByName(verified(docs, materialise(pairs, "pairs"), width, percent)), "links")
+    # then all members that are still in another component
+    roots = components(second)
+    asking = opened.join(roots.select(F.col("node").alias("a"), F.col("root").alias("at")), "a", "left").withColumn("at", F.coalesce("at", "a"))
+    inside = inside.join(roots.select(F.col("node").alias("b"), F.col("root").alias("there")), "b", "left").withColumn("there", F.coalesce("there", "b"))
+    apart = (asking.other == inside.other) & close(F.col("n"), F.col("m")) & ~slice_ & (F.col("at") != F.col("there"))
+    pairs = asking.join(inside, apart).select("a", "b")
+    third = verified(docs, materialise(pairs, "pairs"), width, percent)
+    return documents, materialise(second.unionByName(third), "links")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
