@@ -33,8 +33,9 @@ from groveflow.llm.registry import query, ready, table
 from groveflow.session import materialise
 
 LENGTH, GRAM = 200, 32
-GROUP = 4000  # contexts of one anchor hash in one shard
-CHUNK = 1 << 20  # bytes of contexts whose suffix array is built at once
+GROUP = 2000  # contexts of one anchor hash in one shard
+CHUNK = 1 << 19  # bytes of contexts whose suffix array is built at once
+ROWS = 128  # texts that are unpacked at once
 BITS = 24
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
@@ -198,7 +199,7 @@ def _find_anchors(length, gram):
         for batch in batches:
             column = kernel.texts(batch.column("text"))
             names = batch.column("c").to_pylist()
-            for a, b in kernel.slices(column):
+            for a, b in kernel.slices(column, 1 << 18):
                 data, offsets = kernel.bytes_of(column.slice(a, b - a))
                 text, p, first, last, h, x = anchors(data, offsets, length, gram)
                 new = np.zeros(b - a, bool)
@@ -253,11 +254,17 @@ def _chosen(bitmap, want: bool, once: bool):
     return run
 
 
+def _small(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _contexts(length):
     """Joined texts and their wanted anchors to contexts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             for c, text, wanted in zip(batch.column("c").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
                 raw = (text.as_py() or "").encode()
@@ -406,7 +413,7 @@ def _kept(raw: bytes, spans, length: int):
 
 def _cut(length, with_spans: bool, with_bytes: bool):
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             spans = batch.column("spans").to_pylist() if with_spans else [()] * batch.num_rows
             for text, own in zip(batch.column("text"), spans):
