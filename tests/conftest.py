@@ -11,6 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from groveflow.session import local_session
 
-    session = local_session(8, "12g")
+    session = local_session(4, "4g")
     yield session
     session.stop()
