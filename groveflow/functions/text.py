@@ -27,15 +27,26 @@ def delimited_number(text: Column) -> Column:
     return F.regexp_replace(last_match(F.right(text, F.lit(300)), r"#### (\-?[0-9\.\,]+)", 1), "[,$]", "")
 
 
-_BALANCED = r"[^{}]*"
-for _ in range(4):
-    _BALANCED = r"(?:[^{}]|\{" + _BALANCED + r"\})*"
-BOXED = r"\\boxed\{(" + _BALANCED + r")\}"
+def last_boxed(text: Column) -> Column:
+    r"""Content of the last \boxed{...} that closes. Braces are counted over the brace positions of each piece that follows
+    a `boxed{`, so nesting may have any depth and texts any length; a closing brace before % keeps its brace."""
+    pieces = F.slice(F.split(text, r"boxed\{"), 2, F.greatest(F.size(F.split(text, r"boxed\{")) - 1, F.lit(0)))
 
+    def content(piece):
+        runs = F.regexp_extract_all(piece, F.lit(r"[^{}]*+[{}]"), F.lit(0))
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
-def last_boxed(text: Column) -> Column:
-    r"""Content of the last \boxed{...} with balanced braces, to a nesting depth of four."""
-    return last_match(text, BOXED, 1)
+        def step(acc, run):
+            depth = acc["depth"] + F.when(run.endswith("{"), 1).otherwise(-1)
+            at = acc["at"] + F.length(run)
+            return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] < 0) & (depth < 0), at - 1).otherwise(acc["end"]).alias("end"))
+
+        end = F.aggregate(runs, zero, step)["end"]
+        size = F.when(piece.substr(end + 2, F.lit(1)) == "%", end + 1).otherwise(end)
+        return F.when(end >= 0, piece.substr(F.lit(1), size))
+
+    closed = F.filter(F.transform(pieces, content), lambda x: x.isNotNull())
+    return F.try_element_at(closed, F.lit(-1))
 
 
 # Plain-text replacements and removals of the answer normalisation, in order.
@@ -86,12 +97,14 @@ def normal_answer(text: Column) -> Column:
 
 def latex_normal(text: Column) -> Column:
     """Normal form of a LaTeX string: fractions, roots, units, degrees, leading dots, spaces."""
-    x = text
+    x = strip(text)
+    outer = r"^\\text\{(.+?)\}$"
+    x = F.when(x.rlike(outer), strip(F.regexp_extract(x, outer, 1))).otherwise(x)
     for old, new in [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""),
                      ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]:
         x = F.replace(x, F.lit(old), F.lit(new))
     x = F.regexp_replace(x, r"\\text\{ .*$", "")
-    x = F.replace(F.replace(x, F.lit("\\%"), F.lit("")), F.lit("%"), F.lit(""))
+    x = F.replace(x, F.lit("\\%"), F.lit(""))
     x = F.regexp_replace(x, r"(^| |\{)\.", "$10.")
     # a short left-hand side (`k = `) is dropped
     parts = F.split(x, "=")
@@ -122,10 +135,12 @@ def count_of(text: Column, needle: str) -> Column:
 
 
 def boxed_or_delimited(prompt: Column, text: Column) -> Column:
-    """Parse mode from the prompt: `# answer` means exactly one delimiter split, otherwise boxed."""
-    parts = F.split(text, r"# answer")
+    """Parse mode from the prompt: with `# answer` in it (any case) the text must hold `# Answer` and a line end exactly once
+    and what follows is the answer; otherwise the last boxed content in its normal form. Empty answers are null."""
+    parts = F.split(text, "# Answer\n")
     by_mark = F.when(F.size(parts) == 2, strip(F.element_at(parts, 2)))
-    return F.when(F.contains(F.lower(prompt), F.lit("# answer")), by_mark).otherwise(last_boxed(text))
+    found = F.when(F.contains(F.lower(prompt), F.lit("# answer")), by_mark).otherwise(latex_normal(last_boxed(text)))
+    return F.nullif(found, F.lit(""))
 
 
 def step_offsets(text: Column, delimiter: str = "\n", answer_mark: str = "####") -> Column:

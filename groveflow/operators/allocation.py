@@ -94,14 +94,14 @@ def allocation_summary(rows: DataFrame) -> DataFrame:
 
 def accounting(rows: DataFrame) -> DataFrame:
     """Per-node accounting columns and invariants of an allocation."""
-    d, k, p = F.col("default_k"), F.col("k"), F.col("predicted_k")
+    d, k = F.col("default_k"), F.col("k")
     return rows.withColumns(
         {
             "cap": F.col("upper"),
             "base": F.col("lower"),
             "saved": F.greatest(d - k, F.lit(0)),
             "additional": F.greatest(k - d, F.lit(0)),
-            "unmet": F.greatest(p - k, F.lit(0)),
+            "unmet": F.greatest(k - d, F.lit(0)),
             "weight": F.sqrt("c"),
             "valid": (k >= F.col("lower")) & (k <= F.col("upper")) & (k == d - F.greatest(d - k, F.lit(0)) + F.greatest(k - d, F.lit(0))),
         }

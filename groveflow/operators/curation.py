@@ -196,8 +196,8 @@ def accuracy_filter(df: DataFrame, lo: float, hi: float, limit: int, oversample:
 
 
 def best_turn(df: DataFrame, conv: str, turn: str, score: str, tie: str) -> DataFrame:
-    """First row per conversation in (turn, score descending) order."""
-    return first_k(df, [conv], [F.col(turn), F.desc(score), F.col(tie)], 1)
+    """First row per conversation: the highest turn, and of equal turns the highest score."""
+    return first_k(df, [conv], [F.desc(turn), F.desc(score), F.col(tie)], 1)
 
 
 def dedup_by(df: DataFrame, text: Column, order: str) -> DataFrame:

@@ -175,21 +175,27 @@ def clip_report(tokens: DataFrame, low: float = 0.2, high: float = 0.2, dual: fl
 
 
 def _sequence_ratio(tokens):
-    m = F.col("mask")
-    per = tokens.groupBy("rollout_id").agg(
-        (F.sum((F.col("old_lp") - F.col("rollout_lp")) * m) / F.greatest(F.sum(m), F.lit(1))).alias("g"),
-        F.avg(F.when(m == 1, F.col("advantage"))).alias("a"), F.sum(m).alias("n"),
+    """Per sequence: mean log ratio g of its tokens, and what its tokens' advantages add up to by sign."""
+    m, a = F.col("mask"), F.col("advantage")
+    d = F.col("old_lp") - F.col("rollout_lp")
+    return tokens.groupBy("rollout_id").agg(
+        (F.sum(d * m) / F.greatest(F.sum(m), F.lit(1))).alias("g"), F.sum(m).alias("n"), F.sum(d * m).alias("d"),
+        F.sum(F.greatest(a, F.lit(0.0)) * m).alias("up"), F.sum(F.greatest(-a, F.lit(0.0)) * m).alias("down"),
+        F.sum((a > 0).cast("int") * m).alias("n_up"), F.sum((a < 0).cast("int") * m).alias("n_down"),
     )
-    return per
 
 
 @DIAGNOSTICS.add("sequence_ratio")
 def sequence_ratio_report(tokens: DataFrame, low: float = 0.0003, high: float = 0.0004) -> DataFrame:
-    """Length-normalised sequence ratio with its own clip range: mean of sequence means."""
+    """Length-normalised sequence ratio with its own clip range. Every token is clipped by its own advantage: with
+    one ratio a sequence, sums of the advantages by sign give the token losses. Loss: mean of the sequences' token
+    means; clipped share and kl: means over tokens."""
     per = _sequence_ratio(tokens).where("n > 0").withColumn("r", F.exp(F.least(F.col("g"), F.lit(10.0))))
-    l1, l2 = -F.col("a") * F.col("r"), -F.col("a") * clip(F.col("r"), 1 - low, 1 + high)
+    per = per.withColumn("cr", clip(F.col("r"), 1 - low, 1 + high))
+    loss = (F.col("down") * F.greatest("r", "cr") - F.col("up") * F.least("r", "cr")) / F.col("n")
+    clipped = F.when(F.col("cr") < F.col("r"), F.col("n_up")).when(F.col("cr") > F.col("r"), F.col("n_down")).otherwise(0)
     return per.agg(
-        F.avg(F.greatest(l1, l2)).alias("loss"), F.avg((l2 > l1).cast("double")).alias("clipped"), F.avg(-F.col("g")).alias("kl"), F.avg("r").alias("ratio"),
+        F.avg(loss).alias("loss"), (F.sum(clipped) / F.sum("n")).alias("clipped"), (-F.sum("d") / F.sum("n")).alias("kl"), F.avg("r").alias("ratio"),
     )
 
 

@@ -53,11 +53,11 @@ def dispersion(pairs: DataFrame, sizes: DataFrame, **bound) -> DataFrame:
 
 def terminal_dispersion(pilots: DataFrame, pairs: DataFrame, **bound) -> DataFrame:
     """Dispersion with finished pilots as atoms: continuing pairs by distance, finished-continuing pairs at
-    distance 1, finished pairs by squared reward difference; divided by all pilots squared. The last two need
+    distance 1, finished pairs with both rewards by squared reward difference; divided by all pilots squared. The last two need
     only counts and moments: sum over pairs of (R_i - R_j)^2 = n sum R^2 - (sum R)^2."""
     fin = F.col("finished")
     p = pilots.groupBy("node_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(fin).alias("f"), F.sum(F.when(fin, F.col("reward"))).alias("r"),
+        F.count(F.lit(1)).alias("n"), F.count_if(fin).alias("f"), F.count(F.when(fin, F.col("reward"))).alias("known"), F.sum(F.when(fin, F.col("reward"))).alias("r"),
         F.sum(F.when(fin, F.col("reward") * F.col("reward"))).alias("rr"),
     )
     b = value_gap_bound(F.col("tv"), **bound)
@@ -66,7 +66,7 @@ def terminal_dispersion(pilots: DataFrame, pairs: DataFrame, **bound) -> DataFra
     n2 = F.col("n") * F.col("n")
     live = F.col("n") - F.col("f")
     rows = p.join(cc, "node_id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    terminal = F.coalesce(F.greatest(F.col("f") * F.col("rr") - F.col("r") * F.col("r"), F.lit(0.0)), F.lit(0.0)) / n2
+    terminal = F.coalesce(F.greatest(F.col("known") * F.col("rr") - F.col("r") * F.col("r"), F.lit(0.0)), F.lit(0.0)) / n2
     cross = F.col("f") * live * one * one / n2
     multi = F.col("n") > 1
     return rows.select(

@@ -114,9 +114,10 @@ def with_batch(slots, mini, keys, order):
 
 
 def micro_batches(groups: DataFrame, limit: int) -> DataFrame:
-    """Parents (batch, parent, size) of a logical batch packed in order without splitting; a parent larger
-    than the limit stands alone. A logical batch has `mini` slots at most: one small array."""
-    per = groups.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("parent", "size"))).alias("g"))
+    """Parents (batch, tree, parent, size) of a logical batch packed without splitting, in the order of tree and parent as
+    texts; a parent larger than the limit stands alone. A logical batch has `mini` slots at most: one small array."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    per = groups.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(text("tree"), text("parent"), "size"))).alias("g"))
     kind = "array<struct<parent:string,size:bigint,micro:int>>"
     zero = F.struct(
         F.lit(0).alias("micro"), F.lit(0).cast("bigint").alias("used"), F.array().cast(kind).alias("out")

@@ -154,6 +154,6 @@ def audit(pruned: DataFrame, full: DataFrame, tolerance: float) -> DataFrame:
         F.count_if(share).alias("shares"),
         F.count_if(share & (F.abs(F.col("true_value") - F.col("target_value")) > tolerance)).alias("false_shares"),
         F.count_if(prune).alias("prunes"),
-        F.count_if(prune & (F.col("true_value") > tolerance)).alias("false_prunes"),
+        F.count_if(prune & (F.col("true_value") > 0)).alias("false_prunes"),
         F.count_if(F.col("true_value").isNull()).alias("unmatched"),
     )

@@ -49,7 +49,7 @@ def flatten_trees(docs: DataFrame, depth: int) -> DataFrame:
         out.append(
             level.select(
                 "tree_id",
-                F.col("n.id").alias("node_id"),
+                (F.when(F.col("n.children").isNotNull(), F.raise_error(F.lit("a tree is deeper than the schema"))).otherwise(F.col("n.id")) if last else F.col("n.id")).alias("node_id"),
                 "parent_id",
                 F.lit(d).alias("depth"),
                 "pre_order",

@@ -262,7 +262,7 @@ def queue_budgets(spark, path):
     return AL.queue_budgets(nodes, 3, 250)
 
 
-@query("b19_accounting", f"""WITH {BOUNDED} SELECT node_id, upper::BIGINT AS cap, lower::BIGINT AS base, greatest(default_k-k,0)::BIGINT AS saved, greatest(k-default_k,0)::BIGINT AS additional, greatest(predicted_k-k,0)::BIGINT AS unmet, {R('sqrt(c)')} AS weight, k BETWEEN lower AND upper AS valid FROM res""")
+@query("b19_accounting", f"""WITH {BOUNDED} SELECT node_id, upper::BIGINT AS cap, lower::BIGINT AS base, greatest(default_k-k,0)::BIGINT AS saved, greatest(k-default_k,0)::BIGINT AS additional, greatest(k-default_k,0)::BIGINT AS unmet, {R('sqrt(c)')} AS weight, k BETWEEN lower AND upper AS valid FROM res""")
 def accounting(spark, path):
     rows = AL.accounting(allocated(spark, path))
     return rows.select("node_id", "cap", "base", "saved", "additional", "unmet", r6("weight").alias("weight"), "valid")

@@ -96,7 +96,7 @@ def overlong(spark, path):
 def parse_mode(spark, path):
     k = F.col("id") % 3 == 0
     prompt = F.when(k, "Write # Answer first").otherwise("Solve")
-    text = F.concat(F.col("text"), F.lit("\n# answer "), F.col("n"))
+    text = F.concat(F.col("text"), F.lit("\n# Answer\n"), F.col("n"))
     return responses(spark, path).select("id", X.boxed_or_delimited(prompt, text).alias("answer"))
 
 
@@ -352,7 +352,7 @@ def date_range(spark, path):
     return views.table(spark, path, "orders").where((d >= F.lit("1997-01-01").cast("timestamp_ntz")) & (d < F.lit("1998-01-01").cast("timestamp_ntz"))).select("o_orderkey")
 
 
-@query("w01_best_turn", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r=1")
+@query("w01_best_turn", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r=1")
 def best_turn(spark, path):
     return C.best_turn(views.table(spark, path, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey")
 

@@ -120,8 +120,10 @@ def control_variate(spark, path):
     return ALL6(D.sequence_control_variate(views.tokens(spark, path)))
 
 
-@query("w26_sequence_ratio", f"""WITH {VALUED}, p AS (SELECT sum((old_lp-rollout_lp)*mask)/greatest(sum(mask),1) AS g, avg(advantage) FILTER (mask=1) AS a FROM valued GROUP BY rollout_id HAVING sum(mask)>0), r AS (SELECT *, exp(g) AS r FROM p)
-  SELECT {R('avg(greatest(-a*r,-a*least(greatest(r,1-0.0003),1+0.0004)))')} AS loss, {R('avg((-a*least(greatest(r,1-0.0003),1+0.0004)>-a*r)::INT)')} AS clipped, {R('avg(-g)')} AS kl, {R('avg(r)')} AS ratio FROM r""")
+@query("w26_sequence_ratio", f"""WITH {VALUED}, p AS (SELECT rollout_id, exp(sum((old_lp-rollout_lp)*mask)/sum(mask)) AS r FROM valued GROUP BY rollout_id HAVING sum(mask)>0),
+  t AS (SELECT v.*, r, -advantage*r AS l1, -advantage*least(greatest(r,1-0.0003),1+0.0004) AS l2 FROM valued v JOIN p USING (rollout_id)),
+  s AS (SELECT sum(greatest(l1,l2)*mask)/sum(mask) AS l, any_value(r) AS r FROM t GROUP BY rollout_id)
+  SELECT (SELECT {R('avg(l)')} FROM s) AS loss, {R('sum((l2>l1)::INT*mask)/sum(mask)')} AS clipped, {R('-sum((old_lp-rollout_lp)*mask)/sum(mask)')} AS kl, (SELECT {R('avg(r)')} FROM s) AS ratio FROM t""")
 def sequence_ratio(spark, path):
     return ALL6(DIAGNOSTICS.pick("sequence_ratio")(valued_tokens(spark, path)))
 

@@ -75,10 +75,16 @@ def padding(spark, path):
     return pad.groupBy("iteration", "batch").agg(F.count(F.lit(1)).alias("dummies"))
 
 
-@query("w17_micro_batches")
+@query("w17_micro_batches", f"""WITH RECURSIVE {EDGES}, sx AS (SELECT *, 1+edge_id%7 AS n_tokens, (row_number() OVER (PARTITION BY iteration ORDER BY edge_id)-1)//64 AS b FROM redges),
+  g AS (SELECT iteration||'/'||b AS batch, (question_id%8)::VARCHAR AS tree, question_id::VARCHAR AS parent, sum(n_tokens)::BIGINT AS size FROM sx GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY tree, parent) AS r FROM g),
+  w AS (SELECT batch, r, parent, size, 0 AS micro, CASE WHEN size>16 THEN 1 ELSE 0 END AS nm, CASE WHEN size>16 THEN 0 ELSE size END AS used FROM o WHERE r=1
+    UNION ALL SELECT batch, r, parent, size, nm+new, nm+new+big, CASE WHEN big=1 THEN 0 WHEN new=1 THEN size ELSE used+size END FROM (
+      SELECT o.*, w.nm, w.used, (o.size>16)::INT AS big, (w.used>0 AND w.used+o.size>16)::INT AS new FROM w JOIN o ON o.batch=w.batch AND o.r=w.r+1))
+  SELECT batch, parent, size, micro::INT AS micro FROM w""")
 def micro_batches(spark, path):
     rows = RP.with_batch(slots(spark, path), 64, ["iteration"], "edge_id")
-    g = rows.groupBy(F.concat_ws("/", "iteration", "batch").alias("batch"), F.col("question_id").alias("parent")).agg(F.sum("n_tokens").alias("size"))
+    g = rows.groupBy(F.concat_ws("/", "iteration", "batch").alias("batch"), F.pmod("question_id", F.lit(8)).alias("tree"), F.col("question_id").alias("parent")).agg(F.sum("n_tokens").alias("size"))
     return RP.micro_batches(g, 16)
 
 
@@ -293,8 +299,8 @@ def selected(spark, path):
     return first_k(good, ["uid"], [F.col("arrival"), F.col("rollout_id")], 4).select("uid", "rollout_id")
 
 
-@query("f14_episode_length_filter", f"""WITH {ROLLOUTS}, {TOKENS}, l AS (SELECT rollout_id, count(*) AS r FROM tokens GROUP BY 1) SELECT count(*) FILTER (n_tokens+r<=300) AS kept, count(*) FILTER (n_tokens+r>300) AS dropped FROM rollouts JOIN l USING (rollout_id)""")
+@query("f14_episode_length_filter", f"""WITH {ROLLOUTS}, {TOKENS}, l AS (SELECT rollout_id, count(*) AS r FROM tokens GROUP BY 1) SELECT count(*) FILTER (n_tokens+coalesce(r,0)<=300) AS kept, count(*) FILTER (n_tokens+coalesce(r,0)>300) AS dropped FROM rollouts LEFT JOIN l USING (rollout_id)""")
 def length_filter(spark, path):
     l = views.tokens(spark, path).groupBy("rollout_id").agg(F.count(F.lit(1)).alias("r"))
-    ok = F.col("n_tokens") + F.col("r") <= 300
-    return views.rollouts(spark, path).join(l, "rollout_id").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
+    ok = F.col("n_tokens") + F.coalesce("r", F.lit(0)) <= 300  # a response without tokens has length 0
+    return views.rollouts(spark, path).join(l, "rollout_id", "left").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))

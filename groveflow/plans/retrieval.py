@@ -79,7 +79,7 @@ def pending(spark, path):
 
 
 @query("j09_tree_audit", """WITH f AS (SELECT o_custkey AS problem, o_orderkey AS segment, ln(o_totalprice) AS v, o_orderpriority FROM orders), p AS (SELECT problem, segment, CASE WHEN o_orderpriority[1]='1' THEN 'share' WHEN o_orderpriority[1]='5' THEN 'prune' ELSE 'expand' END AS action, min(segment) OVER (PARTITION BY problem) AS target FROM f)
-  SELECT count(*) FILTER (action='share') AS shares, count(*) FILTER (action='share' AND abs(a.v-b.v)>1.0) AS false_shares, count(*) FILTER (action='prune') AS prunes, count(*) FILTER (action='prune' AND a.v>1.0) AS false_prunes, count(*) FILTER (a.v IS NULL) AS unmatched
+  SELECT count(*) FILTER (action='share') AS shares, count(*) FILTER (action='share' AND abs(a.v-b.v)>1.0) AS false_shares, count(*) FILTER (action='prune') AS prunes, count(*) FILTER (action='prune' AND a.v>0) AS false_prunes, count(*) FILTER (a.v IS NULL) AS unmatched
   FROM p LEFT JOIN f a ON a.problem=p.problem AND a.segment=p.segment LEFT JOIN f b ON b.problem=p.problem AND b.segment=p.target""")
 def tree_audit(spark, path):
     from ..operators.spread import attach_stats

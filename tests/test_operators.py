@@ -293,7 +293,7 @@ def test_complete_trees_equal_greedy(spark):
 def test_micro_batches_equal_the_loop(spark):
     rng = random.Random(6)
     sizes = [(b, f"p{i:02d}", rng.choice([1, 2, 3, 5, 9])) for b in range(5) for i in range(12)]
-    df = spark.createDataFrame(sizes, "batch int, parent string, size bigint")
+    df = spark.createDataFrame(sizes, "batch int, parent string, size bigint").withColumn("tree", F.lit("t"))
     got = {(r.batch, r.parent): r.micro for r in RP.micro_batches(df, 6).collect()}
     for b in range(5):
         packed, cur, used = [], [], 0
@@ -380,3 +380,71 @@ def test_nearest_key_prefers_upper_on_ties(spark):
     probes = spark.createDataFrame([(10, 2.0), (11, 1.9), (12, 0.0), (13, 9.0)], "probe_id bigint, x double")
     got = {r.probe_id: r.key_id for r in RT.nearest_key(probes, keys).collect()}
     assert got == {10: 2, 11: 1, 12: 1, 13: 2}
+
+
+# --- hand cases of mended operators -------------------------------------------------------------------
+
+
+def test_boxed_has_no_depth_or_length_limit(spark):
+    deep = "{" * 50 + "7" + "}" * 50
+    long = "x" * 200_000
+    rows = [(1, "\\boxed{" + deep + "} end"), (2, "\\boxed{" + long + "}"), (3, "\\boxed{1} \\boxed{2 {3"), (4, "\\boxed{50}% of"), (5, "{}" * 3000)]
+    got = {r.i: r.b for r in spark.createDataFrame(rows, "i int, t string").select("i", X.last_boxed(F.col("t")).alias("b")).collect()}
+    assert got == {1: deep, 2: long, 3: "1", 4: "50}", 5: None}
+
+
+@pytest.mark.parametrize("text, want", [("50%", "50%"), ("50\\%", "50"), ("\\text{ 3 m}", "3m"), (" \\frac12 ", "\\frac{1}{2}")])
+def test_latex_normal_percent_and_outer_text(spark, text, want):
+    assert one(spark.createDataFrame([(text,)], "t string").select(X.latex_normal(F.col("t")))) == want
+
+
+@pytest.mark.parametrize(
+    "prompt, text, want",
+    [
+        ("put it after # Answer", "x\n# Answer\n42", "42"),
+        ("put it after # answer", "x\n# Answer\n ", None),
+        ("put it after # answer", "# Answer\n1\n# Answer\n2", None),
+        ("put it after # answer", "# answer 42", None),
+        ("box it", "so \\boxed{\\dfrac12}", "\\frac{1}{2}"),
+        ("box it", "so \\boxed{}", None),
+    ],
+)
+def test_parse_mode(spark, prompt, text, want):
+    assert one(spark.createDataFrame([(prompt, text)], "p string, t string").select(X.boxed_or_delimited(F.col("p"), F.col("t")))) == want
+
+
+def test_terminal_dispersion_needs_both_rewards(spark):
+    pilots = spark.createDataFrame([("n", 0, True, 1.0), ("n", 1, True, 0.0), ("n", 2, True, None)], "node_id string, pilot int, finished boolean, reward double")
+    pairs = spark.createDataFrame([], "node_id string, i int, j int, tv double")
+    assert abs(D.terminal_dispersion(pilots, pairs, eps_tail=0.05).first().terminal - 1 / 9) < 1e-12
+
+
+def test_sequence_ratio_clips_each_token_by_its_own_sign(spark):
+    from groveflow.operators.registry import DIAGNOSTICS
+    import groveflow.operators.diagnostics  # noqa: F401
+
+    rows = [(1, 0.2, 0.0, 1.0, 1), (1, 0.0, 0.0, -2.0, 1), (1, 5.0, 0.0, 9.0, 0), (2, 0.0, 0.1, 1.0, 1)]
+    got = DIAGNOSTICS.pick("sequence_ratio")(spark.createDataFrame(rows, "rollout_id int, old_lp double, rollout_lp double, advantage double, mask int")).first()
+    r1, r2, hi, lo = math.exp(0.1), math.exp(-0.1), 1.0004, 0.9997
+    first = (-1.0 * hi + 2.0 * r1) / 2  # the gain is clipped, the loss is not
+    second = -1.0 * r2
+    assert abs(got.loss - (first + second) / 2) < 1e-12 and abs(got.clipped - 1 / 3) < 1e-12 and abs(got.kl - (-0.1 / 3)) < 1e-12
+
+
+def test_best_turn_takes_the_highest(spark):
+    from groveflow.operators import curation
+
+    df = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.1, 2), (1, 2, 0.5, 3), (2, 1, 0.0, 4)], "conv int, turn int, score double, id int")
+    assert sorted(r.id for r in curation.best_turn(df, "conv", "turn", "score", "id").collect()) == [3, 4]
+
+
+def test_micro_batches_order_by_tree_then_parent(spark):
+    df = spark.createDataFrame([("b", "t2", "p1", 3), ("b", "t1", "p9", 3), ("b", "t1", "p10", 2)], "batch string, tree string, parent string, size bigint")
+    assert {r.parent: r.micro for r in RP.micro_batches(df, 5).collect()} == {"p10": 0, "p9": 0, "p1": 1}
+
+
+def test_deeper_tree_is_an_error(spark):
+    docs = spark.createDataFrame([("t", '{"id": "a", "children": [{"id": "b", "children": [{"id": "c"}]}]}')], "tree_id string, doc string")
+    assert T.flatten_trees(docs, 2).count() == 3
+    with pytest.raises(Exception, match="deeper than the schema"):
+        T.flatten_trees(docs, 1).collect()

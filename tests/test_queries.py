@@ -11,9 +11,12 @@ PATH = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(PATH), reason="test tables not present")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
-    return connect(PATH)
+    """A connection of its own for every test: a failure stays with its query."""
+    with connect(PATH) as con:
+        con.execute("SET threads=2; SET memory_limit='2GB'")
+        yield con
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
