@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 # A group is hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot
 # groups whatever the data: the broadcast list of hot keys has a proven bound.
 HOT_PARTS = 1024
-HOT_ROWS = 100_000
 SALTS = 64
 
 
@@ -25,25 +24,29 @@ def add_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("__one", one.select(F.struct(*one.columns)).scalar()).select("*", "__one.*").drop("__one")
 
 
+def keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add the keys as one struct `__k`, which groups, partitions and joins with null equal to null."""
+    return (df.withColumn("__k", F.struct(*keys)), ["__k"]) if keys else (df, [])
+
+
 def attach_stats(
     df: DataFrame,
     keys: list[str],
     aggs: dict[str, Column],
     row_key: list[str],
-    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     how: str = "inner",
 ) -> DataFrame:
-    """Add per-group aggregates to every row. Keys must not be null.
+    """Add per-group aggregates to every row; null keys are a group of their own.
 
     Groups above the hot threshold are joined on (key, salt): their one statistics row is copied to each
     salt while their rows spread over the salts by a hash of the unique row key.
     """
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggs.items()])
-    return join_stats(df, stats, keys, row_key, None, hot_rows, salts, how).drop("__n")
+    return join_stats(df, stats, keys, row_key, None, salts, how).drop("__n")
 
 
-def join_stats(df, stats, keys, row_key, sizes=None, hot_rows=HOT_ROWS, salts=SALTS, how="inner"):
+def join_stats(df, stats, keys, row_key, sizes=None, salts=SALTS, how="inner"):
     """Join rows with one-row-per-key `stats` that carries the group size `__n`.
 
     Hot keys are read from `sizes` (keys, __n), by default `stats` itself; pass a stored table where `stats`
@@ -51,16 +54,19 @@ def join_stats(df, stats, keys, row_key, sizes=None, hot_rows=HOT_ROWS, salts=SA
     """
     sizes = stats.select(*keys, "__n") if sizes is None else sizes
     total = scalar(sizes, F.sum("__n"))
-    is_hot = (F.col("__n") > F.lit(hot_rows)) & (F.col("__n") * HOT_PARTS > total)
+    is_hot = F.col("__n") * HOT_PARTS > total
     hot = sizes.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
+    hot, key = keyed(hot, keys)
+    rows, _ = keyed(df, keys)
+    rows = rows.join(F.broadcast(hot.drop(*keys)), key, "left").withColumn(
         "__salt",
         F.when(F.col("__hot"), F.pmod(F.xxhash64(*row_key), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
     )
-    copies = stats.withColumn(
+    copies, _ = keyed(stats, keys)
+    copies = copies.drop(*keys).withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0))))
     )
-    return rows.drop("__hot").join(copies, [*keys, "__salt"], how).drop("__salt")
+    return rows.drop("__hot").join(copies, [*key, "__salt"], how).drop("__salt", "__k")
 
 
 def hash_bucket(key: Column, digits: int = 3) -> Column:
@@ -69,27 +75,23 @@ def hash_bucket(key: Column, digits: int = 3) -> Column:
 
 
 def value_bucket(df: DataFrame, col: Column, parts: int = 256, descending: bool = False):
-    """Order bucket for an ascending numeric column, from its minimum and maximum alone.
+    """Order bucket for an ascending numeric column: the number of split points at or below the value.
 
-    Half of the bucket width follows the value and half its logarithm, so even and heavy-tailed columns both
-    spread. The ends are exact and order-independent: recomputed tasks always agree on the buckets. One value
-    never spans buckets: where a value may repeat without bound, count the distinct values first.
+    The split points are `parts` - 1 quantiles of the data itself, so buckets hold about as many rows each, whatever
+    outliers or infinities the column has. Nulls fall into the first bucket. One value never spans buckets: where a
+    value may repeat without bound, count the distinct values first.
 
-    Returns a function that adds the bucket `__b`; the ends stay one sub-query with one reference.
+    Returns a function that adds the bucket `__b`; the split points are one sub-query with one reference, evaluated once.
     """
     c = col.cast("double")
-    log = lambda x, unit: F.signum(x) * F.log1p(F.abs(x) / unit)
 
     def add(rows: DataFrame) -> DataFrame:
-        ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-        ends = ends.withColumn("unit", F.greatest(F.abs("lo"), F.abs("hi")) * 1e-9)
-        logs = {"llo": log(F.col("lo"), F.col("unit")), "lhi": log(F.col("hi"), F.col("unit"))}
-        ends = ends.select(F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi", "unit", *[v.alias(k) for k, v in logs.items()])).alias("e"))
-        rows = rows.withColumn("__e", ends.scalar())
-        e = F.col("__e")
-        share = ((c - e["lo"]) / (e["hi"] - e["lo"]) + (log(c, e["unit"]) - e["llo"]) / (e["lhi"] - e["llo"])) / 2
-        cell = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0)).cast("int")
-        return rows.withColumn("__b", -cell if descending else cell).drop("__e")
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        rows = rows.withColumn("__s", df.agg(F.percentile_approx(c, shares, F.lit(8 * parts)).alias("s")).scalar())
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range((parts - 1).bit_length()))])
+        # binary search for the number of split points at or below the value
+        cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when(c >= F.try_element_at(F.col("__s"), at + step), at + step).otherwise(at))
+        return rows.withColumn("__b", -cell if descending else cell).drop("__s")
 
     return add
 
@@ -111,19 +113,19 @@ def running_sum(
     `bucket` must be non-decreasing along `order`. A hot group is split over its buckets; the offsets table
     has one row per (group, bucket).
     """
-    rows = with_bucket(df, bucket)
-    per_bucket = rows.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__p_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    rows, key = keyed(with_bucket(df, bucket), keys)
+    per_bucket = rows.groupBy(*key, "__b").agg(*[F.sum(c).alias(f"__p_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *keys,
+        *key,
         "__b",
         *[F.coalesce(F.sum(f"__p_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
     )
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    out = out.join(offsets, [*keys, "__b"])
+    out = out.join(offsets, [*key, "__b"])
     return out.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums}).drop(
-        "__b", *[f"__o_{n}" for n in sums]
+        "__b", "__k", *[f"__o_{n}" for n in sums]
     )
 
 
@@ -132,16 +134,16 @@ def last_known(df, keys, order, bucket, value: Column, name: str) -> DataFrame:
 
     Looked up inside the order bucket first; the value carried in from earlier buckets is joined on.
     """
-    rows = with_bucket(df, bucket).withColumn("__v", value)
+    rows, key = keyed(with_bucket(df, bucket).withColumn("__v", value), keys)
     ends = (
-        rows.groupBy(*keys, "__b")
+        rows.groupBy(*key, "__b")
         .agg(F.max_by(F.col("__v"), F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
     )
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "__b", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn(name, F.last("__v", ignorenulls=True).over(inside)).join(carried, [*keys, "__b"])
-    return out.withColumn(name, F.coalesce(F.col(name), F.col("__carry"))).drop("__b", "__v", "__carry")
+    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, "__b", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    inside = Window.partitionBy(*key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(name, F.last("__v", ignorenulls=True).over(inside)).join(carried, [*key, "__b"])
+    return out.withColumn(name, F.coalesce(F.col(name), F.col("__carry"))).drop("__b", "__v", "__carry", "__k")
 
 
 def ranked(df, keys, order, bucket, name="rank") -> DataFrame:

@@ -75,14 +75,15 @@ def main():
 
     args = sys.argv[1:]
     path = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark, con = local_session(), connect(path)
+    spark = local_session()
     failed = []
     for name in QUERIES:
         if args and not any(name.startswith(a) for a in args):
             continue
         start = time.time()
         try:
-            result = compare(spark, con, QUERIES[name], SQL.get(name), path)
+            with connect(path) as con:  # a fatal error of the engine ends with its query
+                result = compare(spark, con, QUERIES[name], SQL.get(name), path)
         except Exception as e:  # report and go on
             result = "FAIL " + type(e).__name__ + " " + str(e)[:700]
         if result.startswith("FAIL"):

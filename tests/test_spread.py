@@ -16,21 +16,39 @@ def rows(spark):
     return spark.createDataFrame(data, "g int, id bigint, v double").repartition(7).cache(), data
 
 
-def test_salted_stats_equal_plain_ones(rows):
+@pytest.mark.parametrize("salts", [1, 64])
+def test_salted_stats_equal_plain_ones(rows, salts):
     df, data = rows
-    args = (["g"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, ["id"])
-    hot = {r.id: (r.n, round(r.s, 3)) for r in SP.attach_stats(df, *args, hot_rows=0).collect()}
-    cold = {r.id: (r.n, round(r.s, 3)) for r in SP.attach_stats(df, *args).collect()}
-    assert hot == cold and len(hot) == len(data)
+    got = {r.id: (r.n, round(r.s, 3)) for r in SP.attach_stats(df, ["g"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, ["id"], salts=salts).collect()}
+    want = {}
+    for g, _, v in data:
+        n, s = want.get(g, (0, 0.0))
+        want[g] = n + 1, s + v
+    assert got == {i: (want[g][0], round(want[g][1], 3)) for g, i, _ in data}
 
 
 def test_hot_rows_spread_over_salts(rows):
     df, _ = rows
     stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("__n"))
-    plan = SP.join_stats(df, stats, ["g"], ["id"], hot_rows=0)._jdf.queryExecution().toString()
+    plan = SP.join_stats(df, stats, ["g"], ["id"])._jdf.queryExecution().toString()
     assert "__salt" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("odd", [1e12, float("inf"), float("-inf"), float("nan")])
+def test_outliers_leave_buckets_even(spark, odd):
+    df = spark.range(100_000).select((F.col("id") / 100_000).alias("v")).unionByName(spark.createDataFrame([(odd,)], "v double"))
+    sizes = [r["count"] for r in SP.with_bucket(df, SP.value_bucket(df, F.col("v"))).groupBy("__b").count().collect()]
+    assert len(sizes) == 256 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_null_keys_and_values_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 1.0), (1, 3, 5.0), (1, 4, None)], "g int, id bigint, v double")
+    order = [F.col("v").asc_nulls_first(), F.col("id")]
+    assert {r.id: r["rank"] for r in SP.ranked(df, ["g"], order, SP.value_bucket(df, F.col("v"))).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
+    assert {r.id: r.n for r in SP.attach_stats(df, ["g"], {"n": F.count(F.lit(1))}, ["id"]).collect()} == {1: 2, 2: 2, 3: 2, 4: 2}
+    assert {r.id: r.seen for r in SP.last_known(df, ["g"], [F.col("id")], SP.value_bucket(df, F.col("id")), F.col("v"), "seen").collect()} == {1: 2.0, 2: 1.0, 3: 5.0, 4: 5.0}
+
+
 @pytest.mark.parametrize("keys", [[], ["g"]])
 def test_ranks(rows, keys):
     df, data = rows
