@@ -13,8 +13,14 @@ SQL: dict[str, str] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+TEXTS = 1000  # rows in one batch that goes to a Python worker: texts are long, and a worker's memory follows the batch
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers find this package where the session was started without it on the path."""
+    """Small batches for the Python workers, and this package on their path where the session was started without it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXTS:
+        spark.conf.set(name, str(TEXTS))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
