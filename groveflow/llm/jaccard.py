@@ -12,8 +12,8 @@ their sets is `PERCENT` hundredths or more. The work goes:
    (the union over the group). Frequent tokens come last in the order, so common passages hardly occur in prefixes.
 4. Bound. A class and a foreign group that share c prefix tokens overlap in at most c + max(n - prefix) tokens with any
    member, so c must reach a number that follows from the sizes. Ordered by rarity, the first common token then has as
-   many prefix tokens from there on in both, so frequent tokens of a prefix need not be looked up at all. Only groups
-   whose union holds enough of the class's prefix are opened, in one direction: the smaller group asks.
+   many prefix tokens from there on in both, so frequent tokens of a prefix need not be looked up at all. A second bound
+   holds the classes' numbers of tokens in 16 buckets against the largest ones of the group's members. Only groups whose union holds enough of the class's prefix are opened, in one direction: the smaller group asks.
 5. Opened groups are compared member by member on whole sets: first a few members each (`FEW`, by hash), then, with the
    components known so far, all others that are not connected yet. The links of all rounds give the components.
 
@@ -27,6 +27,8 @@ not count as smallest id; extra columns are ignored; an empty table gives an emp
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,6 +79,12 @@ class Sets:
         pair = [self.reduce(np.add, kernel.mix(self.tokens ^ np.uint64(s))) for s in (0x243F6A8885A308D3, 0x13198A2E03707344)]
         return np.stack([kernel.mix(p + self.size.astype(np.uint64)) for p in pair], 1).astype(">u8").view("V16").ravel()
 
+    def histograms(self) -> list[np.ndarray]:
+        """Tokens per bucket, 16 buckets by their last bits, a byte each in two numbers; 255 stands for 255 or more."""
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        counts = np.bincount(owner * 16 + (self.tokens & np.uint64(15)).astype(np.int64), minlength=16 * len(self.size))
+        return list(np.minimum(counts, 255).astype(np.uint8).reshape(-1, 2, 8).copy().view("<i8")[:, :, 0].T)
+
     def minima(self) -> list[np.ndarray]:
         return [self.reduce(np.minimum, kernel.mix(self.tokens * np.uint64(2 * j + 3) + np.uint64(j + 1))) for j in range(SEEDS)]
 
@@ -96,14 +104,14 @@ def prefix(n, percent: int = PERCENT):
 def _describe(width):
     """Rows of documents: doc_id, class, size, min-hashes; and, with null class, tokens proposed as frequent and their count."""
 
-    names = ["doc_id", "c", "n", *(f"m{j}" for j in range(SEEDS))]
+    names = ["doc_id", "c", "n", *(f"m{j}" for j in range(SEEDS)), "h0", "h1"]
 
     def proposals(held, kind):
         tokens, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= OFTEN
         k = int(often.sum())
         tokens, times = pa.array(tokens[often].view(np.int64)), pa.array(times[often])
-        return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.binary()), times, tokens, *[pa.nulls(k, pa.int64())] * (SEEDS - 1)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.binary()), times, tokens, *[pa.nulls(k, pa.int64())] * (SEEDS + 1)], names=names)
 
     def run(batches):
         held, size, seen, kind = [], 0, set(), None
@@ -113,7 +121,7 @@ def _describe(width):
                 sets = Sets(column.slice(a, b - a), width)
                 classes = sets.digests()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), _binary(classes), pa.array(sets.size), *(pa.array(m.view(np.int64)) for m in sets.minima())], names=names
+                    [batch.column("doc_id").slice(a, b - a), _binary(classes), pa.array(sets.size), *(pa.array(m.view(np.int64)) for m in (*sets.minima(), *sets.histograms()))], names=names
                 )
                 new = [i for i, c in enumerate(classes.tolist()) if not (c in seen or seen.add(c))]  # equal sets count once in a block
                 held.append(sets.tokens[kernel.ragged(sets.bounds[new], sets.size[new])])
@@ -186,7 +194,7 @@ def _bitmap(names: DataFrame):
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the similarity."""
     spark = docs.sparkSession
-    names = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    names = materialise(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), "names")
     bitmap = spark.sparkContext.broadcast(_bitmap(names))
     sets = docs.select("text").mapInArrow(_whole_sets(width, bitmap), "c binary, packed binary").join(names, "c", "left_semi").dropDuplicates(["c"])
     sets = materialise(sets, "sets")
@@ -270,6 +278,15 @@ def _shared_tokens(batches):
         yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(times[part]), _binary(names[owner[part]])], names=["token", "times", "c"])
 
 
+def _byte(column: str, i: int):
+    return F.shiftrightunsigned(F.col(column), 8 * i).bitwiseAND(F.lit(255))
+
+
+def _count(column: str, i: int):
+    """A bucket's tokens; no bound where the byte is full."""
+    return F.when(_byte(column, i) < 255, _byte(column, i)).otherwise(F.lit(1 << 40))
+
+
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     """(documents: doc_id, c, n) and (verified links a, b between classes) that connect all similar documents."""
     spark = docs.sparkSession
@@ -277,9 +294,11 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     minima = [f"m{j}" for j in range(SEEDS)]
-    scanned = materialise(docs.mapInArrow(_describe(width), f"doc_id {kind}, c binary, n bigint, " + ", ".join(f"{m} bigint" for m in minima)), "classes")
+    columns = ", ".join(f"{x} bigint" for x in (*minima, "h0", "h1"))
+    scanned = materialise(docs.mapInArrow(_describe(width), f"doc_id {kind}, c binary, n bigint, {columns}"), "classes")
     documents = scanned.where("c is not null").select("doc_id", "c", "n")
-    classes = materialise(scanned.where("c is not null and n > 0").groupBy("c").agg(*(F.min(x).alias(x) for x in ("n", *minima))), "classes")
+    classes = scanned.where("c is not null and n > 0").groupBy("c").agg(*(F.min(x).alias(x) for x in ("n", *minima, "h0", "h1")))
+    classes = materialise(classes.withColumn("k", F.monotonically_increasing_id()), "classes")  # k: a short name, fixed by writing it
 
     # groups: verified stars around one leader per min-hash
     alike = lambda x: sum((F.col(m) == F.col(f"{x}.{m}")).cast("int") for m in minima)
@@ -293,9 +312,13 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     stars = materialise(stars.distinct(), "stars")
     first = materialise(verified(docs, stars, width, percent), "links")
     roots = components(first)
-    members = classes.select("c", "n").join(roots, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("root", "c").alias("g"))
-    groups = members.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    members = materialise(members.join(groups, "g"), "members")
+    members = classes.select("c", "k", "n", "h0", "h1").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
+    members = members.join(classes.select(F.col("c").alias("root"), F.col("k").alias("g")), "root").select("c", "k", "n", "h0", "h1", "g")
+    members = materialise(members, "members")
+    tops = [F.max(_byte(h, i)) for h in ("h0", "h1") for i in range(8)]
+    packed = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(top, 8 * i) for i, top in enumerate(tops[at : at + 8])]) for at in (0, 8)]
+    groups = members.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), packed[0].alias("t0"), packed[1].alias("t1"))
+    groups = materialise(groups, "groups")
 
     # the matrix of tokens and groups
     often = scanned.where("c is null").groupBy(F.col("m0").alias("token")).agg(F.sum("n").alias("times"))
@@ -304,30 +327,35 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], (len(tokens) - 1 - order).astype(np.uint64)))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.select("text").mapInArrow(_prefixes(width, percent, frequent, buckets), "bucket int, names binary, counts binary, tokens binary")
-    shared = packed.repartition(buckets, "bucket").mapInArrow(_shared_tokens, "token bigint, times bigint, c binary")
-    entries = shared.join(members, "c")
+    prefixes = docs.select("text").mapInArrow(_prefixes(width, percent, frequent, buckets), "bucket int, names binary, counts binary, tokens binary")
+    shared = prefixes.repartition(buckets, "bucket").mapInArrow(_shared_tokens, "token bigint, times bigint, c binary")
+    entries = shared.join(members.select("c", "k", "g"), "c").select("token", "times", "k", "g")
     across = entries.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
     # All tokens are ordered: those of one group only, then the rarest first. `left`: prefix tokens of the class from there on
-    by_class = Window.partitionBy("c").orderBy(F.desc("times"), F.desc("token"))
-    entries = materialise(entries.join(across, "token", "left_semi").withColumn("left", F.row_number().over(by_class)), "matrix")
-    matrix = entries.groupBy("token", F.col("g").alias("other")).agg(F.max("left").alias("left_there"), *(F.first(x).alias(y) for x, y in (("members", "many"), ("low", "low_there"), ("high", "high_there"))))
+    by_class = Window.partitionBy("k").orderBy(F.desc("times"), F.desc("token"))
+    entries = entries.join(across, "token", "left_semi").withColumn("left", F.row_number().over(by_class)).drop("times")
+    entries = materialise(entries, "entries")
+    matrix = entries.groupBy("token", "g").agg(F.max("left").alias("left_there"))
+    matrix = materialise(matrix.join(groups, "g").withColumnsRenamed({"g": "other", "members": "many", "low": "low_there", "high": "high_there"}), "matrix")
+    asking = entries.join(members.select("k", "n", "h0", "h1"), "k").join(groups.select("g", "members"), "g")
     asks = (F.col("members") < F.col("many")) | ((F.col("members") == F.col("many")) & (F.col("g") < F.col("other")))
     fits = (100 * F.col("high_there") >= percent * F.col("n")) & (percent * F.col("low_there") <= 100 * F.col("n"))
     # two similar sets share `need` prefix tokens at least, so the rarest of them has as many from there on in both
     rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  tokens behind the prefix
-    need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent)) - F.greatest(rest(F.col("n")), rest(m))
+    overlap = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent))
+    need = lambda m: overlap(m) - F.greatest(rest(F.col("n")), rest(m))
     least = F.greatest(F.col("low_there"), F.ceil(F.col("n") * percent / 100))
     most = F.least(F.col("high_there"), F.floor(F.col("n") * 100 / percent))
     enough = F.greatest(F.least(need(least), need(most)), F.lit(1))
-    met = entries.select("token", "c", "n", "g", "members", "left").join(matrix, "token")
-    met = met.where((F.col("g") != F.col("other")) & asks & fits & (F.least("left", "left_there") >= enough))
-    met = materialise(met.select("c", "other", enough.alias("enough")).distinct(), "met")
+    # in every bucket a class and a member share no more than the smaller of their numbers of tokens
+    both = reduce(lambda x, y: x + y, [F.least(_count(h, i), _count(t, i)) for h, t in (("h0", "t0"), ("h1", "t1")) for i in range(8)])
+    met = asking.join(matrix, "token").where((F.col("g") != F.col("other")) & asks & fits & (F.least("left", "left_there") >= enough) & (both >= overlap(least)))
+    met = materialise(met.select("k", "n", "other", enough.alias("enough")).distinct(), "met")
     # the bound: prefix tokens of the class that the group's union holds
-    shared = met.join(entries.select("c", "n", "token"), "c").join(matrix.select("token", "other"), ["token", "other"])
-    opened = shared.groupBy("c", "n", "other", "enough").agg(F.count("*").alias("shared")).where("shared >= enough")
-    opened = materialise(opened.select(F.col("c").alias("a"), "n", "other"), "opened")
-    inside = members.select(F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("m"), "members")
+    shared = met.join(entries.select("k", "token"), "k").join(matrix.select("token", "other"), ["token", "other"])
+    opened = shared.groupBy("k", "n", "other", "enough").agg(F.count("*").alias("shared")).where("shared >= enough")
+    opened = materialise(opened.join(members.select("k", F.col("c").alias("a")), "k").select("a", "n", "other"), "opened")
+    inside = members.join(groups, "g").select(F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("m"), "members")
     # first about FEW members of each opened group; most of what belongs together is then connected and needs no more looks
     slice_ = F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / FEW), F.lit(1))) == 0
     pairs = opened.join(inside, (opened.other == inside.other) & close(F.col("n"), F.col("m")) & slice_).select("a", "b")
