@@ -178,21 +178,23 @@ def resample_by_score(df: DataFrame, method: str = "pow", power: float = 2.0, se
         w = F.when(s == scalar(df, F.max("score")), 0.4).otherwise(0.1)
     else:
         raise ValueError(f"unknown method {method!r}")
+    whole = "decimal(38,0)"
     rows = df.withColumn("__w", F.greatest(w + 1e-8, F.lit(1e-8)))
     # integer weights: the running sums do not depend on the order of addition
-    rows = rows.withColumn("__w", F.greatest(F.round(F.col("__w") * 1e9).cast("bigint"), F.lit(1).cast("bigint")))
+    rows = rows.withColumn("__w", F.greatest(F.round(F.col("__w") * 1e9).cast(whole), F.lit(1).cast(whole)))
     total = scalar(rows, F.sum("__w"))
     line = running_sum(
         rows, [], [F.col("rollout_id")], value_bucket(df, F.col("rollout_id"), parts=4096), {"__hi": F.col("__w")}
     )
-    starts = line.select((F.col("__hi") - F.col("__w")).alias("at"), F.lit(None).cast("bigint").alias("draw"), "rollout_id")
+    starts = line.select((F.col("__hi") - F.col("__w")).cast(whole).alias("at"), F.lit(None).cast("bigint").alias("draw"), "rollout_id")
+    at = uniform(sample_key(seed, F.col("rollout_id"))) * total.cast("double")
     draws = df.select(
-        F.floor(uniform(sample_key(seed, F.col("rollout_id"))) * total).cast("bigint").alias("at"),
+        (at - at % 1).cast(whole).alias("at"),
         F.col("rollout_id").alias("draw"),
         F.lit(None).cast("bigint").alias("rollout_id"),
     )
     both = starts.unionByName(draws).withColumn("__kind", F.when(F.col("draw").isNull(), 0).otherwise(1))
-    cell = F.least(F.floor(F.col("at").cast("double") / total * 4096), F.lit(4095)).cast("int")
+    cell = F.least(F.floor(F.col("at").cast("double") / total.cast("double") * 4096), F.lit(4095)).cast("int")
     hit = last_known(both, [], [F.col("at"), F.col("__kind")], cell, F.col("rollout_id"), "picked")
     return hit.where(F.col("draw").isNotNull()).select("draw", F.col("picked").alias("rollout_id"))
 

@@ -5,23 +5,25 @@ from pyspark.sql import DataFrame
 from ..session import scratch_path
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream to the end of its input into a parquet table in the shared folder."""
+def to_table(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Drive a stream to the end of its input into a parquet table. With `out` and `state` given, a later call goes on from
+    where the last one ended; without them both are new folders in the shared folder."""
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
+    out = out or scratch_path(spark, name)
     q = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-        .option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+        .option("checkpointLocation", state or scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def each_batch(stream: DataFrame, name: str, write, mode: str = "append") -> None:
-    """Drive a stream through `write(df, batch_id)`; writers must be idempotent in the batch id."""
+def each_batch(stream: DataFrame, name: str, write, mode: str = "append", state: str | None = None) -> None:
+    """Drive a stream through `write(df, batch_id)`; writers must be idempotent in the batch id. With `state` given, a later
+    call goes on from where the last one ended."""
     q = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, f"{name}-state")).trigger(availableNow=True).start()
+        .option("checkpointLocation", state or scratch_path(stream.sparkSession, f"{name}-state")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
 

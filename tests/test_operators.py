@@ -448,3 +448,9 @@ def test_deeper_tree_is_an_error(spark):
     assert T.flatten_trees(docs, 2).count() == 3
     with pytest.raises(Exception, match="deeper than the schema"):
         T.flatten_trees(docs, 1).collect()
+
+
+def test_resample_of_large_scores(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([3e6, -3e6, 1.0, 0.0])], "rollout_id bigint, score double")
+    got = A.resample_by_score(df).collect()
+    assert len(got) == 4 and {r.rollout_id for r in got} <= {0, 1}

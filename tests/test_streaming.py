@@ -56,6 +56,32 @@ def test_replay_transactions(spark):
     assert t.read().count() == 6
 
 
+def test_replay_survives_retry_and_restart(spark):
+    t = table(spark)
+    t.add(edges(spark, range(10), 0), 0)
+    t.add(edges(spark, range(20, 25), 1), 1)
+    t.add(edges(spark, range(20, 25), 1), 1)  # the last batch again
+    assert t.read().count() == 15
+    again = S.ReplayTable(spark, 3, t.schema, t.root)
+    assert again.version == t.version and sorted(r.edge_id for r in again.read().collect()) == sorted(r.edge_id for r in t.read().collect())
+    again.add(edges(spark, range(20, 25), 1), 1)
+    again.reserve("r", cap=1, target=2)
+    again.add(edges(spark, range(20, 25), 1), 1)  # an earlier batch again: already in
+    assert again.read().count() == 15
+    again.add(edges(spark, [30], 9).unionByName(edges(spark, [31], 2)), 2)
+    assert again.late(2) == 1 and again.late(1) == 0 and again.late(7) is None
+
+
+def test_stream_goes_on_from_its_state(spark):
+    from groveflow.session import scratch_path
+
+    source, out, state = (scratch_path(spark, n) for n in ("src", "out", "state"))
+    for part in (range(3), range(3, 5)):
+        spark.createDataFrame([(i,) for i in part], "i bigint").write.mode("append").parquet(source)
+        got = to_table(spark.readStream.schema("i bigint").parquet(source), "t", out=out, state=state)
+    assert sorted(r.i for r in got.collect()) == list(range(5))
+
+
 def test_idle_counter_over_batches(spark):
     s = spark.createDataFrame([(1, i, i == 2) for i in range(8)], "run bigint, iteration int, progress boolean").repartitionByRange(4, "iteration")
     df = s.coalesce(1)
