@@ -5,15 +5,17 @@ their sets is `PERCENT` hundredths or more. The work goes:
 
 1. Classes. Documents with equal sets are one class, named by a 128-bit digest of the set.
 2. Groups. Classes that agree in at least two of four min-hashes are compared with the first class that has the same
-   min-hash (one leader per min-hash, so the pairs grow with the documents, not with the square of a group). Verified
-   links make groups of similar documents: connected already, none of their own pairs needs another look.
+   min-hash, and where many have it also with the first of a small team, dealt in a few ways; the pairs grow with the
+   documents, not with the square of a group. Verified links make groups of similar documents: connected already, none of
+   their own pairs needs another look. In the matrix a group stands in bands of nearly equal size.
 3. Matrix. In a fixed order of all tokens a set needs only its first n - ceil(0.8 n) + 1 tokens: a partner that shares
    none of them is below the threshold. For every token the matrix holds the groups whose members have it in this prefix
    (the union over the group). Frequent tokens come last in the order, so common passages hardly occur in prefixes.
 4. Bound. A class and a foreign group that share c prefix tokens overlap in at most c + max(n - prefix) tokens with any
    member, so c must reach a number that follows from the sizes. Ordered by rarity, the first common token then has as
-   many prefix tokens from there on in both, so frequent tokens of a prefix need not be looked up at all. A second bound
-   holds the classes' numbers of tokens in 16 buckets against the largest ones of the group's members. Only groups whose union holds enough of the class's prefix are opened, in one direction: the smaller group asks.
+   many prefix tokens from there on in both, so only tokens with so many left are looked up. A second bound on the overlap
+   holds the class's numbers of tokens in 16 buckets against the largest ones of the group's members. Only groups that pass
+   both are opened, in one direction: the smaller group asks.
 5. Opened groups are compared member by member on whole sets: first a few members each (`FEW`, by hash), then, with the
    components known so far, all others that are not connected yet. The links of all rounds give the components.
 
@@ -46,6 +48,8 @@ FREQUENT = 1 << 17
 BLOCK = 32 << 20  # bytes of texts that are counted together
 OFTEN = 4  # documents of one block in which a token must occur to be proposed as frequent
 FEW = 24
+TEAM, WAYS = 8, 2
+BAND = 1.05  # members of a group whose sizes differ by less than this stand together in the matrix
 BITS = 24
 
 
@@ -305,20 +309,29 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     close = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
     stars = None
     for m in minima:
-        leaders = classes.groupBy(m).agg(F.min(F.struct("c", "n", *minima)).alias("lead"), F.count("*").alias("times")).where("times > 1").select(F.col(m).alias("key"), "lead")
-        star = classes.join(leaders, F.col(m) == F.col("key")).where((F.col("c") != F.col("lead.c")) & (alike("lead") >= 2) & close(F.col("n"), F.col("lead.n")))
-        star = star.select(F.col("lead.c").alias("a"), F.col("c").alias("b"))
-        stars = star if stars is None else stars.unionByName(star)
+        sized = classes.groupBy(m).agg(F.count("*").alias("times")).where("times > 1").select(F.col(m).alias("key"), "times")
+        many = classes.join(sized, F.col(m) == F.col("key")).drop("key")
+        # one leader for all, and, where there are many, one for every few, dealt by hash in several ways
+        for way in range(1 + WAYS):
+            dealt = many.where(F.col("times") > TEAM) if way else many
+            dealt = dealt.withColumn("team", F.pmod(F.xxhash64("c", F.lit(way)), F.ceil(F.col("times") / TEAM)) if way else F.lit(0).cast("bigint"))
+            leaders = dealt.groupBy(F.col(m).alias("key"), F.col("team").alias("led")).agg(F.min(F.struct("c", "n", *minima)).alias("lead"))
+            star = dealt.join(leaders, (F.col(m) == F.col("key")) & (F.col("team") == F.col("led")))
+            star = star.where((F.col("c") != F.col("lead.c")) & (alike("lead") >= 2) & close(F.col("n"), F.col("lead.n"))).select(F.col("lead.c").alias("a"), F.col("c").alias("b"))
+            stars = star if stars is None else stars.unionByName(star)
     stars = materialise(stars.distinct(), "stars")
     first = materialise(verified(docs, stars, width, percent), "links")
     roots = components(first)
     members = classes.select("c", "k", "n", "h0", "h1").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
-    members = members.join(classes.select(F.col("c").alias("root"), F.col("k").alias("g")), "root").select("c", "k", "n", "h0", "h1", "g")
+    members = members.join(classes.select(F.col("c").alias("root"), F.col("k").alias("g")), "root")
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("bigint")
+    members = members.select("c", "k", "n", "h0", "h1", "g", (F.col("g") * 1000 + band).alias("s"))
     members = materialise(members, "members")
+    sizes = materialise(members.groupBy("g").agg(F.count("*").alias("members")), "sizes")
     tops = [F.max(_byte(h, i)) for h in ("h0", "h1") for i in range(8)]
     packed = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(top, 8 * i) for i, top in enumerate(tops[at : at + 8])]) for at in (0, 8)]
-    groups = members.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), packed[0].alias("t0"), packed[1].alias("t1"))
-    groups = materialise(groups, "groups")
+    groups = members.groupBy("s", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), packed[0].alias("t0"), packed[1].alias("t1"))
+    groups = materialise(groups.join(sizes, "g"), "groups")
 
     # the matrix of tokens and groups
     often = scanned.where("c is null").groupBy(F.col("m0").alias("token")).agg(F.sum("n").alias("times"))
@@ -329,16 +342,16 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     prefixes = docs.select("text").mapInArrow(_prefixes(width, percent, frequent, buckets), "bucket int, names binary, counts binary, tokens binary")
     shared = prefixes.repartition(buckets, "bucket").mapInArrow(_shared_tokens, "token bigint, times bigint, c binary")
-    entries = shared.join(members.select("c", "k", "g"), "c").select("token", "times", "k", "g")
+    entries = shared.join(members.select("c", "k", "g", "s"), "c").select("token", "times", "k", "g", "s")
     across = entries.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
     # All tokens are ordered: those of one group only, then the rarest first. `left`: prefix tokens of the class from there on
     by_class = Window.partitionBy("k").orderBy(F.desc("times"), F.desc("token"))
     entries = entries.join(across, "token", "left_semi").withColumn("left", F.row_number().over(by_class)).drop("times")
     entries = materialise(entries, "entries")
-    matrix = entries.groupBy("token", "g").agg(F.max("left").alias("left_there"))
-    matrix = materialise(matrix.join(groups, "g").withColumnsRenamed({"g": "other", "members": "many", "low": "low_there", "high": "high_there"}), "matrix")
-    asking = entries.join(members.select("k", "n", "h0", "h1"), "k").join(groups.select("g", "members"), "g")
-    asks = (F.col("members") < F.col("many")) | ((F.col("members") == F.col("many")) & (F.col("g") < F.col("other")))
+    matrix = entries.groupBy("token", "s").agg(F.max("left").alias("left_there"))
+    matrix = materialise(matrix.join(groups, "s").withColumnsRenamed({"g": "component", "s": "other", "members": "many", "low": "low_there", "high": "high_there"}), "matrix")
+    asking = entries.drop("s").join(members.select("k", "n", "h0", "h1"), "k").join(sizes, "g")
+    asks = (F.col("members") < F.col("many")) | ((F.col("members") == F.col("many")) & (F.col("g") < F.col("component")))
     fits = (100 * F.col("high_there") >= percent * F.col("n")) & (percent * F.col("low_there") <= 100 * F.col("n"))
     # two similar sets share `need` prefix tokens at least, so the rarest of them has as many from there on in both
     rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  tokens behind the prefix
@@ -349,13 +362,10 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     enough = F.greatest(F.least(need(least), need(most)), F.lit(1))
     # in every bucket a class and a member share no more than the smaller of their numbers of tokens
     both = reduce(lambda x, y: x + y, [F.least(_count(h, i), _count(t, i)) for h, t in (("h0", "t0"), ("h1", "t1")) for i in range(8)])
-    met = asking.join(matrix, "token").where((F.col("g") != F.col("other")) & asks & fits & (F.least("left", "left_there") >= enough) & (both >= overlap(least)))
-    met = materialise(met.select("k", "n", "other", enough.alias("enough")).distinct(), "met")
-    # the bound: prefix tokens of the class that the group's union holds
-    shared = met.join(entries.select("k", "token"), "k").join(matrix.select("token", "other"), ["token", "other"])
-    opened = shared.groupBy("k", "n", "other", "enough").agg(F.count("*").alias("shared")).where("shared >= enough")
-    opened = materialise(opened.join(members.select("k", F.col("c").alias("a")), "k").select("a", "n", "other"), "opened")
-    inside = members.join(groups, "g").select(F.col("g").alias("other"), F.col("c").alias("b"), F.col("n").alias("m"), "members")
+    met = asking.join(matrix, "token").where((F.col("g") != F.col("component")) & asks & fits & (F.least("left", "left_there") >= enough) & (both >= overlap(least)))
+    opened = materialise(met.select("k", "n", "other").distinct(), "opened")
+    opened = opened.join(members.select("k", F.col("c").alias("a")), "k").select("a", "n", "other")
+    inside = members.join(sizes, "g").select(F.col("s").alias("other"), F.col("c").alias("b"), F.col("n").alias("m"), "members")
     # first about FEW members of each opened group; most of what belongs together is then connected and needs no more looks
     slice_ = F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / FEW), F.lit(1))) == 0
     pairs = opened.join(inside, (opened.other == inside.other) & close(F.col("n"), F.col("m")) & slice_).select("a", "b")
