@@ -307,19 +307,16 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     # groups: verified stars around one leader per min-hash
     alike = lambda x: sum((F.col(m) == F.col(f"{x}.{m}")).cast("int") for m in minima)
     close = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    stars = None
-    for m in minima:
-        sized = classes.groupBy(m).agg(F.count("*").alias("times")).where("times > 1").select(F.col(m).alias("key"), "times")
-        many = classes.join(sized, F.col(m) == F.col("key")).drop("key")
-        # one leader for all, and, where there are many, one for every few, dealt by hash in several ways
-        for way in range(1 + WAYS):
-            dealt = many.where(F.col("times") > TEAM) if way else many
-            dealt = dealt.withColumn("team", F.pmod(F.xxhash64("c", F.lit(way)), F.ceil(F.col("times") / TEAM)) if way else F.lit(0).cast("bigint"))
-            leaders = dealt.groupBy(F.col(m).alias("key"), F.col("team").alias("led")).agg(F.min(F.struct("c", "n", *minima)).alias("lead"))
-            star = dealt.join(leaders, (F.col(m) == F.col("key")) & (F.col("team") == F.col("led")))
-            star = star.where((F.col("c") != F.col("lead.c")) & (alike("lead") >= 2) & close(F.col("n"), F.col("lead.n"))).select(F.col("lead.c").alias("a"), F.col("c").alias("b"))
-            stars = star if stars is None else stars.unionByName(star)
-    stars = materialise(stars.distinct(), "stars")
+    slots = F.array(*[F.struct(F.lit(j).alias("slot"), F.col(m).alias("key")) for j, m in enumerate(minima)])
+    dealt = classes.select("c", "n", *minima, F.explode(slots).alias("x")).select("c", "n", *minima, "x.*")
+    sized = dealt.groupBy("slot", "key").agg(F.count("*").alias("times")).where("times > 1")
+    # one leader for all, and, where there are many, one for every few, dealt by hash in several ways
+    ways = F.sequence(F.lit(0), F.when(F.col("times") > TEAM, F.lit(WAYS)).otherwise(F.lit(0)))
+    team = F.when(F.col("way") == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("c", "way"), F.ceil(F.col("times") / TEAM)))
+    dealt = dealt.join(sized, ["slot", "key"]).withColumn("way", F.explode(ways)).withColumn("team", team)
+    leaders = dealt.groupBy("slot", "key", "way", "team").agg(F.min(F.struct("c", "n", *minima)).alias("lead"))
+    stars = dealt.join(leaders, ["slot", "key", "way", "team"]).where((F.col("c") != F.col("lead.c")) & (alike("lead") >= 2) & close(F.col("n"), F.col("lead.n")))
+    stars = materialise(stars.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "stars")
     first = materialise(verified(docs, stars, width, percent), "links")
     roots = components(first)
     members = classes.select("c", "k", "n", "h0", "h1").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
@@ -335,8 +332,8 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
 
     # the matrix of tokens and groups
     often = scanned.where("c is null").groupBy(F.col("m0").alias("token")).agg(F.sum("n").alias("times"))
-    often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
-    tokens = np.array([r.token for r in often], np.int64).view(np.uint64)
+    often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
+    tokens = often.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], (len(tokens) - 1 - order).astype(np.uint64)))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
