@@ -1,17 +1,19 @@
 """Language-model scores by cross-entropy difference.
 
-Two word-bigram models share one vocabulary: words are hashed into `VOCABULARY` classes and word pairs into
-`PAIRS` cells, for both alike, so that their losses differ by the texts they have seen and by nothing else. The
-background model counts every document, the target model those that are given as target (here: a sample of at most
-`TARGETS` documents labelled good). A document's score is the mean over its words of target loss less background
-loss, in nats; lower is closer to the target.
+Two word-bigram models share one vocabulary, the words as they are written (lower case), so that their losses differ by
+the texts they have seen and by nothing else. The background model counts every document, the target model those that
+are given as target (here: all documents labelled good). A document's score is the mean over its words of target loss
+less background loss, in nats; lower is closer to the target.
 
-Counts: every task adds up its own texts in arrays and hands on one row per block of cells, which are summed by
-block: what is shuffled grows with the number of tasks, and no cell, however frequent, meets in one task as rows.
-The finished tables have a fixed size (about 8 MB a model) and are broadcast.
+Counts: word pairs are counted in slices inside the tasks, and then by a group-by into a table of all pairs; words and
+previous words are sums of it. Nothing is hashed into cells, so the tables grow with the corpus.
+
+Scores: pairs that make up more than one in `HOT` of all (fewer than `HOT` by counting) are looked up in a broadcast;
+the others are joined, as distinct pairs of each document, with the counts. No joined pair is frequent.
 
 Loss of word w after v: pair counts interpolated with word counts, which are interpolated with the uniform
-distribution: p(w|v) = (n(v,w) + MU * p(w)) / (n(v) + MU), p(w) = (n(w) + 1) / (N + VOCABULARY).
+distribution: p(w|v) = (n(v,w) + MU * p(w)) / (n(v) + MU), p(w) = (n(w) + 1) / (N + V), where V is the number of
+distinct words and one for all others, and `VOCABULARY` at least. A text starts after the empty word.
 
 Defined cases: a null or wordless text has score null and no words; repeated rows count as often as they stand;
 with no target document the target model is uniform; an empty table gives an empty result.
@@ -19,8 +21,11 @@ with no target document the target model is uniform; an empty table gives an emp
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,125 +33,145 @@ from groveflow.llm import kernel
 from groveflow.llm.registry import query, ready, table
 from groveflow.session import materialise
 
-VOCABULARY, PAIRS, BLOCK = 1 << 16, 1 << 20, 1 << 16
+VOCABULARY, HOT = 1 << 16, 1 << 18
 MU = 64.0
 TARGETS = 20_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def cells(words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each word, cell of each pair (previous word, word), and class of the previous word; a text starts after class 0."""
-    w = (words.hash >> np.uint64(48)).astype(np.int64)
-    before = np.zeros(len(w), np.int64)
-    before[1:] = w[:-1]
+    """64-bit names of each word, of each pair (previous word, word) and of the previous word, for plain counts of small examples."""
+    before = np.zeros(len(words.hash), np.uint64)
+    before[1:] = words.hash[:-1]
     before[words.first[:-1][words.count > 0]] = 0
-    pair = kernel.mix(words.hash + kernel.mix(before.astype(np.uint64) + np.uint64(1)))
-    return w, (pair >> np.uint64(44)).astype(np.int64), before
+    return words.hash, kernel.mix(words.hash + kernel.mix(before + np.uint64(1))), before
 
 
-def _counts(targets):
-    """Per task: blocks of counts, background then target, of words, of pairs and of previous words."""
+class Pairs:
+    """Distinct pairs of a slice of texts (`before`, `word`), and which of them each word makes (`pair`)."""
 
-    def run(batches):
-        ids = targets.value
-        total = [[np.zeros(n, np.int64) for n in (VOCABULARY, PAIRS, VOCABULARY)] for _ in range(2)]
-        for batch in batches:
-            column = kernel.texts(batch.column("text"))
-            doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            chosen = np.isin(doc, ids) & np.asarray(batch.column("doc_id").is_valid())
-            for a, b in kernel.slices(column, 4 * kernel.SLICE):
-                data, offsets = kernel.bytes_of(column.slice(a, b - a))
-                words = kernel.Words(data, offsets, kernel.ALNUM)
-                parts = cells(words)
-                good = chosen[a:b][words.texts()] if chosen[a:b].any() else None
-                for sums, part in zip(total[0], parts):
-                    sums += np.bincount(part, minlength=len(sums))
-                if good is not None:
-                    for sums, part in zip(total[1], parts):
-                        sums += np.bincount(part[good], minlength=len(sums))
-        for model in range(2):
-            for kind, sums in enumerate(total[model]):
-                for at in range(0, len(sums), BLOCK):
-                    if sums[at : at + BLOCK].any():
-                        yield _row(model, kind, at // BLOCK, sums[at : at + BLOCK])
+    def __init__(self, column: pa.Array):
+        data, offsets = kernel.bytes_of(column)
+        words = kernel.Words(data, offsets, kernel.ALNUM, hashes=False)
+        size = words.stop - words.start
+        ends = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        letters = _LOWER[data[kernel.ragged(words.start, size)]]
+        named = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
+        names = pa.concat_arrays([pa.array([""], pa.large_string()), named.dictionary])
+        code = named.indices.to_numpy().astype(np.int64) + 1
+        before = np.zeros(len(code), np.int64)
+        before[1:] = code[:-1]
+        before[words.first[:-1][words.count > 0]] = 0
+        distinct, self.pair = np.unique(before * len(names) + code, return_inverse=True)
+        self.before, self.word = names.take(pa.array(distinct // len(names))), names.take(pa.array(distinct % len(names)))
+        self.n_words, self.texts = words.count, words.texts()
 
-    return run
+    def __len__(self):
+        return len(self.word)
 
 
-_BLOCKS = "model int, kind int, block int, counts binary"
+def _strings(array: pa.Array) -> pa.Array:
+    return array.cast(pa.string())
 
 
-def _row(model, kind, block, counts):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([model], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())],
-        names=["model", "kind", "block", "counts"],
-    )
+def _counts(batches):
+    """Pairs with their counts in all documents and in target documents, by slices."""
+    for batch in batches:
+        column = kernel.texts(batch.column("text"))
+        good = np.asarray(batch.column("good")).astype(bool)
+        for a, b in kernel.slices(column, 4 * kernel.SLICE):
+            found = Pairs(column.slice(a, b - a))
+            n = np.bincount(found.pair, minlength=len(found))
+            t = np.bincount(found.pair[good[a:b][found.texts]], minlength=len(found))
+            yield pa.RecordBatch.from_arrays([_strings(found.before), _strings(found.word), pa.array(n), pa.array(t)], names=["before", "word", "n", "t"])
 
 
-def _add_up(batches):
-    """Sums blocks of equal name within a task; a task holds each of the fixed set of blocks at most once."""
-    sums: dict[tuple[int, int, int], np.ndarray] = {}
-    for batch in batches:
-        for model, kind, block, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            more = np.frombuffer(raw, "<i8")
-            key = (model, kind, block)
-            if key in sums:
-                sums[key] += more
-            else:
-                sums[key] = more.copy()
-    for (model, kind, block), counts in sums.items():
-        yield _row(model, kind, block, counts)
-
-
-class Model:
-    """Losses of both models per pair cell are not stored: they need word and previous word as well."""
-
-    def __init__(self, rows):
-        self.tables = [[np.zeros(n, np.float32) for n in (VOCABULARY, PAIRS, VOCABULARY)] for _ in range(2)]
-        for r in rows:
-            self.tables[r.model][r.kind][r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.counts, "<i8")
-        self.totals = [float(t[0].sum(dtype=np.float64)) for t in self.tables]
-
-    def losses(self, w, pair, before) -> tuple[np.ndarray, np.ndarray]:
-        """Target and background loss of each word in nats."""
-        out = []
-        for (words, pairs, first), total in zip(self.tables, self.totals):
-            p = (words[w].astype(np.float64) + 1) / (total + VOCABULARY)
-            out.append(-np.log((pairs[pair] + MU * p) / (first[before] + MU)))
-        return out[1], out[0]
-
-
-def fit(docs: DataFrame, target_ids: list[int]):
-    """Counts of both models over all documents, as a broadcast of fixed size."""
-    spark = docs.sparkSession
-    ready(spark)
-    ids = spark.sparkContext.broadcast(np.array(sorted(target_ids), np.int64))
-    parts = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_counts(ids), _BLOCKS)
-    summed = parts.repartition("model", "kind", "block").mapInArrow(_add_up, _BLOCKS)
-    return spark.sparkContext.broadcast(Model(materialise(summed, "counts").collect()))
+class Model(NamedTuple):
+    """Tables of counts in the background (n) and in the target (t): of pairs, of words, of previous words."""
 
+    pairs: DataFrame
+    words: DataFrame
+    first: DataFrame
+    n: int
+    t: int
+    size: int
 
-def score(docs: DataFrame, model) -> DataFrame:
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """before, word, target_loss, background_loss in nats of the given distinct pairs, unseen ones too."""
+        words = self.words.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
+        first = self.first.select("before", F.col("n").alias("fn"), F.col("t").alias("ft"))
+        rows = pairs.select("before", "word").join(self.pairs, ["before", "word"], "left").join(words, "word", "left").join(first, "before", "left")
+        seen = lambda name: F.coalesce(name, F.lit(0))
+
+        def loss(x, total):
+            p = (seen(f"w{x}") + 1) / F.lit(float(total + self.size))
+            return -F.log((seen(x) + MU * p) / (seen(f"f{x}") + MU))
+
+        return rows.select("before", "word", loss("t", self.t).alias("target_loss"), loss("n", self.n).alias("background_loss"))
+
+
+def fit(docs: DataFrame, target: DataFrame | list[int]) -> Model:
+    """Counts of both models over all documents; target: doc_ids of the target documents."""
+    spark = docs.sparkSession
+    ready(spark)
+    if isinstance(target, list):
+        target = spark.createDataFrame([(i,) for i in target], "doc_id bigint")
+    flags = target.where("doc_id is not null").select("doc_id").distinct().withColumn("flag", F.lit(True))
+    flagged = docs.select("doc_id", "text").join(flags, "doc_id", "left").select("text", F.coalesce("flag", F.lit(False)).alias("good"))
+    sums = F.sum("n").alias("n"), F.sum("t").alias("t")
+    pairs = materialise(flagged.mapInArrow(_counts, "before string, word string, n bigint, t bigint").groupBy("before", "word").agg(*sums), "pairs")
+    words, first = (materialise(pairs.groupBy(x).agg(*sums), x) for x in ("word", "before"))
+    total = words.agg(*sums, F.count("*").alias("size")).first()
+    return Model(pairs, words, first, total.n or 0, total.t or 0, max(VOCABULARY, total.size + 1))
+
+
+def score(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means over words), score (their difference)."""
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
+    often = model.losses(model.pairs.where(F.col("n") * hot > model.n)).select(F.concat_ws(" ", "before", "word").alias("name"), "target_loss", "background_loss").toArrow()
+    known = spark.sparkContext.broadcast((often.column(0).combine_chunks().cast(pa.large_string()), often.column(1).to_numpy(), often.column(2).to_numpy()))
 
     def run(batches):
-        m = model.value
+        names, *losses = known.value
         for batch in batches:
             column = kernel.texts(batch.column("text"))
-            for a, b in kernel.slices(column):
-                data, offsets = kernel.bytes_of(column.slice(a, b - a))
-                words = kernel.Words(data, offsets, kernel.ALNUM)
-                own = words.texts()
-                n = np.maximum(words.count, 1)
-                target, background = (np.bincount(own, x, b - a) / n for x in m.losses(*cells(words)))
-                none = words.count == 0
+            for a, b in kernel.slices(column, 4 * kernel.SLICE):
+                found = Pairs(column.slice(a, b - a))
+                at = pc.index_in(pc.binary_join_element_wise(found.before, found.word, pa.scalar(" ", pa.large_string())), names)
+                cold = np.asarray(at.is_null())
+                at = at.fill_null(0).to_numpy()
+                sums = []
+                for loss in losses:
+                    each = np.zeros(len(found))
+                    each[~cold] = loss[at[~cold]]
+                    sums.append(np.bincount(found.texts, each[found.pair], b - a).astype(float))
+                row, ids = batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a)
+                none = pa.nulls(b - a, pa.string())
+                yield pa.RecordBatch.from_arrays([row, ids, pa.array(found.n_words, pa.int64()), *map(pa.array, sums), none, none], names=_PARTS)
+                rest = cold[found.pair]
+                apart, n = np.unique(found.texts[rest] * max(len(found), 1) + found.pair[rest], return_counts=True)
+                owner, pair = pa.array(apart // max(len(found), 1)), pa.array(apart % max(len(found), 1))
+                missing = pa.nulls(len(n), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(words.count, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (target, background, target - background))],
-                    names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
+                    [row.take(owner), ids.take(owner), pa.array(n, pa.int64()), missing, missing, _strings(found.before.take(pair)), _strings(found.word.take(pair))], names=_PARTS
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_words bigint, target_loss double, background_loss double, score double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = rows.mapInArrow(run, f"row bigint, doc_id {id_type}, n_words bigint, target_sum double, background_sum double, before string, word string")
+    parts = materialise(parts, "parts")  # `row` is fixed by writing it
+    joined = parts.where("word is not null").select("row", "before", "word", "n_words")
+    rare = materialise(model.losses(joined.select("before", "word").distinct()), "losses")
+    more = joined.join(rare, ["before", "word"]).groupBy("row").agg(*(F.sum(F.col("n_words") * F.col(f"{x}_loss")).alias(f"{x}_more") for x in ("target", "background")))
+    mean = lambda x: ((F.col(f"{x}_sum") + F.coalesce(f"{x}_more", F.lit(0.0))) / F.when(F.col("n_words") > 0, F.col("n_words"))).alias(f"{x}_loss")
+    means = parts.where("word is null").join(more, "row", "left").select("doc_id", "n_words", mean("target"), mean("background"))
+    return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+_PARTS = ["row", "doc_id", "n_words", "target_sum", "background_sum", "before", "word"]
 
 
 def good_documents(labels: DataFrame, limit: int = TARGETS) -> list[int]:

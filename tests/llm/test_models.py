@@ -257,3 +257,36 @@ def test_lm_table(spark):
     good = {d for d, q in rows("labels", "doc_id", "quality") if q == 1}
     mean = lambda keep: np.mean([r.score for r in got if r.score is not None and keep(r.doc_id)])
     assert mean(lambda d: d in good) < mean(lambda d: d not in good)
+
+
+def _lm_exact(docs, target, vocabulary=1 << 16, mu=64.0):
+    """Counts of real words and pairs, nothing hashed."""
+    import math
+    from collections import Counter
+
+    count = [(Counter(), Counter(), Counter()) for _ in range(2)]
+    tokens = [list(zip(w, zip(["", *w], w), ["", *w])) for w in (brute.words(text) for _, text in docs)]
+    for (d, _), own in zip(docs, tokens):
+        for model in [0] + [1] * (d in target):
+            for t in own:
+                for table, x in zip(count[model], t):
+                    table[x] += 1
+    size = max(vocabulary, len(count[0][0]) + 1)
+    count = [(w, p, f, w.total()) for w, p, f in count]
+    for (d, _), own in zip(docs, tokens):
+        loss = [-sum(math.log((p[b] + mu * (w[a] + 1) / (total + size)) / (f[c] + mu)) for a, b, c in own) / max(len(own), 1) for w, p, f, total in count]
+        yield d, len(own), loss[1], loss[0]
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 18])
+def test_lm_counts_do_not_collide(spark, hot):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["Der", "die", f"w{rng.randrange(150_000)}"]) for _ in range(3000))) for i in range(100)]
+    docs += [(None, "der die"), (3, docs[3][1]), (200, ""), (201, None)]
+    target = set(range(0, 100, 3))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = lmscore.fit(frame, sorted(target))
+    got = sorted((tuple(r) for r in lmscore.score(frame, model, hot).collect()), key=key)
+    for g, w in zip(got, sorted(_lm_exact([(d, t or "") for d, t in docs], target), key=key), strict=True):
+        assert g[:2] == w[:2] and (g[4] is None) == (not w[1])
+        assert g[4] is None or max(abs(g[2] - w[2]), abs(g[3] - w[3]), abs(g[4] - (w[2] - w[3]))) < 1e-9 and min(g[2:4]) > 0
