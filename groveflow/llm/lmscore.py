@@ -35,7 +35,6 @@ from groveflow.session import materialise
 
 VOCABULARY, HOT = 1 << 16, 1 << 18
 MU = 64.0
-TARGETS = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -174,10 +173,9 @@ def score(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
 _PARTS = ["row", "doc_id", "n_words", "target_sum", "background_sum", "before", "word"]
 
 
-def good_documents(labels: DataFrame, limit: int = TARGETS) -> list[int]:
-    """Ids of documents labelled good and not toxic: all, or where there are more a sample of `limit` in hash order."""
-    rows = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+def good_documents(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
 @query("op10_lm_score")

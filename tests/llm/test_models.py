@@ -290,3 +290,11 @@ def test_lm_counts_do_not_collide(spark, hot):
     for g, w in zip(got, sorted(_lm_exact([(d, t or "") for d, t in docs], target), key=key), strict=True):
         assert g[:2] == w[:2] and (g[4] is None) == (not w[1])
         assert g[4] is None or max(abs(g[2] - w[2]), abs(g[3] - w[3]), abs(g[4] - (w[2] - w[3]))) < 1e-9 and min(g[2:4]) > 0
+
+
+def test_lm_target_takes_all_good_documents(spark):
+    n = 20_100
+    docs = spark.range(n + 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = spark.range(n + 2).select(F.col("id").alias("doc_id"), (F.col("id") < n + 1).cast("int").alias("quality"), (F.col("id") == n).cast("int").alias("toxic"))
+    model = lmscore.fit(docs, lmscore.good_documents(labels.unionByName(labels)))
+    assert (model.n, model.t) == (2 * (n + 2), 2 * n)
