@@ -3,8 +3,9 @@
 A text is the vector of its byte-trigram counts in `DIMS` hashed cells, damped (1 + log), weighted by inverse document
 frequency and scaled to length one. Training vectors of each language are clustered (spherical k-means, `CLUSTERS`
 centroids a language, seeded by far points); a text takes the language of the centroid with the largest cosine. It is
-rejected if the cosine distance to that centroid is larger than almost all training distances of that centroid's language
-(`SLACK` times beyond the largest of them, and `NEAR` at least), or if it has no letters.
+rejected if its cosine is below `PART` of what all but `TAIL` of the language's training texts of that length reach (length
+classes by powers of two of the filled cells: short texts lie far from any centroid), or if it has no letters. A class with
+fewer than `ENOUGH` training texts of the language takes those of all languages, else the limit of the next shorter class.
 
 The classifier is fitted on at most `SAMPLE` documents, as many of each language (all, if there are fewer), in hash
 order of their ids, so its size and time are fixed: their vectors, not their texts, reach the driver. Prediction runs
@@ -30,7 +31,9 @@ from groveflow.llm.registry import query, ready, table
 DIMS = 1 << 12
 CLUSTERS, ROUNDS = 4, 12
 SAMPLE = 4000  # documents of all languages together
-SLACK, NEAR = 1.25, 0.9  # nothing nearer than NEAR is rejected: texts of a few words lie far from any centroid
+PART, TAIL, ENOUGH = 0.5, 0.01, 20
+LEAST = 0.1  # least cosine where no training text is as short
+CLASSES = DIMS.bit_length() + 1
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -55,6 +58,25 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(found > 0, 1 + np.log(np.maximum(found, 1)), 0).astype(np.float32)
 
 
+def _length(rows: np.ndarray) -> np.ndarray:
+    """Length class of each row."""
+    return np.log2((rows > 0).sum(axis=1) + 1).astype(np.int64)
+
+
+def _limits(cosines: np.ndarray, langs: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Least cosine by language and length class; cosines of training texts with centroids of their own language."""
+    limits = np.full((n, CLASSES), LEAST)
+    for i in range(n):
+        for k in range(CLASSES):
+            for held in (cosines[(length == k) & (langs == i)], cosines[length == k]):
+                if len(held) >= ENOUGH:
+                    limits[i, k] = PART * np.quantile(held, TAIL)
+                    break
+            else:
+                limits[i, k] = limits[i, max(k - 1, 0)]
+    return limits
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -79,21 +101,26 @@ class Centroids:
         if not self.names:
             return
         self.idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
+        length = _length(rows)
         rows = _unit(rows * self.idf)
         langs = np.array(langs)
         parts = [_cluster(rows[langs == name], CLUSTERS) for name in self.names]
         self.owner = np.concatenate([[i] * len(p) for i, p in enumerate(parts)])
         self.centres = np.concatenate(parts).astype(np.float32)
-        self.limit = np.array([max(NEAR, SLACK * (1 - (rows[langs == name] @ p.T).max(axis=1)).max()) for name, p in zip(self.names, parts)])
+        number = np.searchsorted(self.names, langs)
+        own = np.where(self.owner[None] == number[:, None], rows @ self.centres.T, -1).max(axis=1)
+        self.limit = _limits(own, number, length, len(self.names))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray):
         """Number of the nearest centroid's language, cosine, and whether it is too far, per text."""
-        rows = _unit(counts(data, offsets) * self.idf)
+        rows = counts(data, offsets)
+        length = _length(rows)
+        rows = _unit(rows * self.idf)
         cosine = np.clip(rows @ self.centres.T, 0, 1)
         best = cosine.argmax(axis=1)
         value = cosine[np.arange(len(rows)), best].astype(np.float64)
         lang = self.owner[best]
-        return lang, value, 1 - value > self.limit[lang]
+        return lang, value, value < self.limit[lang, length]
 
 
 def has_letter(text: str | None) -> bool:

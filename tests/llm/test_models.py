@@ -165,6 +165,22 @@ def test_language_cases(spark):
     assert language.predict(frame.limit(0), language.fit(frame), ["doc_id"]).collect() == []
 
 
+def test_language_rejects_junk_and_left_out_languages():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    docs = [(lang, text) for (_, lang), (_, text) in zip(rows("documents", "doc_id", "lang"), rows("documents")) if lang is not None and text]
+    vectors = lambda texts: kernel.bytes_of(pa.array(texts, pa.large_string()))
+    rest = [d for d in docs if d[0] != "fr"]
+    train, held = rest[::2], [t for _, t in rest[1::2]]
+    odd = [("en", "".join(rng.choice("qxzjkvw 0123456789") for _ in range(60)))]  # one outlying training text
+    model = language.Centroids(language.counts(*vectors([t for _, t in train + odd])), [x for x, _ in train + odd])
+    far = lambda texts: model.predict(*vectors(texts))[2].mean()
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     0123456789") for _ in range(rng.choice([400, 1000, 3000]))) for _ in range(200)]
+    french = [t for x, t in docs if x == "fr" and len(t) >= 400]
+    assert far(held) <= 0.01 and far(junk) >= 0.98 and far(french) >= 0.9
+
+
 # BPE --------------------------------------------------------------------------------------------
 
 
