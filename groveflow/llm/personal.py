@@ -192,13 +192,24 @@ class Field:
         np.add.at(belief, target, message)
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True)) if n else belief
 
+    def open(self, tokens: Tokens) -> bool:
+        """Whether any token outside the rules may get a kind. An edge shifts the log odds of a kind against OTHER by no more
+        than the widest step in its potentials; where the kinds' odds with all those steps add up to at most one, none exceeds 0.5."""
+        free = np.array(tokens.label) == OTHER
+        if not free.any():
+            return False
+        odds = self.unary[np.array(tokens.shape)] + self.missed
+        odds = odds[:, :OTHER] - odds[:, OTHER:]
+        for edges, pair in ((tokens.chain, self.chain), (tokens.skip, self.skip)):
+            ends = np.bincount(np.array(edges, np.int64).reshape(-1), minlength=len(free))
+            odds = odds + ends[:, None] * np.maximum((pair[:, :OTHER] - pair[:, OTHER:]).max(axis=0), 0)
+        return bool((np.logaddexp.reduce(odds[free], axis=1) > 0).any())
+
     def added(self, text: str, spans) -> list[tuple[int, int, int]]:
         """Further spans: tokens outside the rules' spans that are more likely personal data than not."""
-        if not spans:
-            return []  # without a rule's label in the text, the odds of RULE_MISSED decide
         tokens = Tokens(text, spans)
         label = np.array(tokens.label)
-        if not (label == OTHER).any() or not tokens.skip:
+        if not self.open(tokens):
             return []
         chance = self.marginals(tokens)
         best = chance.argmax(axis=1)
@@ -276,8 +287,8 @@ def find(docs: DataFrame, field, keep: list[str], redacted: bool = True, nested:
                 for i in _interesting(part).tolist():
                     text = part[i].as_py()
                     base = rules(text)
-                    if base:
-                        spans = sorted(base + f.added(text, base), key=lambda s: (s[0], s[2]))
+                    spans = sorted(base + f.added(text, base), key=lambda s: (s[0], s[2]))
+                    if spans:
                         kinds = [k for _, _, k in base]
                         rows[i] = (base, [kinds.count(k) for k in range(len(KINDS))], shown(base), shown(spans), redact(text, spans) if redacted else None)
                 names = [*(f"n_{k}" for k in KINDS), "base_spans", "spans", "redacted"]

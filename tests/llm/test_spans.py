@@ -198,3 +198,27 @@ def test_personal_cases(spark):
     got = personal.find(frame, personal.fit(frame), ["doc_id"]).collect()
     assert sorted(((r.doc_id, r.n_email, r.redacted) for r in got), key=key) == sorted([(1, 0, None), (2, 0, None), (None, 1, "<email>"), (3, 1, "<email>"), (3, 1, "<email>")], key=key)
     assert personal.find(frame.limit(0), personal.fit(frame.limit(0)), ["doc_id"]).collect() == []
+
+
+def test_personal_field_needs_no_rule(spark):
+    """Tokens of a shape that is nearly always an address are found in texts without any rule's span or like token."""
+    docs = [(i, f"write to name{'abcdefghij'[i % 10]}@host.de soon") for i in range(400)]
+    docs += [(1000, "write to info@müller.de soon"), (1001, "info@müller.de and info@müller.de"), (1002, "call 12345 now"), (1003, "12345 12345")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in personal.find(frame, personal.fit(frame), ["doc_id"]).collect() if r.doc_id >= 1000}
+    assert got[1000].redacted == "write to <email> soon" and got[1001].redacted == "<email> and <email>"
+    assert (got[1000].n_email, got[1000].base_spans, got[1000].spans) == (0, "", "email:9:23")
+    assert got[1002].redacted is None and got[1003].redacted is None
+
+
+def test_personal_bound_is_no_cut():
+    """Where the field is not run, it would find nothing."""
+    rng, kinds = np.random.default_rng(4), 0
+    field = personal.Field(rng.integers(0, 2000, (personal.SHAPES, 5)) ** 2 * (rng.random((personal.SHAPES, 5)) < 0.4), rng.integers(1, 50, (5, 5)), rng.integers(1, 50, (5, 5)))
+    words = ["a@b", "12345", "x1y2", "1.2.3.4", "555-2273", "q@ü.de", "word"]
+    for _ in range(300):
+        tokens = personal.Tokens(" ".join(rng.choice(words, rng.integers(1, 5))), [])
+        if tokens.begin and not field.open(tokens):
+            kinds += 1
+            assert (field.marginals(tokens)[:, :-1] <= 0.5).all()
+    assert kinds
