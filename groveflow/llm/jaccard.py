@@ -356,7 +356,9 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
     need = lambda m: overlap(m) - F.greatest(rest(F.col("n")), rest(m))
     least = F.greatest(F.col("low_there"), F.ceil(F.col("n") * percent / 100))
     most = F.least(F.col("high_there"), F.floor(F.col("n") * 100 / percent))
-    enough = F.greatest(F.least(need(least), need(most)), F.lit(1))
+    # beyond n the need falls, but by its ceilings may be one less inside the range than at its upper end
+    inside = F.when((most > least) & (most > F.col("n")), 1).otherwise(0)
+    enough = F.greatest(F.least(need(least), need(most) - inside), F.lit(1))
     # in every bucket a class and a member share no more than the smaller of their numbers of tokens
     both = reduce(lambda x, y: x + y, [F.least(_count(h, i), _count(t, i)) for h, t in (("h0", "t0"), ("h1", "t1")) for i in range(8)])
     met = asking.join(matrix, "token").where((F.col("g") != F.col("component")) & asks & fits & (F.least("left", "left_there") >= enough) & (both >= overlap(least)))

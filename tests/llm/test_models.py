@@ -96,6 +96,22 @@ def test_jaccard_random_families(spark, monkeypatch, few, frequent):
     assert got == sorted(brute.similar(docs))
 
 
+def test_jaccard_link_inside_a_group_of_sizes(spark):
+    """A partner of 59 words, at the threshold to one of 49, stands in a group of 58 to 60: it needs fewer prefix tokens than both ends."""
+    docs, add = [], lambda words: docs.append((len(docs), " ".join(words)))
+    for f in range(20):
+        shared = [f"f{f}s{i}" for i in range(48)]
+        own = [f"f{f}o{i}" for i in range(11)]
+        add([*shared, f"f{f}a"])
+        add([*shared, *own])
+        add([*shared[:-1], *own])
+        add([*shared, *own, f"f{f}x"])
+        for k in range(4):
+            add([*shared, *(f"f{f}k{k}n{i}" for i in range(100))])
+    got = sorted(tuple(r) for r in jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string"), width=1).collect())
+    assert got == sorted(brute.similar(docs, width=1))
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(200, x) for x in range(201, 240)] + [(5, 5), (3, 2)]
