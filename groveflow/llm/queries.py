@@ -10,6 +10,7 @@ import groveflow.llm.licenses  # noqa: F401
 import groveflow.llm.lmscore  # noqa: F401
 import groveflow.llm.personal  # noqa: F401
 import groveflow.llm.suffixes  # noqa: F401
+import groveflow.llm.trie  # noqa: F401
 import groveflow.llm.urls  # noqa: F401
 from groveflow.llm.registry import QUERIES, SQL, query
 
