@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import groveflow.llm.bpe  # noqa: F401
+import groveflow.llm.chat  # noqa: F401
 import groveflow.llm.decontaminate  # noqa: F401
 import groveflow.llm.digest  # noqa: F401
 import groveflow.llm.jaccard  # noqa: F401
