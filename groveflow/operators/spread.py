@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1024
 SALTS = 64
 
+# Helper columns of this module all start with this; callers' tables must not hold such names (they are refused, not overwritten).
+OWN = "__spread_"
+
+
+def unclaimed(df: DataFrame, *names: str) -> None:
+    """Refuse tables whose columns would be overwritten: helper columns of this module, and `names`."""
+    taken = [c for c in df.columns if c.lower().startswith(OWN) or c in names]
+    if taken:
+        raise ValueError(f"columns {taken} are needed as helper columns: rename them")
+
 
 def scalar(df: DataFrame, expr: Column) -> Column:
     """One aggregated value of `df` as a scalar sub-query (evaluated once, no join)."""
@@ -21,12 +31,12 @@ def scalar(df: DataFrame, expr: Column) -> Column:
 
 def add_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Append the columns of a one-row table to every row, through one scalar sub-query."""
-    return df.withColumn("__one", one.select(F.struct(*one.columns)).scalar()).select("*", "__one.*").drop("__one")
+    return df.withColumn("__spread_one", one.select(F.struct(*one.columns)).scalar()).select("*", "__spread_one.*").drop("__spread_one")
 
 
 def keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """Add the keys as one struct `__k`, which groups, partitions and joins with null equal to null."""
-    return (df.withColumn("__k", F.struct(*keys)), ["__k"]) if keys else (df, [])
+    """Add the keys as one struct column, which groups, partitions and joins with null equal to null."""
+    return (df.withColumn("__spread_key", F.struct(*keys)), ["__spread_key"]) if keys else (df, [])
 
 
 def attach_stats(
@@ -42,31 +52,32 @@ def attach_stats(
     Groups above the hot threshold are joined on (key, salt): their one statistics row is copied to each
     salt while their rows spread over the salts by a hash of the unique row key.
     """
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggs.items()])
-    return join_stats(df, stats, keys, row_key, None, salts, how).drop("__n")
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__spread_n"), *[c.alias(n) for n, c in aggs.items()])
+    return join_stats(df, stats, keys, row_key, None, salts, how, "__spread_n").drop("__spread_n")
 
 
-def join_stats(df, stats, keys, row_key, sizes=None, salts=SALTS, how="inner"):
-    """Join rows with one-row-per-key `stats` that carries the group size `__n`.
+def join_stats(df, stats, keys, row_key, sizes=None, salts=SALTS, how="inner", size="__n"):
+    """Join rows with one-row-per-key `stats` that carries the group size in the column `size`, which the result keeps.
 
-    Hot keys are read from `sizes` (keys, __n), by default `stats` itself; pass a stored table where `stats`
+    Hot keys are read from `sizes` (keys, size), by default `stats` itself; pass a stored table where `stats`
     is a long derivation, so that it is computed once.
     """
-    sizes = stats.select(*keys, "__n") if sizes is None else sizes
-    total = scalar(sizes, F.sum("__n"))
-    is_hot = F.col("__n") * HOT_PARTS > total
-    hot = sizes.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
+    unclaimed(df, size)
+    sizes = stats.select(*keys, size) if sizes is None else sizes
+    total = scalar(sizes, F.sum(size))
+    is_hot = F.col(size) * HOT_PARTS > total
+    hot = sizes.where(is_hot).select(*keys, F.lit(True).alias("__spread_hot"))
     hot, key = keyed(hot, keys)
     rows, _ = keyed(df, keys)
     rows = rows.join(F.broadcast(hot.drop(*keys)), key, "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*row_key), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
+        "__spread_salt",
+        F.when(F.col("__spread_hot"), F.pmod(F.xxhash64(*row_key), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
     )
     copies, _ = keyed(stats, keys)
     copies = copies.drop(*keys).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0))))
+        "__spread_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0))))
     )
-    return rows.drop("__hot").join(copies, [*key, "__salt"], how).drop("__salt", "__k")
+    return rows.drop("__spread_hot").join(copies, [*key, "__spread_salt"], how).drop("__spread_salt", "__spread_key")
 
 
 def hash_bucket(key: Column, digits: int = 3) -> Column:
@@ -81,24 +92,24 @@ def value_bucket(df: DataFrame, col: Column, parts: int = 256, descending: bool
     outliers or infinities the column has. Nulls fall into the first bucket. One value never spans buckets: where a
     value may repeat without bound, count the distinct values first.
 
-    Returns a function that adds the bucket `__b`; the split points are one sub-query with one reference, evaluated once.
+    Returns a function that adds the bucket `__spread_cell`; the split points are one sub-query with one reference, evaluated once.
     """
     c = col.cast("double")
 
     def add(rows: DataFrame) -> DataFrame:
         shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        rows = rows.withColumn("__s", df.agg(F.percentile_approx(c, shares, F.lit(8 * parts)).alias("s")).scalar())
+        rows = rows.withColumn("__spread_cuts", df.agg(F.percentile_approx(c, shares, F.lit(8 * parts)).alias("s")).scalar())
         steps = F.array(*[F.lit(1 << i) for i in reversed(range((parts - 1).bit_length()))])
         # binary search for the number of split points at or below the value
-        cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when(c >= F.try_element_at(F.col("__s"), at + step), at + step).otherwise(at))
-        return rows.withColumn("__b", -cell if descending else cell).drop("__s")
+        cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when(c >= F.try_element_at(F.col("__spread_cuts"), at + step), at + step).otherwise(at))
+        return rows.withColumn("__spread_cell", -cell if descending else cell).drop("__spread_cuts")
 
     return add
 
 
 def with_bucket(df: DataFrame, bucket) -> DataFrame:
-    """Add `__b` from a bucket column or from a function made by `value_bucket`."""
-    return bucket(df) if callable(bucket) and not isinstance(bucket, Column) else df.withColumn("__b", bucket)
+    """Add `__spread_cell` from a bucket column or from a function made by `value_bucket`."""
+    return bucket(df) if callable(bucket) and not isinstance(bucket, Column) else df.withColumn("__spread_cell", bucket)
 
 
 def running_sum(
@@ -113,19 +124,20 @@ def running_sum(
     `bucket` must be non-decreasing along `order`. A hot group is split over its buckets; the offsets table
     has one row per (group, bucket).
     """
+    unclaimed(df)
     rows, key = keyed(with_bucket(df, bucket), keys)
-    per_bucket = rows.groupBy(*key, "__b").agg(*[F.sum(c).alias(f"__p_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = rows.groupBy(*key, "__spread_cell").agg(*[F.sum(c).alias(f"__spread_part_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*key).orderBy("__spread_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *key,
-        "__b",
-        *[F.coalesce(F.sum(f"__p_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        "__spread_cell",
+        *[F.coalesce(F.sum(f"__spread_part_{n}").over(before), F.lit(0)).alias(f"__spread_before_{n}") for n in sums],
     )
-    inside = Window.partitionBy(*key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key, "__spread_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    out = out.join(offsets, [*key, "__b"])
-    return out.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums}).drop(
-        "__b", "__k", *[f"__o_{n}" for n in sums]
+    out = out.join(offsets, [*key, "__spread_cell"])
+    return out.withColumns({n: F.col(n) + F.col(f"__spread_before_{n}") for n in sums}).drop(
+        "__spread_cell", "__spread_key", *[f"__spread_before_{n}" for n in sums]
     )
 
 
@@ -134,16 +146,17 @@ def last_known(df, keys, order, bucket, value: Column, name: str) -> DataFrame:
 
     Looked up inside the order bucket first; the value carried in from earlier buckets is joined on.
     """
-    rows, key = keyed(with_bucket(df, bucket).withColumn("__v", value), keys)
+    unclaimed(df)
+    rows, key = keyed(with_bucket(df, bucket).withColumn("__spread_value", value), keys)
     ends = (
-        rows.groupBy(*key, "__b")
-        .agg(F.max_by(F.col("__v"), F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
+        rows.groupBy(*key, "__spread_cell")
+        .agg(F.max_by(F.col("__spread_value"), F.when(F.col("__spread_value").isNotNull(), F.struct(*order))).alias("__spread_end"))
     )
-    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*key, "__b", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
-    inside = Window.partitionBy(*key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn(name, F.last("__v", ignorenulls=True).over(inside)).join(carried, [*key, "__b"])
-    return out.withColumn(name, F.coalesce(F.col(name), F.col("__carry"))).drop("__b", "__v", "__carry", "__k")
+    before = Window.partitionBy(*key).orderBy("__spread_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, "__spread_cell", F.last("__spread_end", ignorenulls=True).over(before).alias("__spread_carry"))
+    inside = Window.partitionBy(*key, "__spread_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(name, F.last("__spread_value", ignorenulls=True).over(inside)).join(carried, [*key, "__spread_cell"])
+    return out.withColumn(name, F.coalesce(F.col(name), F.col("__spread_carry"))).drop("__spread_cell", "__spread_value", "__spread_carry", "__spread_key")
 
 
 def ranked(df, keys, order, bucket, name="rank") -> DataFrame:
@@ -154,10 +167,11 @@ def ranked(df, keys, order, bucket, name="rank") -> DataFrame:
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str | None = None) -> DataFrame:
     """First k rows per group. `rank <= constant` lets Spark prune to k rows per group and task
     before the shuffle (window group limit), so hot groups cost k rows per task."""
-    out = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(
-        F.col("__rn") <= k
+    unclaimed(df)
+    out = df.withColumn("__spread_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(
+        F.col("__spread_rank") <= k
     )
-    return out.withColumnRenamed("__rn", name) if name else out.drop("__rn")
+    return out.withColumnRenamed("__spread_rank", name) if name else out.drop("__spread_rank")
 
 
 def value_counts(df: DataFrame, keys: list[str], value: Column, parts: int = 256) -> DataFrame:

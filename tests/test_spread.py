@@ -31,13 +31,13 @@ def test_hot_rows_spread_over_salts(rows):
     df, _ = rows
     stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("__n"))
     plan = SP.join_stats(df, stats, ["g"], ["id"])._jdf.queryExecution().toString()
-    assert "__salt" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "__spread_salt" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize("odd", [1e12, float("inf"), float("-inf"), float("nan")])
 def test_outliers_leave_buckets_even(spark, odd):
     df = spark.range(100_000).select((F.col("id") / 100_000).alias("v")).unionByName(spark.createDataFrame([(odd,)], "v double"))
-    sizes = [r["count"] for r in SP.with_bucket(df, SP.value_bucket(df, F.col("v"))).groupBy("__b").count().collect()]
+    sizes = [r["count"] for r in SP.with_bucket(df, SP.value_bucket(df, F.col("v"))).groupBy("__spread_cell").count().collect()]
     assert len(sizes) == 256 and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
@@ -88,3 +88,43 @@ def test_result_is_independent_of_partitioning(rows):
     b = sorted((r.id, r.pos) for r in shuffled(df.repartition(1), "id", 3).collect())
     assert a == b
     assert sorted(r.id for r in subset(df, "id", 40, 9).collect()) == sorted(r.id for r in subset(df.repartition(3), "id", 40, 9).collect())
+
+
+def test_callers_columns_survive(spark):
+    """Columns that look like helpers stay as they are, many rows stand in each bucket, and the module's own names are refused."""
+    rng = random.Random(4)
+    data = [(rng.randrange(3), i, rng.random(), rng.random()) for i in range(600)]
+    plain = spark.createDataFrame(data, "g int, id bigint, v double, w double")
+    names = ["__k", "__b", "__o", "__n", "__salt", "__v", "__s", "__hot", "__rn"]
+    df = plain.withColumns({n: F.col("w") + i for i, n in enumerate(names)})
+    order, bucket = [F.col("__k"), F.col("id")], F.floor(F.col("__k") * 4).cast("int")
+    place = {}
+    for g in range(3):
+        members = sorted((r for r in data if r[0] == g), key=lambda r: (r[3], r[1]))
+        place |= {r[1]: (n, r[2]) for n, r in enumerate(members, 1)}
+        total = 0.0
+        for r in members:
+            total += r[2]
+            place[r[1]] = (place[r[1]][0], total, r[2])
+    frames = {
+        "rank": SP.ranked(df, ["g"], order, bucket, "got"),
+        "sum": SP.running_sum(df, ["g"], order, bucket, {"got": F.col("v")}),
+        "last": SP.last_known(df, ["g"], order, bucket, F.col("v"), "got"),
+        "stats": SP.attach_stats(df, ["g"], {"got": F.count(F.lit(1))}, ["id"]),
+        "first": SP.first_k(df, ["g"], order, 1000, "got"),
+    }
+    sizes = {g: sum(r[0] == g for r in data) for g in range(3)}
+    for kind, frame in frames.items():
+        found = frame.collect()
+        assert len(found) == len(data), kind
+        for r in found:
+            want = {"rank": place[r.id][0], "first": place[r.id][0], "sum": place[r.id][1], "last": place[r.id][2], "stats": sizes[r.g]}[kind]
+            assert r.got == pytest.approx(want), kind
+            assert [r[n] for n in names] == [data[r.id][3] + i for i, n in enumerate(names)], kind
+    for name in ("__spread_key", "__spread_cell"):
+        with pytest.raises(ValueError):
+            SP.attach_stats(df.withColumn(name, F.lit(1)), ["g"], {"got": F.count(F.lit(1))}, ["id"])
+    with pytest.raises(ValueError):
+        SP.ranked(df.withColumn("__spread_key", F.lit(1)), ["g"], order, bucket)
+    with pytest.raises(ValueError):
+        SP.join_stats(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("__n")), ["g"], ["id"])
