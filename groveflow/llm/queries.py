@@ -1,6 +1,7 @@
 """All queries of this subpackage: importing a module registers its query."""
 
 import corpus_pipeline
+import groveflow.llm.balltree  # noqa: F401
 import groveflow.llm.bpe  # noqa: F401
 import groveflow.llm.chat  # noqa: F401
 import groveflow.llm.decontaminate  # noqa: F401
