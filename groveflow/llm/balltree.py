@@ -216,6 +216,8 @@ def _search(block, count: int, total: int, k: int, chunk: int, leaf: int, groups
             value = SCALE * tf // (PARTS * tf + HALF * m[own])
             # terms of this chunk only, so that a tree's arrays follow the chunk
             here, local = np.unique(term, return_inverse=True)
+            if not len(here):
+                return
             first = np.searchsorted(own, np.arange(base + 1))
             tree = Tree(first, local, value * root[here][local], len(here), leaf, groups)
             place = np.full(len(vocabulary), -1)
@@ -227,8 +229,6 @@ def _search(block, count: int, total: int, k: int, chunk: int, leaf: int, groups
                 dense = np.zeros((len(some), len(here)))
                 for i, t in enumerate(terms):
                     dense[i, t[t >= 0]] = root[here[t[t >= 0]]]
-                if not len(here):
-                    continue
                 bounds = tree.bound(dense)
                 for i, q in enumerate(some):
                     exact = np.zeros(len(here), np.int64)
