@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sample_key, sigmoid, stable_id
+from ..session import materialise
 from .spread import attach_stats, hash_bucket, join_stats, ranked, running_sum, value_bucket, value_counts
 
 
@@ -79,6 +80,62 @@ def ranking_accuracy(df: DataFrame) -> DataFrame:
     return run.groupBy("uid").agg(F.coalesce(hits / F.nullif(pairs, F.lit(0)), F.lit(0.5)).alias("accuracy"))
 
 
+def gap_sums(df: DataFrame, keys: list[str], value: str, parts: int = 256) -> DataFrame:
+    """Sum of the differences of `value` over all pairs of a group (keys, total), from running counts of distinct values."""
+    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    v, c = F.col(value), F.col("c")
+    run = running_sum(levels, keys, [v], value_bucket(levels, v, parts), {"upto": c, "mass": c * v})
+    return run.groupBy(*keys).agg(F.sum(c * (v * (F.col("upto") - c) - (F.col("mass") - c * v))).alias("total"))
+
+
+def dominance_sums(df: DataFrame, keys: list[str], rank: str, value: str, size: str, parts: int = 256) -> DataFrame:
+    """Sum of (value_h - value_l) over the pairs of a group that `rank` and `value` order alike: rank_l < rank_h and
+    value_l < value_h. Two-dimensional dominance, without pair rows: (keys, alike).
+
+    rank: 0 .. size - 1 in the group. Two ranks differ first in one binary digit; at that digit's level both stand in the
+    block of equal higher digits, the lower in its left half, the higher in its right. So each pair belongs to one block of
+    one level, and a block needs only running counts and sums of its left half over the distinct values. A row takes part
+    in at most log2(size) levels, those where its block has a right half. Blocks are pre-aggregated by value, and their
+    running sums are cut into order buckets, so that the block of a hot group's top level is many tasks' work.
+    """
+    r, n = F.col(rank), F.col(size)
+    levels = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda d: F.call_function("shiftright", n - 1, d) > 0)
+    rows = df.where(n > 1).select(*keys, r.alias("r"), n.alias("n"), F.col(value).alias("v"), F.explode(levels).alias("digit"))
+    block = F.expr("shiftright(r, digit + 1)")
+    right = F.expr("shiftright(r, digit) & 1")
+    rows = rows.withColumn("block", block).where(F.expr("shiftleft(block, digit + 1) + shiftleft(1L, digit) <= n - 1"))
+    inner = [*keys, "digit", "block"]
+    cells = rows.groupBy(*inner, "v").agg(F.sum(1 - right).alias("left"), F.sum(right).alias("right"))
+    v, left = F.col("v"), F.col("left")
+    run = running_sum(cells, inner, [v], value_bucket(df.select(F.col(value).alias("v")), F.col("v"), parts), {"count": left, "mass": left * v})
+    # values are distinct in a block, so what the cell itself adds counts as equal: (v - v) * left = 0
+    return run.groupBy(*keys).agg(F.sum(F.col("right") * (v * F.col("count") - F.col("mass"))).alias("alike"))
+
+
+def weighted_ranking_accuracy(df: DataFrame) -> DataFrame:
+    """Share of a prompt's pairs that the score ranks like the accuracy, weighted by the pair's difference in accuracy; 0.5
+    where no pair differs. (uid, accuracy) from (uid, rollout_id, score, acc) with soft accuracies.
+
+    A pair of equal scores counts as ranked right if the more accurate rollout stands later (by rollout_id). That is the
+    order of (score, rollout_id), so the right pairs are those which that order and the accuracy order alike. Rows without
+    score or accuracy take no part.
+    """
+    every = df.select("uid").distinct()
+    known = df.where("score IS NOT NULL AND acc IS NOT NULL").select("uid", "rollout_id", F.col("score").cast("double").alias("score"), F.col("acc").cast("double").alias("acc"))
+    # equal scores may repeat without bound: scores are ranked by counts of distinct ones, then positions inside a score
+    levels = known.groupBy("uid", "score").agg(F.count(F.lit(1)).alias("c"))
+    below = running_sum(levels, ["uid"], [F.col("score")], value_bucket(levels, F.col("score")), {"upto": F.col("c")})
+    below = below.select("uid", "score", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("__n"))
+    inside = ranked(known, ["uid", "score"], [F.col("rollout_id")], value_bucket(known, F.col("rollout_id")), "at")
+    rows = join_stats(inside, below, ["uid", "score"], ["rollout_id"]).drop("__n")
+    rows = attach_stats(rows, ["uid"], {"size": F.count(F.lit(1))}, ["rollout_id"]).withColumn("rank", F.col("below") + F.col("at") - 1)
+    rows = materialise(rows.select("uid", "rank", "size", "acc"), "ranks")
+    alike, total = dominance_sums(rows, ["uid"], "rank", "acc", "size"), gap_sums(rows, ["uid"], "acc")
+    sums = total.join(alike.withColumnRenamed("uid", "__a"), F.col("uid").eqNullSafe(F.col("__a")), "left").withColumn("share", F.coalesce("alike", F.lit(0.0)) / F.nullif("total", F.lit(0.0)))
+    # null uid is a prompt like any other
+    return every.join(sums.select(F.col("uid").alias("__u"), "share"), F.col("uid").eqNullSafe(F.col("__u")), "left").select("uid", F.coalesce("share", F.lit(0.5)).alias("accuracy"))
+
+
 def action_ranking(df: DataFrame) -> DataFrame:
     """Share of action pairs of a state with (gt_i - gt_j)(pred_i - pred_j) > 0. The actions of a state are the
     branches of one node, so the pair join within a state is bounded by the branch factor."""

@@ -454,3 +454,40 @@ def test_resample_of_large_scores(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate([3e6, -3e6, 1.0, 0.0])], "rollout_id bigint, score double")
     got = A.resample_by_score(df).collect()
     assert len(got) == 4 and {r.rollout_id for r in got} <= {0, 1}
+
+
+def _weighted(rows):
+    """(uid -> accuracy) by listing pairs in position order."""
+    out = {}
+    for uid in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == uid and r[2] is not None and r[3] is not None), key=lambda r: r[1])
+        good = total = 0.0
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                total += abs(a[3] - b[3])
+                good += abs(a[3] - b[3]) * ((a[2] > b[2]) == (a[3] > b[3]))
+        out[uid] = good / total if total else 0.5
+    return out
+
+
+def test_weighted_ranking_accuracy(spark):
+    """Ties in score and accuracy, a prompt with half of all rows, one that is a single score, nulls, prompts without pairs."""
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 0, 0, 1, 2, 3, 4, 5]), i, rng.choice([rng.random(), float(rng.randrange(4))]), rng.choice([0.0, 0.25, 1.0, rng.random()])) for i in range(500)]
+    rows += [(6, 1000 + i, 2.0, i / 7) for i in range(33)] + [(7, 2000, 1.0, 0.5), (8, 2001, None, 1.0), (8, 2002, 1.0, None), (9, 3000, 1.0, 0.0), (9, 3001, 2.0, 0.0)]
+    rows += [(None, 4000, 1.0, 0.0), (None, 4001, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "uid bigint, rollout_id bigint, score double, acc double").repartition(5)
+    got = {r.uid: r.accuracy for r in P.weighted_ranking_accuracy(df).collect()}
+    assert got == {k: pytest.approx(v) for k, v in _weighted(rows).items()}
+    assert P.weighted_ranking_accuracy(df.limit(0)).collect() == []
+
+
+def test_dominance_of_one_group_is_split(spark):
+    """All rows are one group: the top level's block is counted in as many order buckets as there are values, and no join is
+    of rows with rows."""
+    df = spark.range(2000).select(F.lit(0).alias("g"), F.col("id").alias("rank"), F.lit(2000).cast("bigint").alias("size"), (F.pmod(F.col("id") * 7919, F.lit(2003)) / 1.0).alias("v"))
+    v = [i * 7919 % 2003 for i in range(2000)]
+    want = sum(v[h] - v[l] for h in range(2000) for l in range(h) if v[l] < v[h])
+    assert P.dominance_sums(df, ["g"], "rank", "v", "size").first().alike == pytest.approx(want)
+    plan = P.dominance_sums(df, ["g"], "rank", "v", "size")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
