@@ -1,8 +1,9 @@
 """Run a stream over what is available and read its output table back."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 
 
 def to_table(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
@@ -28,6 +29,18 @@ def each_batch(stream: DataFrame, name: str, write, mode: str = "append", state:
     q.awaitTermination()
 
 
+def by_batch(out: str, transform=None):
+    """A writer for `each_batch`: the rows of a micro-batch, after `transform`, become the partition batch=<id> of the table
+    `out`. A batch that is repeated replaces its own partition and no other, so a restarted stream leaves each row once.
+    The batch is written before it is transformed: a plan that reads it twice must not run the stream's state twice."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = (transform(materialise(df, "batch")) if transform else df).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    return write
+
+
 def stream_of(df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """Store a table in the shared folder and open it as a stream."""
     spark = df.sparkSession
