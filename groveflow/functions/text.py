@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value evaluated once, however often `use` refers to it: a Column is a tree, and each reference
+    would be evaluated anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -30,23 +36,30 @@ def delimited_number(text: Column) -> Column:
 def last_boxed(text: Column) -> Column:
     r"""Content of the last \boxed{...} that closes. Braces are counted over the brace positions of each piece that follows
     a `boxed{`, so nesting may have any depth and texts any length; a closing brace before % keeps its brace."""
-    pieces = F.slice(F.split(text, r"boxed\{"), 2, F.greatest(F.size(F.split(text, r"boxed\{")) - 1, F.lit(0)))
 
     def content(piece):
         runs = F.regexp_extract_all(piece, F.lit(r"[^{}]*+[{}]"), F.lit(0))
         zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
         def step(acc, run):
-            depth = acc["depth"] + F.when(run.endswith("{"), 1).otherwise(-1)
-            at = acc["at"] + F.length(run)
-            return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] < 0) & (depth < 0), at - 1).otherwise(acc["end"]).alias("end"))
+            def moved(depth):
+                at = acc["at"] + F.length(run)
+                return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] < 0) & (depth < 0), at - 1).otherwise(acc["end"]).alias("end"))
+
+            return bind(acc["depth"] + F.when(run.endswith("{"), 1).otherwise(-1), moved)
+
+        def cut(end):
+            size = F.when(piece.substr(end + 2, F.lit(1)) == "%", end + 1).otherwise(end)
+            return F.when(end >= 0, piece.substr(F.lit(1), size))
+
+        return bind(F.aggregate(runs, zero, step, lambda acc: acc["end"]), cut)
 
-        end = F.aggregate(runs, zero, step)["end"]
-        size = F.when(piece.substr(end + 2, F.lit(1)) == "%", end + 1).otherwise(end)
-        return F.when(end >= 0, piece.substr(F.lit(1), size))
+    def last(text):
+        pieces = bind(F.split(text, r"boxed\{"), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+        closed = F.filter(F.transform(pieces, content), lambda x: x.isNotNull())
+        return F.when(F.contains(text, F.lit("boxed{")), F.try_element_at(closed, F.lit(-1)))
 
-    closed = F.filter(F.transform(pieces, content), lambda x: x.isNotNull())
-    return F.try_element_at(closed, F.lit(-1))
+    return bind(text, last)
 
 
 # Plain-text replacements and removals of the answer normalisation, in order.
@@ -80,6 +93,7 @@ def normal_answer(text: Column) -> Column:
     x = F.element_at(F.split(text, "="), -1)
     for old, new in REPLACED + [(r, "") for r in REMOVED]:
         x = F.replace(x, F.lit(old), F.lit(new))
+    # fixed values, in order
     for pattern, new in [
         (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
         (r"\\text\{(.*?)\}", "$1"),
@@ -91,15 +105,16 @@ def normal_answer(text: Column) -> Column:
     ]:
         x = F.regexp_replace(x, pattern, new)
     x = F.replace(x, F.lit("$"), F.lit(""))
-    digits = F.replace(x, F.lit(","), F.lit(""))
-    return strip(F.when(digits.rlike(r"^\d+$"), digits).otherwise(x))
+    number = lambda x: bind(F.replace(x, F.lit(","), F.lit("")), lambda digits: F.when(digits.rlike(r"^\d+$"), digits).otherwise(x))
+    return strip(bind(x, number))
 
 
 def latex_normal(text: Column) -> Column:
     """Normal form of a LaTeX string: fractions, roots, units, degrees, leading dots, spaces."""
     x = strip(text)
     outer = r"^\\text\{(.+?)\}$"
-    x = F.when(x.rlike(outer), strip(F.regexp_extract(x, outer, 1))).otherwise(x)
+    x = bind(x, lambda x: F.when(x.rlike(outer), strip(F.regexp_extract(x, outer, 1))).otherwise(x))
+    # fixed values, in order
     for old, new in [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""),
                      ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]:
         x = F.replace(x, F.lit(old), F.lit(new))
@@ -107,13 +122,13 @@ def latex_normal(text: Column) -> Column:
     x = F.replace(x, F.lit("\\%"), F.lit(""))
     x = F.regexp_replace(x, r"(^| |\{)\.", "$10.")
     # a short left-hand side (`k = `) is dropped
-    parts = F.split(x, "=")
-    x = F.when((F.size(parts) == 2) & (F.length(F.element_at(parts, 1)) <= 2), F.element_at(parts, -1)).otherwise(x)
+    side = lambda x: bind(F.split(x, "="), lambda p: F.when((F.size(p) == 2) & (F.length(F.element_at(p, 1)) <= 2), F.element_at(p, -1)).otherwise(x))
+    x = bind(x, side)
     x = F.regexp_replace(x, r"sqrt([^{])", r"sqrt{$1}")
     x = F.replace(x, F.lit(" "), F.lit(""))
     x = F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
     x = F.regexp_replace(x, r"\\frac([^{])(\{)", r"\\frac{$1}$2")
-    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
+    x = bind(x, lambda x: F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x))
     return F.regexp_replace(x, r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}")
 
 
