@@ -7,9 +7,9 @@ rejected if its cosine is below `PART` of what all but `TAIL` of the language's
 classes by powers of two of the filled cells: short texts lie far from any centroid), or if it has no letters. A class with
 fewer than `ENOUGH` training texts of the language takes those of all languages, else the limit of the next shorter class.
 
-The classifier is fitted on at most `SAMPLE` documents, as many of each language (all, if there are fewer), in hash
-order of their ids, so its size and time are fixed: their vectors, not their texts, reach the driver. Prediction runs
-over all documents where they are.
+The classifier is fitted on at most `SAMPLE` documents, as many of each language (all, if there are fewer; one at least), in
+hash order of their ids, so its size and time are fixed: their vectors, not their texts, reach the driver. Prediction
+runs over all documents where they are.
 
 Defined cases: a null text or one without letters is `und` with score 0; with no training document every text is `und`;
 repeated rows get equal results; documents with null doc_id are predicted and count as held out of training; extra
@@ -22,11 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groveflow.llm import kernel
 from groveflow.llm.registry import query, ready, table
+from groveflow.session import materialise
 
 DIMS = 1 << 12
 CLUSTERS, ROUNDS = 4, 12
@@ -96,13 +97,14 @@ def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
 
 class Centroids:
     def __init__(self, rows: np.ndarray, langs: list[str]):
-        """rows: damped counts, one vector per training text."""
+        """rows: damped counts, one vector per training text; they are weighted and scaled in place."""
         self.names = sorted(set(langs))
         if not self.names:
             return
         self.idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
         length = _length(rows)
-        rows = _unit(rows * self.idf)
+        rows *= self.idf
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
         langs = np.array(langs)
         parts = [_cluster(rows[langs == name], CLUSTERS) for name in self.names]
         self.owner = np.concatenate([[i] * len(p) for i, p in enumerate(parts)])
@@ -137,25 +139,34 @@ def _vectors(batches):
         for a, b in kernel.slices(column):
             rows = counts(*kernel.bytes_of(column.slice(a, b - a))).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "doc_id", "vector"]
+                [batch.column("lang").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "h", "vector"]
             )
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE):
-    """Centroids of the documents with text and language (doc_id, text, lang), as a broadcast of fixed size."""
+    """Centroids of the documents with text and language (doc_id, text, lang), as a broadcast of fixed size.
+
+    Each language gives its ids of smallest hash, one text of each id: a share of the hashes, from the approximate number
+    of ids, leaves a third more than are wanted, and the rest are ranked. No language is left out, however many copies
+    an id has.
+    """
     spark = docs.sparkSession
     ready(spark)
     docs = docs.where("text is not null and lang is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    names = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    within, each = F.lit(False), sample // max(len(names), 1)
-    for name in names:  # per language the ids with the smallest hashes: a bounded top list per task, not a sort
-        last = docs.where(F.col("lang") == name).select("h").orderBy("h").limit(max(each, 1)).agg(F.max("h").alias("h")).first().h
-        within = within | ((F.col("lang") == name) & (F.col("h") <= last))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.where(within).select("lang", "doc_id", "text").mapInArrow(_vectors, f"lang string, doc_id {kind}, vector binary")
-    found = found.orderBy("lang", "doc_id", "vector").limit(2 * sample).collect()  # ids that occur again may make it more than `sample`
-    rows = np.array([np.frombuffer(bytes(r.vector), np.float16) for r in found]).astype(np.float32)
-    return spark.sparkContext.broadcast(Centroids(rows, [r.lang for r in found]))
+    sizes = materialise(docs.groupBy("lang").agg(F.approx_count_distinct("h").alias("ids")), "languages")
+    each = max(sample // max(sizes.count(), 1), 1)
+    share = F.shiftrightunsigned("h", 11) / float(1 << 53)  # even over 0 to 1
+    near = docs.join(sizes, "lang").where(share * F.col("ids") < 1.33 * each + 8).select("lang", "h", "text")
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = near.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("lang", "h")
+    texts = near.join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # at most `sample` rows, or one for each language
+    found = texts.mapInArrow(_vectors, "lang string, h bigint, vector binary").groupBy("lang", "h").agg(F.max("vector").alias("vector")).orderBy("lang", "h").toArrow()
+    langs = found.column("lang").to_pylist()
+    packed = found.column("vector").combine_chunks()
+    packed = packed.cast(pa.large_binary())
+    rows = np.frombuffer(packed.buffers()[2], np.float16).reshape(-1, DIMS).astype(np.float32) if langs else np.zeros((0, DIMS), np.float32)
+    del found, packed
+    return spark.sparkContext.broadcast(Centroids(rows, langs))
 
 
 def predict(docs: DataFrame, model, keep: list[str], nested: bool = False) -> DataFrame:

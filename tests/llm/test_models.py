@@ -215,6 +215,17 @@ def tokenizer():
     return encode
 
 
+def test_no_language_is_lost(spark):
+    """One id holds most rows and sorts first; a language late in the alphabet keeps its centroids, and counts once."""
+    words = {"aa": "abc abd abe", "zz": "xyz xyw xyv"}
+    docs = [(1, words["aa"] + f" ab{i}", "aa") for i in range(3000)] + [(100 + i, words["zz"] + f" xy{i}", "zz") for i in range(40)] + [(9000 + i, words["aa"], "aa") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("h", F.lit("x")).repartition(5)
+    model = language.fit(frame, sample=20)
+    assert model.value.names == ["aa", "zz"]
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame.where("doc_id <> 1"), model, ["doc_id"]).collect()}
+    assert all(v == ("zz" if k < 9000 else "aa") for k, v in got.items())
+
+
 def test_bpe_table(spark, tokenizer):
     def row(doc, text):
         ids, shown = tokenizer(text)
