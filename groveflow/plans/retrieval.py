@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
+from ..operators import lsh as LSH
 from ..operators import retrieval as RT
 from ..sources import views
 from .registry import R, ROLLOUTS, TOKENS, query
@@ -27,6 +28,31 @@ def top_k(spark, path):
     return RT.inner_product_top_k(q, corpus, 10).select("query_id", "doc_id", r6("score").alias("score"), "rank")
 
 
+def stated(spark, path):
+    """Every vector is the corpus; those whose id is divisible by 50 ask."""
+    corpus = views.table(spark, path, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return corpus, corpus.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+
+
+def approximate(spark, path):
+    corpus, q = stated(spark, path)
+    projection = LSH.fit(corpus)
+    return LSH.approximate_top_k(q, LSH.write_index(corpus, projection), corpus, 10, projection)
+
+
+@query("j10_approximate_top_k")
+def approximate_top_k(spark, path):
+    return approximate(spark, path).select("query_id", "doc_id", r6("score").alias("score"), "rank")
+
+
+@query("j10_approximate_recall", "SELECT count(*) AS queries, sum(least((SELECT count(*) FROM embeddings), 10))::BIGINT AS pairs, true AS enough FROM embeddings WHERE vec_id%50=0")
+def approximate_recall(spark, path):
+    """Recall of the index against the exact search over all rows: 0.9 at least."""
+    corpus, q = stated(spark, path)
+    row = LSH.recall(approximate(spark, path), RT.inner_product_top_k(q, corpus, 10))
+    return row.select("queries", "pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 BM = """w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text),'[^\\p{L}\\p{N}]+') IF x<>''] AS w FROM documents), st AS (SELECT avg(len(w)) AS a, count(*) AS n FROM w),
   p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   q AS (SELECT item_id AS query_id, unnest(list_distinct([x FOR x IN string_split_regex(lower(text),'[^\\p{L}\\p{N}]+') IF x<>''])) AS term FROM benchmark),

@@ -491,3 +491,62 @@ def test_dominance_of_one_group_is_split(spark):
     assert P.dominance_sums(df, ["g"], "rank", "v", "size").first().alike == pytest.approx(want)
     plan = P.dominance_sums(df, ["g"], "rank", "v", "size")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def _vectors(spark, rows, name="doc_id"):
+    return spark.createDataFrame(rows, f"{name} long, vector array<double>")
+
+
+def test_approximate_search(spark):
+    """Clustered vectors of different norms, copies, a null and a short vector: recall against all products, exact scores."""
+    import numpy as np
+
+    from groveflow.operators import lsh as L
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 12))
+    x = centres[rng.integers(0, 20, 900)] + 0.4 * rng.normal(size=(900, 12))
+    x *= rng.uniform(0.5, 2.0, (900, 1))
+    x[700:] = x[3]  # very many copies of one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0])]
+    corpus = _vectors(spark, rows).repartition(4)
+    asked = [0, 50, 99, 300, 450]
+    queries = _vectors(spark, [(i, x[i].tolist()) for i in asked] + [(77, None)], "query_id")
+    p = L.fit(corpus)
+    index = L.write_index(corpus, p)
+    assert index.count() == 900 * L.TABLES and index.select("doc_id").distinct().count() == 900
+    got = L.approximate_top_k(queries, index, corpus, 10, p)
+    exact = RT.inner_product_top_k(queries.where("query_id <> 77"), corpus.where("size(vector) = 12"), 10)
+    one = L.recall(got, exact).first()
+    assert (one.queries, one.pairs) == (5, 50) and one.recall >= 0.9
+    for r in got.collect():
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.doc_id]))
+    assert L.approximate_top_k(queries, index, corpus, 10, p, probes=1 << 8).count() == 50
+    none = corpus.limit(0)
+    empty = L.fit(none)
+    assert L.approximate_top_k(queries, L.write_index(none, empty), none, 10, empty).collect() == []
+
+
+def test_approximate_search_in_blocks(spark, monkeypatch):
+    from groveflow.operators import lsh as L
+
+    rng = random.Random(3)
+    corpus = _vectors(spark, [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)])
+    queries = corpus.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    p = L.fit(corpus)
+    index = L.write_index(corpus, p)
+    whole = sorted(tuple(r) for r in L.approximate_top_k(queries, index, corpus, 3, p).collect())
+    monkeypatch.setattr(L, "BLOCK", 7)
+    assert sorted(tuple(r) for r in L.approximate_top_k(queries, index, corpus, 3, p).collect()) == whole
+    assert {r[0] for r in whole} == {r.query_id for r in queries.collect()}
+
+
+def test_lookup_prunes_folders(spark):
+    """The probes' tables and zones reach the scan of the index as partition filters."""
+    from groveflow.operators import lsh as L
+
+    corpus = _vectors(spark, [(i, [float(i % 7), 1.0, float(i)]) for i in range(60)])
+    p = L.fit(corpus)
+    found = L.candidates(corpus.limit(1).withColumnRenamed("doc_id", "query_id"), L.write_index(corpus, p), p, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "zone" in plan.split("PartitionFilters: [")[1].split("]")[0]
