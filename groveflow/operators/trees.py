@@ -66,6 +66,45 @@ def flatten_trees(docs: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def flatten_any_depth(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node rows of nested JSON documents (tree_id, doc) of any depth, and the documents that are set aside.
+
+    Documents are parsed once into variants; each level is a table (node columns and the children, still variants), and the
+    next one explodes its children, until no node has any. The number of jobs is the depth of the deepest tree.
+    Nodes: tree_id, node_id, parent_id, depth, pre_order (positions from the root: sorts like a stack walk), text, reward,
+    finish_reason; fields of another type are null. Set aside (tree_id, doc, reason): broken JSON, documents that are no
+    object, null documents, and trees in which `children` of some node is no list; none of these has node rows.
+    """
+    parsed = docs.select("tree_id", "doc", F.try_parse_json("doc").alias("v"))
+    kind = F.schema_of_variant("v")
+    reason = F.when(F.col("doc").isNull(), "no document").when(F.col("v").isNull(), "broken JSON").when(~F.startswith(kind, F.lit("OBJECT")), "no object")
+    parsed = materialise(parsed.withColumn("reason", reason).withColumn("row", F.monotonically_increasing_id()), "documents")
+    kids = lambda v: F.try_variant_get(v, "$.children", "array<variant>")
+    listed = lambda v: F.try_variant_get(v, "$.children", "variant").isNull() | kids(v).isNotNull() | F.is_variant_null(F.try_variant_get(v, "$.children", "variant"))
+
+    def level_of(rows: DataFrame, depth: int) -> DataFrame:
+        v = F.col("v")
+        fields = {"node_id": ("$.id", "string"), "text": ("$.text", "string"), "reward": ("$.reward", "double"), "finish_reason": ("$.finish_reason", "string")}
+        got = rows.select(
+            "row", "tree_id", "parent_id", F.lit(depth).alias("depth"), "pre_order", *[F.try_variant_get(v, p, k).alias(n) for n, (p, k) in fields.items()],
+            kids(v).alias("kids"), listed(v).alias("listed"),
+        )
+        return materialise(got.withColumn("n_kids", F.coalesce(F.size("kids"), F.lit(0))), "level")
+
+    roots = parsed.where("reason IS NULL").select("row", "tree_id", "v", F.lit(None).cast("string").alias("parent_id"), F.array(F.lit(0)).alias("pre_order"))
+    levels = [level_of(roots, 0)]
+    while not (open_ := levels[-1].where("n_kids > 0")).isEmpty():
+        below = open_.select("row", "tree_id", F.col("node_id").alias("parent_id"), "pre_order", F.posexplode("kids").alias("at", "v"))
+        levels.append(level_of(below.withColumn("pre_order", F.array_append("pre_order", F.col("at"))), len(levels)))
+    nodes = reduce(DataFrame.unionByName, [x.drop("kids", "n_kids") for x in levels])
+    odd = nodes.where("NOT listed").select("row").distinct()
+    set_aside = parsed.where("reason IS NOT NULL").select("tree_id", "doc", "reason").unionByName(
+        parsed.where("reason IS NULL").join(odd, "row", "left_semi").select("tree_id", "doc", F.lit("children is no list").alias("reason"))
+    )
+    nodes = nodes.join(odd, "row", "left_anti").select("tree_id", "node_id", "parent_id", "depth", "pre_order", "text", "reward", "finish_reason")
+    return nodes, set_aside
+
+
 def max_depth(nodes: DataFrame) -> int:
     """Depth of the deepest node: one number, bounded by the tree shape of the run."""
     return nodes.agg(F.max("depth")).first()[0]

@@ -217,6 +217,32 @@ def tree_documents(spark, path):
     return cust.select(F.col("c_custkey").alias("tree_id"), doc.alias("doc"))
 
 
+def order_chains(spark, path):
+    """Documents as deep as a customer has orders: each order holds a graded leaf and the next order. Every 50th is cut off."""
+    o = views.table(spark, path, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", F.floor("o_totalprice").alias("r"))), asc=False).alias("o"))
+    key = lambda x: x["o_orderkey"].cast("string")
+    leaf = lambda x: F.concat(F.lit('{"id":"l'), key(x), F.lit('","reward":'), x["r"].cast("string"), F.lit("}"))
+    node = lambda acc, x: F.concat(F.lit('{"id":"o'), key(x), F.lit('","text":"'), x["o_orderpriority"], F.lit('","children":['), leaf(x), F.when(acc == "", "").otherwise(F.concat(F.lit(","), acc)), F.lit("]}"))
+    chain = F.aggregate("o", F.lit(""), node)
+    doc = F.concat(F.lit('{"id":"c'), F.col("o_custkey"), F.lit('","children":['), chain, F.lit("]}"))
+    return o.select(F.col("o_custkey").alias("tree_id"), F.when(F.col("o_custkey") % 50 == 0, F.substring(doc, 1, 40)).otherwise(doc).alias("doc"))
+
+
+@query("s08_any_depth", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS up FROM orders WHERE o_custkey%50<>0)
+  SELECT DISTINCT o_custkey AS tree_id, 'c'||o_custkey AS node_id, NULL::VARCHAR AS parent_id, 0 AS depth, '0' AS walk, NULL::VARCHAR AS text, NULL::DOUBLE AS reward FROM o
+  UNION ALL SELECT o_custkey, 'o'||o_orderkey, CASE WHEN up IS NULL THEN 'c'||o_custkey ELSE 'o'||up END, i::INT, '0.0'||repeat('.1', (i-1)::INT), o_orderpriority, NULL FROM o
+  UNION ALL SELECT o_custkey, 'l'||o_orderkey, 'o'||o_orderkey, i::INT+1, '0.0'||repeat('.1', (i-1)::INT)||'.0', NULL, floor(o_totalprice)::DOUBLE FROM o""")
+def any_depth(spark, path):
+    nodes, _ = T.flatten_any_depth(order_chains(spark, path))
+    return nodes.select("tree_id", "node_id", "parent_id", "depth", F.array_join(F.col("pre_order").cast("array<string>"), ".").alias("walk"), "text", "reward")
+
+
+@query("s08_set_aside", "SELECT DISTINCT o_custkey AS tree_id, 'broken JSON' AS reason FROM orders WHERE o_custkey%50=0")
+def set_aside(spark, path):
+    _, bad = T.flatten_any_depth(order_chains(spark, path))
+    return bad.select("tree_id", "reason")
+
+
 BLEU = """w AS (SELECT conv_id AS parent, turn AS i, [x FOR x IN string_split_regex(text,'\\s+') IF x<>''] AS w FROM conversations),
   g AS (SELECT parent, i, n, array_to_string(list_slice(w,p,p+n-1),' ') AS g, count(*) AS c FROM (SELECT *, unnest(range(1,len(w)-n+2)) AS p FROM w, range(1,5) t(n)) GROUP BY ALL),
   m AS (SELECT a.parent, a.n, sum(least(a.c,b.c)) AS m FROM g a JOIN g b ON a.parent=b.parent AND a.n=b.n AND a.g=b.g AND a.i<b.i GROUP BY ALL),

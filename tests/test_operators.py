@@ -550,3 +550,39 @@ def test_lookup_prunes_folders(spark):
     found = L.candidates(corpus.limit(1).withColumnRenamed("doc_id", "query_id"), L.write_index(corpus, p), p, 1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "zone" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def _walk(tree_id, node, parent=None, depth=0, at=(0,)):
+    """Node rows of a tree in the order of a stack walk."""
+    out, stack = [], [(node, parent, depth, list(at))]
+    while stack:
+        n, up, d, path = stack.pop()
+        out.append((tree_id, n.get("id"), up, d, path, n.get("text"), n.get("reward"), n.get("finish_reason")))
+        for i, kid in reversed(list(enumerate(n.get("children") or []))):
+            stack.append((kid, n.get("id"), d + 1, [*path, i]))
+    return out
+
+
+def test_trees_of_any_depth(spark):
+    """A chain of 60, a wide tree, a lone root, broken and odd documents."""
+    import json
+
+    chain = {"id": "e", "reward": 1.5}
+    for i in range(60):
+        chain = {"id": f"n{i}", "text": "t", "children": [{"id": f"k{i}", "finish_reason": "stop"}, chain]}
+    wide = {"id": "w", "children": [{"id": f"w{i}", "children": [{"id": f"w{i}.{j}", "reward": j / 4} for j in range(i % 3)]} for i in range(300)]}
+    lone = {"id": "x", "children": None, "reward": 2}
+    good = [(1, chain), (2, wide), (3, lone), (3, {"id": "again", "children": []})]
+    bad = [(4, '{"id": "a", "children": [', "broken JSON"), (5, "[1]", "no object"), (6, None, "no document"), (7, '{"id": "q", "children": [{"id": "r", "children": 5}]}', "children is no list"), (8, "null", "no object")]
+    docs = spark.createDataFrame([(i, json.dumps(t)) for i, t in good] + [(i, d) for i, d, _ in bad], "tree_id long, doc string")
+    nodes, aside = T.flatten_any_depth(docs)
+    got = [tuple(r) for r in nodes.collect()]
+    want = [r for i, t in good for r in _walk(i, t)]
+    order = lambda r: (r[0], r[4], str(r[1]))
+    assert sorted(got, key=order) == sorted(want, key=order)
+    for tree in (1, 2):
+        assert [r[1] for r in sorted((r for r in got if r[0] == tree), key=lambda r: r[4])] == [r[1] for r in want if r[0] == tree]
+    assert sorted((r.tree_id, r.doc, r.reason) for r in aside.collect() if r.doc) == sorted((i, d, x) for i, d, x in bad if d)
+    assert [r.reason for r in aside.collect() if r.doc is None] == ["no document"]
+    nodes, aside = T.flatten_any_depth(docs.limit(0))
+    assert nodes.count() == 0 and aside.count() == 0
