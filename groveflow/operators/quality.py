@@ -2,9 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .trees import edge_id
 
 
@@ -38,6 +39,25 @@ def failure_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.inline(pairs))
 
 
+def inspect(df: DataFrame, rules: dict[str, Column], strict: bool = False, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Failing rows (with `failures`) and counts (rule, failures, rows), from one run over `df`.
+
+    The failing rows are written to `path` (a folder of the shared one by default); the counts are metrics observed while
+    they are written. `strict` raises an error with the counts if any rule is broken, once the rows are written.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "failures")
+    seen = Observation()
+    metrics = [F.count_if(F.array_contains("failures", n)).alias(n) for n in rules]
+    flag(df, rules).observe(seen, F.count(F.lit(1)).alias("__rows"), *metrics).where(F.size("failures") > 0).write.mode("overwrite").parquet(path)
+    got = seen.get
+    counts = [(n, got[n], got["__rows"]) for n in rules]
+    broken = ", ".join(f"{n}: {c}" for n, c, _ in counts if c)
+    if strict and broken:
+        raise ValueError(f"quality check failed: {broken} of {got['__rows']} rows; they are in {path}")
+    return spark.read.parquet(path), spark.createDataFrame(counts, "rule string, failures bigint, rows bigint")
+
+
 def parent_groups(edges: DataFrame) -> DataFrame:
     """One row per parent group with the facts the group rules need."""
     return edges.groupBy("parent_id").agg(

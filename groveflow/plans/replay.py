@@ -243,6 +243,28 @@ def record_rules(spark, path):
     return Q.failure_counts(records(spark, path), Q.slot_rules())
 
 
+def listed(failures, counts):
+    """Counts next to the number of listed rows that break the rule."""
+    per = failures.select(F.explode("failures").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("listed"))
+    return counts.join(per, "rule", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+
+
+@query("q05_rules_and_rows", f"""WITH {TOKENS}, a AS (SELECT rollout_id, count(*) AS n, count(*) FILTER (old_lp<ln(0.9)) AS act, max(CASE WHEN pos=0 THEN (old_lp<ln(0.9))::INT END) AS first_act FROM tokens GROUP BY 1),
+  r AS (SELECT o_orderkey AS k, a.* FROM orders LEFT JOIN a ON rollout_id=o_orderkey),
+  f AS (SELECT *, k%10=0 OR n IS NULL AS slot, k%30=0 AND n IS NOT NULL AS payload, CASE WHEN k%40=1 THEN least(n,1) ELSE n END AS nl, CASE WHEN k%40=1 THEN first_act ELSE act END AS la FROM r),
+  c AS (SELECT 'slot_without_payload' AS rule, count(*) FILTER (slot AND payload) AS failures, count(*) AS rows FROM f UNION ALL SELECT 'edge_with_payload', 0, count(*) FROM f UNION ALL SELECT 'token_count', 0, count(*) FROM f
+  UNION ALL SELECT 'logprob_count', count(*) FILTER (NOT slot AND nl<>n), count(*) FROM f UNION ALL SELECT 'mask_count', count(*) FILTER (NOT slot AND la<>act), count(*) FROM f) SELECT *, failures AS listed FROM c""")
+def rules_and_rows(spark, path):
+    """Failure rows and the counts of all rules from one run over the records."""
+    return listed(*Q.inspect(records(spark, path), Q.slot_rules()))
+
+
+@query("q01_rules_and_rows", f"""WITH {CHECKED}, c AS (SELECT 'one_tree' AS rule, count(*) FILTER (trees<>1) AS failures, count(*) AS rows FROM pg UNION ALL SELECT 'one_allocated_k', count(*) FILTER (ks<>1), count(*) FROM pg
+  UNION ALL SELECT 'realised_equals_allocated', count(*) FILTER (realised<>allocated), count(*) FROM pg UNION ALL SELECT 'retained_within_allocated', count(*) FILTER (retained>allocated), count(*) FROM pg) SELECT *, failures AS listed FROM c""")
+def group_rules_and_rows(spark, path):
+    return listed(*Q.inspect(Q.parent_groups(checked_edges(spark, path)), Q.group_rules()))
+
+
 @query("q06_complete_groups", f"""WITH {SAMPLED}, g AS (SELECT question_id, iteration, count(*) AS n FROM redges GROUP BY ALL), s AS (SELECT question_id, iteration, count(*) AS n FROM smp GROUP BY ALL)
   SELECT question_id, iteration, s.n AS reserved, g.n AS total FROM s JOIN g USING (question_id, iteration) WHERE s.n<>g.n""")
 def complete_groups(spark, path):

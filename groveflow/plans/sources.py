@@ -103,6 +103,19 @@ def append_artifacts(spark, path):
     return spark.read.parquet(out).groupBy("run_id").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("s10_repeatable_append", """WITH n AS (SELECT c_nationkey%3 AS run_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1)//8 AS flush_id, c_nationkey AS q FROM customer)
+  SELECT run_id::INT AS run_id, flush_id::BIGINT AS flush_id, count(*) AS records FROM n GROUP BY 1, 2""")
+def repeatable_append(spark, path):
+    """Flushes of two jobs, one of which is run again."""
+    from ..operators.allocation import batch_flushes
+
+    out = scratch_path(spark, "flushes")
+    n = batch_flushes(views.alloc_nodes(spark, path), 8).select((F.col("queue") % 3).cast("int").alias("run_id"), F.col("flush").cast("bigint").alias("flush_id"), "node_id", "c")
+    for job in (F.col("flush_id") < 3, F.col("flush_id") >= 3, F.col("flush_id") < 3):
+        WR.append_flush(n.where(job), out)
+    return spark.read.schema("node_id string, c double, run_id int, flush_id bigint").parquet(out).groupBy("run_id", "flush_id").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("s11_statistics_csv", "SELECT n_nationkey AS tree, count(*) AS nodes FROM customer JOIN nation ON n_nationkey=c_nationkey GROUP BY 1")
 def statistics_csv(spark, path):
     out = scratch_path(spark, "stats")

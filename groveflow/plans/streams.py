@@ -8,6 +8,7 @@ from ..operators import trees as T
 from ..sources import views
 from ..streaming import operators as S
 from ..streaming import timed as TQ
+from ..streaming.replay import ReplayTable
 from ..streaming.run import by_batch, each_batch, stream_of, to_table
 from .allocation import BOUNDED, FLUSHED
 from .registry import ALLOC, EDGES, R, ROLLOUTS, SOURCED, query
@@ -90,7 +91,7 @@ def stream_allocation(spark, path):
 @query("m03_replay_lifecycle", f"WITH {EDGES} SELECT edge_id, question_id, iteration, {R('advantage')} AS advantage, 'free' AS status FROM redges WHERE 29-iteration<8")
 def replay_lifecycle(spark, path):
     e = views.replay_edges(spark, path).select("edge_id", "question_id", "iteration", "advantage")
-    table = S.ReplayTable(spark, 8, "edge_id bigint, question_id bigint, iteration int, advantage double")
+    table = ReplayTable(spark, 8, "edge_id bigint, question_id bigint, iteration int, advantage double")
     each_batch(stream_of(e.repartitionByRange(3, "iteration"), "edges", files_per_trigger=1), "replay", table.add)
     return table.read().withColumn("advantage", r6("advantage"))
 
@@ -99,7 +100,7 @@ def replay_lifecycle(spark, path):
   SELECT edge_id FROM f WHERE edge_id NOT IN (SELECT edge_id FROM s)""")
 def reserve_commit(spark, path):
     e = views.replay_edges(spark, path).select("edge_id", "question_id", "iteration", "advantage")
-    table = S.ReplayTable(spark, 8, "edge_id bigint, question_id bigint, iteration int, advantage double")
+    table = ReplayTable(spark, 8, "edge_id bigint, question_id bigint, iteration int, advantage double")
     table.add(e, 0)
     table.reserve("u1", cap=4, target=256, seed=2)
     table.rollback("u1")

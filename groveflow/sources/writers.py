@@ -13,6 +13,16 @@ def append_artifacts(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Write the partitions that `df` holds and leave all others: a job that is repeated leaves the same rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def append_flush(df: DataFrame, path: str) -> None:
+    """Records of flushes below their run and flush; a flush that is written again replaces itself."""
+    replace_partitions(df, path, ["run_id", "flush_id"])
+
+
 def statistics_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

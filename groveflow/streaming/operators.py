@@ -2,12 +2,9 @@
 includes a lane (hash of the row id), so that one busy snapshot or source spreads over many keys."""
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
 
 def lane(col: str, lanes: int):
     return F.pmod(F.xxhash64(col), F.lit(lanes)).cast("int")
@@ -98,96 +95,6 @@ def running_moments(rows: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-class ReplayTable:
-    """Replay buffer as a versioned table in a shared folder, driven by `foreachBatch`.
-
-    Every step reads one version and writes the next; a manifest beside them (one small file a step) holds their order,
-    so a restarted driver given the same `root` goes on where it stopped. A batch id is applied once: repeated as the last
-    step it is worked out again from the version before it, repeated later it is left alone.
-    Rows: edge_id, question_id, iteration, advantage, status ('free' or a reservation).
-    """
-
-    _STEPS = "seq bigint, version string, parent string, batch bigint, late bigint"
-
-    def __init__(self, spark, max_age: int, schema: str, root: str | None = None):
-        self.spark, self.max_age, self.schema = spark, max_age, schema
-        self.root = root or scratch_path(spark, "replay")
-        self.steps = []
-        if root:
-            try:
-                self.steps = [tuple(r) for r in spark.read.schema(self._STEPS).parquet(f"{root}/manifest/*").orderBy("seq").collect()]
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-
-    @property
-    def version(self) -> str | None:
-        return self.steps[-1][1] if self.steps else None
-
-    def _version(self, name: str | None) -> DataFrame:
-        if name is None:
-            return self.spark.createDataFrame([], f"{self.schema}, status string")
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def read(self) -> DataFrame:
-        return self._version(self.version)
-
-    def _write(self, df: DataFrame, name: str, batch: int | None = None, late: int = 0) -> None:
-        """Data first, then the manifest: a step that failed half-way is not in it and is written over."""
-        seq = self.steps[-1][0] + 1 if self.steps else 0
-        step = (seq, f"{seq:09d}-{name}", self.version, batch, late)
-        df.write.mode("overwrite").parquet(f"{self.root}/{step[1]}")
-        self.spark.createDataFrame([step], self._STEPS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{seq:09d}")
-        self.steps.append(step)
-
-    def late(self, batch_id: int) -> int | None:
-        """Rows of a batch that were too old when it was added; null for an unknown batch."""
-        return next((s[4] for s in self.steps if s[3] == batch_id), None)
-
-    def add(self, batch: DataFrame, batch_id: int) -> None:
-        """Transactional add: a duplicate id inside the batch or against the buffer fails the whole batch. Rows of
-        age >= max_age, new or old, leave unless they are reserved; new ones that do are counted by `late`."""
-        done = [i for i, s in enumerate(self.steps) if s[3] == batch_id]
-        if done and done[0] < len(self.steps) - 1:
-            return
-        if done:
-            self.steps.pop()
-        before = self.read()
-        ids = batch.select("edge_id")
-        if not ids.groupBy("edge_id").count().where("count > 1").isEmpty():
-            raise ValueError("duplicate edge ids within the batch")
-        if not ids.join(before.select("edge_id"), "edge_id", "left_semi").isEmpty():
-            raise ValueError("edge ids already in the buffer")
-        rows = before.unionByName(batch.withColumn("status", F.lit("free")))
-        now = rows.agg(F.max("iteration")).first()[0]
-        late = 0 if now is None else batch.where(F.lit(now) - F.col("iteration") >= self.max_age).count()
-        self._write(self.expire(rows), f"batch-{batch_id}", batch_id, late)
-
-    def expire(self, rows: DataFrame) -> DataFrame:
-        now = rows.agg(F.max("iteration").alias("v")).scalar()
-        return rows.where((F.col("status") != "free") | (now - F.col("iteration") < self.max_age))
-
-    def reserve(self, name: str, cap: int, target: int, seed: int = 0) -> DataFrame:
-        """Sample free rows and mark them; reserved rows neither expire nor get sampled again."""
-        from ..operators.replay import sample_edges
-
-        rows = self.read()
-        now = rows.agg(F.max("iteration")).first()[0]
-        free = rows.where("status = 'free'").drop("status")
-        picked = sample_edges(free, now, self.max_age, cap, target, seed).select("edge_id")
-        marked = rows.join(F.broadcast(picked.withColumn("hit", F.lit(True))), "edge_id", "left")  # at most `target` ids
-        marked = marked.withColumn("status", F.when(F.col("hit"), F.lit(name)).otherwise(F.col("status"))).drop("hit")
-        self._write(marked, f"reserve-{name}")
-        return self.read().where(F.col("status") == name)
-
-    def commit(self, name: str) -> None:
-        self._write(self.read().where(F.col("status") != name), f"commit-{name}")
-
-    def rollback(self, name: str) -> None:
-        rows = self.read()
-        self._write(rows.withColumn("status", F.when(F.col("status") == name, "free").otherwise(F.col("status"))), f"rollback-{name}")
-
-
 def adaptive_rounds(rollouts: DataFrame, per_round: int, max_rounds: int, limit: float) -> DataFrame:
     """Replay of adaptive sampling over stored rollouts: the first round whose confidence interval is at most
     `limit`, else the last. Only the first per_round * max_rounds rollouts of a prompt can matter."""

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
+from ..sources.writers import replace_partitions
 
 
 def to_table(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def by_batch(out: str, transform=None):
 
     def write(df: DataFrame, batch_id: int) -> None:
         rows = (transform(materialise(df, "batch")) if transform else df).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        replace_partitions(rows, out, ["batch"])
 
     return write
 

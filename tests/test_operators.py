@@ -586,3 +586,37 @@ def test_trees_of_any_depth(spark):
     assert [r.reason for r in aside.collect() if r.doc is None] == ["no document"]
     nodes, aside = T.flatten_any_depth(docs.limit(0))
     assert nodes.count() == 0 and aside.count() == 0
+
+
+def test_rules_and_rows_in_one_run(spark, tmp_path):
+    """Counts equal the listed rows, the input is run once, strict mode names the counts and leaves the rows."""
+    from groveflow.operators import quality as Q
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        runs.add(1)
+        return x
+
+    df = spark.range(100).select(F.udf(touch, "bigint")("id").alias("id")).withColumn("x", F.when(F.col("id") % 10 != 0, F.col("id")))
+    rules = {"even": F.col("x") % 2 == 0, "small": F.col("id") < 95, "any": F.col("id") >= 0}
+    bad, counts = Q.inspect(df, rules)
+    assert {r.rule: (r.failures, r.rows) for r in counts.collect()} == {"even": (60, 100), "small": (5, 100), "any": (0, 100)}
+    assert bad.count() == 62 and runs.value == 100  # null counts as broken; odd or small's failures: 50 + 10 + 2
+    with pytest.raises(ValueError, match="even: 60, small: 5 of 100"):
+        Q.inspect(df, rules, strict=True, path=f"{tmp_path}/bad")
+    assert spark.read.parquet(f"{tmp_path}/bad").count() == 62
+    bad, counts = Q.inspect(df.limit(0), rules, strict=True)
+    assert bad.count() == 0 and {r.failures for r in counts.collect()} == {0}
+
+
+def test_repeated_flush_replaces_itself(spark, tmp_path):
+    from groveflow.sources import writers as WR
+
+    rows = spark.createDataFrame([(r, f, i) for r in range(2) for f in range(3) for i in range(4)], "run_id int, flush_id int, n int")
+    path = f"{tmp_path}/flushes"
+    for _ in range(2):
+        WR.append_flush(rows.where("flush_id < 2"), path)
+        WR.append_flush(rows.where("flush_id = 2 AND run_id = 0"), path)
+    WR.append_flush(rows.where("flush_id = 2 AND run_id = 1").limit(3), path)
+    assert spark.read.parquet(path).count() == 8 + 8 + 4 + 3
