@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -53,8 +54,15 @@ def materialise(df, name: str = "step"):
     """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage of iterative results and keeps tables that several branches use from being computed
-    again; survives the loss of executors, and keeps column pruning and statistics.
+    again; survives the loss of executors, and keeps column pruning and statistics. The shuffle files of the plan are
+    removed once it is written: the table takes their place.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
