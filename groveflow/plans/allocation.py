@@ -195,7 +195,16 @@ def reuse_weights(spark, path):
     )
 
 
-@query("b11_unique_pilots")
+# near pairs of a node; the pilot with most of them goes, the larger index on ties, until none is left
+GREEDY = PAIRS + """, nr AS (SELECT node_id, list({'i':i,'j':j}) AS ps FROM prs WHERE tv<0.3 GROUP BY 1),
+  a0 AS (SELECT p.node_id, list(pilot ORDER BY pilot) AS alive, coalesce(any_value(ps), []) AS ps FROM pilots p LEFT JOIN nr USING (node_id) WHERE NOT finished GROUP BY 1),
+  g AS (WITH RECURSIVE f(node_id, alive, ps, k) AS (SELECT node_id, alive, ps, 0 FROM a0
+     UNION ALL SELECT node_id, [x FOR x IN alive IF x<>w.i], [p FOR p IN ps IF p.i<>w.i AND p.j<>w.i], k+1
+     FROM (SELECT *, list_max([{'d':len([p FOR p IN ps IF p.i=x OR p.j=x]),'i':x} FOR x IN alive]) AS w FROM f WHERE len(ps)>0))
+   SELECT node_id, arg_max(alive,k) AS alive FROM f GROUP BY 1)"""
+
+
+@query("b11_unique_pilots", f"WITH {GREEDY} SELECT node_id, unnest(alive) AS pilot FROM g")
 def unique_pilots(spark, path):
     return D.unique_pilots(live(spark, path), pair_table(spark, path), 0.3)
 

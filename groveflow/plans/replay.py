@@ -48,7 +48,17 @@ def treed(spark, path):
     return views.replay_edges(spark, path).withColumn("tree_id", F.col("question_id") * 100 + F.col("iteration"))
 
 
-@query("w15_complete_trees")
+# per question in tree order up to 8 edges (the first tree always), then all picked trees in hash order up to 512
+PACKED = EDGES + """, tz AS (SELECT question_id AS q, question_id*100+iteration AS t, count(*) AS s FROM redges WHERE 29-iteration BETWEEN 0 AND 7 GROUP BY ALL),
+  tn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t) AS r FROM tz),
+  pk AS (SELECT q, r, t, s AS used, true AS took, s FROM tn WHERE r=1
+    UNION ALL SELECT n.q, n.r, n.t, CASE WHEN pk.used+n.s<=8 THEN pk.used+n.s ELSE pk.used END, pk.used+n.s<=8, n.s FROM pk JOIN tn n ON n.q=pk.q AND n.r=pk.r+1),
+  sh AS (SELECT t, s, row_number() OVER (ORDER BY md5('4|'||t), t) AS r FROM pk WHERE took),
+  al AS (SELECT 0::BIGINT AS r, 0::BIGINT AS t, 0::HUGEINT AS used, false AS took, 0::BIGINT AS s
+    UNION ALL SELECT sh.r, sh.t, CASE WHEN al.used+sh.s<=512 THEN al.used+sh.s ELSE al.used END, al.used+sh.s<=512, sh.s FROM al JOIN sh ON sh.r=al.r+1)"""
+
+
+@query("w15_complete_trees", f"WITH RECURSIVE {PACKED} SELECT t AS tree_id, s AS size FROM al WHERE took")
 def complete_trees(spark, path):
     return RP.complete_trees(treed(spark, path), now=29, max_age=8, cap=8, target=512, seed=4)
 
