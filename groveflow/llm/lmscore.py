@@ -5,15 +5,20 @@ the texts they have seen and by nothing else. The background model counts every
 are given as target (here: all documents labelled good). A document's score is the mean over its words of target loss
 less background loss, in nats; lower is closer to the target.
 
-Counts: word pairs are counted in slices inside the tasks, and then by a group-by into a table of all pairs; words and
-previous words are sums of it. Nothing is hashed into cells, so the tables grow with the corpus.
+1. The corpus is written once more as slices of about four megabytes of text, each with its own list of words and the texts
+   as numbers in that list.
+2. Every slice asks for its distinct words, previous words and pairs: their 62-bit names (two bits tell the three kinds
+   apart), sorted, with their counts in the slice, cut into ranges of the names. A range of all slices meets in one task,
+   which adds the counts up and answers every slice in its own order. Names are not sent back, only counts.
+3. Answers meet their slices again, and the losses are summed by document.
 
-Scores: pairs that make up more than one in `HOT` of all (fewer than `HOT` by counting) are looked up in a broadcast;
-the others are joined, as distinct pairs of each document, with the counts. No joined pair is frequent.
+What is shuffled is packed: names as differences, all numbers by byte planes, which compress well. A frequent name is one
+entry for each slice; ranges are as many as the corpus needs for about `RANGE` entries each. All counts are exact: nothing
+is hashed into cells, and equal names of different words or pairs have a chance of about n**2 / 2**63 for n distinct ones.
 
 Loss of word w after v: pair counts interpolated with word counts, which are interpolated with the uniform
 distribution: p(w|v) = (n(v,w) + MU * p(w)) / (n(v) + MU), p(w) = (n(w) + 1) / (N + V), where V is the number of
-distinct words and one for all others, and `VOCABULARY` at least. A text starts after the empty word.
+distinct words and one for all others. A text starts after the empty word.
 
 Defined cases: a null or wordless text has score null and no words; repeated rows count as often as they stand;
 with no target document the target model is uniform; an empty table gives an empty result.
@@ -25,7 +30,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,144 +37,197 @@ from groveflow.llm import kernel
 from groveflow.llm.registry import query, ready, table
 from groveflow.session import materialise
 
-VOCABULARY, HOT = 1 << 16, 1 << 18
 MU = 64.0
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def cells(words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit names of each word, of each pair (previous word, word) and of the previous word, for plain counts of small examples."""
-    before = np.zeros(len(words.hash), np.uint64)
-    before[1:] = words.hash[:-1]
-    before[words.first[:-1][words.count > 0]] = 0
-    return words.hash, kernel.mix(words.hash + kernel.mix(before + np.uint64(1))), before
-
-
-class Pairs:
-    """Distinct pairs of a slice of texts (`before`, `word`), and which of them each word makes (`pair`)."""
-
-    def __init__(self, column: pa.Array):
-        data, offsets = kernel.bytes_of(column)
-        words = kernel.Words(data, offsets, kernel.ALNUM, hashes=False)
-        size = words.stop - words.start
-        ends = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=ends[1:])
-        letters = _LOWER[data[kernel.ragged(words.start, size)]]
-        named = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
-        names = pa.concat_arrays([pa.array([""], pa.large_string()), named.dictionary])
-        code = named.indices.to_numpy().astype(np.int64) + 1
-        before = np.zeros(len(code), np.int64)
-        before[1:] = code[:-1]
-        before[words.first[:-1][words.count > 0]] = 0
-        distinct, self.pair = np.unique(before * len(names) + code, return_inverse=True)
-        self.before, self.word = names.take(pa.array(distinct // len(names))), names.take(pa.array(distinct % len(names)))
-        self.n_words, self.texts = words.count, words.texts()
+RANGE = 1 << 20  # words of the corpus for each range of names
+FLAGS = 1 << 20  # target ids up to this number are a broadcast; beyond it documents are joined with them
+_KINDS = [np.uint64(k) for k in range(3)]  # pair, word, previous word
+
+
+def name(values: np.ndarray, kind: int) -> np.ndarray:
+    """Names of one kind: two low bits tell it."""
+    return (kernel.mix(values + np.uint64(0x51ED270B * (kind + 1))) & ~np.uint64(3)) | _KINDS[kind]
+
+
+def pair_value(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return word + kernel.mix(before + np.uint64(1))
+
 
-    def __len__(self):
-        return len(self.word)
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, as many as the largest needs (at least one), after a byte with their number."""
+    many = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([many]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :many].T).tobytes()
 
 
-def _strings(array: pa.Array) -> pa.Array:
-    return array.cast(pa.string())
+def unplaned(raw: bytes) -> np.ndarray:
+    many = raw[0]
+    rows = np.frombuffer(raw, np.uint8, offset=1).reshape(many, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, :many] = rows.T
+    return out.view("<u8").ravel()
 
 
-def _counts(batches):
-    """Pairs with their counts in all documents and in target documents, by slices."""
+class Slice:
+    """Words of some texts: `hashes` of the distinct ones, `code` of each word in it, `texts` (the text of each word)."""
+
+    def __init__(self, hashes: np.ndarray, code: np.ndarray, n_words: np.ndarray):
+        self.hashes, self.code, self.n_words = hashes, code.astype(np.int64), n_words
+        self.texts = np.repeat(np.arange(len(n_words)), n_words)
+        # previous words: 0 is the empty word before a text, k + 1 word k
+        before = np.zeros(len(code), np.int64)
+        before[1:] = self.code[:-1] + 1
+        first = np.cumsum(n_words) - n_words
+        before[first[n_words > 0]] = 0
+        width = len(hashes) + 1
+        distinct, self.pair = np.unique(before * width + self.code, return_inverse=True)
+        self.before, self.word = distinct // width, distinct % width
+        previous = np.concatenate([np.zeros(1, np.uint64), hashes])
+        names = np.concatenate([name(pair_value(hashes[self.word], previous[self.before]), 0), name(hashes, 1), name(previous, 2)])
+        self.order = np.argsort(names, kind="stable")
+        self.names = names[self.order]
+
+    def counts(self, flags: np.ndarray) -> np.ndarray:
+        """How often each name stands in the texts of the flags, in the order of the names."""
+        own = flags[self.texts]
+        pairs = np.bincount(self.pair[own], minlength=len(self.word))
+        words = np.bincount(self.word, pairs, len(self.hashes)).astype(np.int64)
+        befores = np.bincount(self.before, pairs, len(self.hashes) + 1).astype(np.int64)
+        return np.concatenate([pairs, words, befores])[self.order]
+
+    def losses(self, n: np.ndarray, total: int, size: int) -> np.ndarray:
+        """Sums of losses by text, from the counts of all names in the corpus."""
+        count = np.empty(len(n), np.float64)
+        count[self.order] = n
+        pairs, words, befores = np.split(count, [len(self.word), len(self.word) + len(self.hashes)])
+        p = (words[self.word] + 1) / float(total + size)
+        loss = np.log(befores[self.before] + MU) - np.log(pairs + MU * p)
+        return np.bincount(self.texts, loss[self.pair], len(self.n_words)).astype(float)
+
+    def ranges(self, many: int) -> np.ndarray:
+        """Where each of `many` even ranges of names begins, and the end."""
+        edges = np.array([(k << 64) // many for k in range(many)], np.uint64)
+        return np.append(np.searchsorted(self.names, edges), len(self.names))
+
+
+def _slices(batches):
     for batch in batches:
-        column = kernel.texts(batch.column("text"))
-        good = np.asarray(batch.column("good")).astype(bool)
+        column, good = kernel.texts(batch.column("text")), batch.column("good")
         for a, b in kernel.slices(column, 4 * kernel.SLICE):
-            found = Pairs(column.slice(a, b - a))
-            n = np.bincount(found.pair, minlength=len(found))
-            t = np.bincount(found.pair[good[a:b][found.texts]], minlength=len(found))
-            yield pa.RecordBatch.from_arrays([_strings(found.before), _strings(found.word), pa.array(n), pa.array(t)], names=["before", "word", "n", "t"])
+            words = kernel.Words(*kernel.bytes_of(column.slice(a, b - a)), kernel.ALNUM)
+            hashes, code = np.unique(words.hash, return_inverse=True)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    one(batch.column("doc_id").slice(a, b - a)), one(good.slice(a, b - a)), one(pa.array(words.count.astype(np.int64))),
+                    pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(code)], pa.binary()),
+                ],
+                names=["doc_ids", "good", "n_words", "hashes", "codes"],
+            )
 
 
-class Model(NamedTuple):
-    """Tables of counts in the background (n) and in the target (t): of pairs, of words, of previous words."""
+def _slice_of(row) -> Slice:
+    return Slice(np.frombuffer(row["hashes"], np.uint64), unplaned(row["codes"]), np.array(row["n_words"], np.int64))
 
-    pairs: DataFrame
-    words: DataFrame
-    first: DataFrame
-    n: int
-    t: int
-    size: int
 
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """before, word, target_loss, background_loss in nats of the given distinct pairs, unseen ones too."""
-        words = self.words.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
-        first = self.first.select("before", F.col("n").alias("fn"), F.col("t").alias("ft"))
-        rows = pairs.select("before", "word").join(self.pairs, ["before", "word"], "left").join(words, "word", "left").join(first, "before", "left")
-        seen = lambda name: F.coalesce(name, F.lit(0))
+def _ask(many: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                part, good = _slice_of(row), np.array(row["good"], bool)
+                n, t, at = part.counts(np.ones(len(good), bool)), part.counts(good), part.ranges(many)
+                filled = np.flatnonzero(np.diff(at)).tolist()
+                gaps = lambda k: planes(np.diff(part.names[at[k] : at[k + 1]], prepend=np.uint64(0)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(filled, pa.int32()), pa.array([row["slice"]] * len(filled), pa.int64()), pa.array([gaps(k) for k in filled], pa.binary()),
+                        *(pa.array([planes(x[at[k] : at[k + 1]]) for k in filled], pa.binary()) for x in (n, t)),
+                    ],
+                    names=["range", "slice", "names", "n", "t"],
+                )
+
+    return run
+
+
+def _answer(batches):
+    """Blocks sorted by range: what all slices of a range hold of each name, in the order in which each slice asked.
+
+    A row without slice holds the number of distinct words of the range.
+    """
+    now, held = None, []
+
+    def settle():
+        names = [np.cumsum(unplaned(x[1]), dtype=np.uint64) for x in held]
+        every, place = np.unique(np.concatenate(names), return_inverse=True)
+        ends = np.cumsum([len(x) for x in names])
+        sums = [np.bincount(place, np.concatenate([unplaned(x[j]) for x in held]), len(every)).astype(np.uint64) for j in (2, 3)]
+        slices = [None, *(x[0] for x in held)]
+        n, t = ([planes(y[place[e - len(x) : e]]) for x, e in zip(names, ends)] for y in sums)
+        words = int((every & np.uint64(3) == _KINDS[1]).sum())
+        columns = [[now] * len(slices), slices, [None, *n], [None, *t], [words, *([0] * len(held))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["range", "slice", "n", "t", "words"])
+
+    for batch in batches:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("range", "slice", "names", "n", "t"))):
+            if held and key != now:
+                yield settle()
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield settle()
+
 
-        def loss(x, total):
-            p = (seen(f"w{x}") + 1) / F.lit(float(total + self.size))
-            return -F.log((seen(x) + MU * p) / (seen(f"f{x}") + MU))
+class Corpus(NamedTuple):
+    """The slices, and the number of words in all documents (n) and in target documents (t)."""
 
-        return rows.select("before", "word", loss("t", self.t).alias("target_loss"), loss("n", self.n).alias("background_loss"))
+    slices: DataFrame
+    n: int
+    t: int
 
 
-def fit(docs: DataFrame, target: DataFrame | list[int]) -> Model:
-    """Counts of both models over all documents; target: doc_ids of the target documents."""
+def fit(docs: DataFrame, target: DataFrame | list[int]) -> Corpus:
+    """The documents as slices; target: doc_ids of the target documents."""
     spark = docs.sparkSession
     ready(spark)
     if isinstance(target, list):
         target = spark.createDataFrame([(i,) for i in target], "doc_id bigint")
-    flags = target.where("doc_id is not null").select("doc_id").distinct().withColumn("flag", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(flags, "doc_id", "left").select("text", F.coalesce("flag", F.lit(False)).alias("good"))
-    sums = F.sum("n").alias("n"), F.sum("t").alias("t")
-    pairs = materialise(flagged.mapInArrow(_counts, "before string, word string, n bigint, t bigint").groupBy("before", "word").agg(*sums), "pairs")
-    words, first = (materialise(pairs.groupBy(x).agg(*sums), x) for x in ("word", "before"))
-    total = words.agg(*sums, F.count("*").alias("size")).first()
-    return Model(pairs, words, first, total.n or 0, total.t or 0, max(VOCABULARY, total.size + 1))
-
-
-def score(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
+    flags = materialise(target.where("doc_id is not null").select("doc_id").distinct().withColumn("flag", F.lit(True)), "flags")
+    flags = F.broadcast(flags) if flags.count() <= FLAGS else flags
+    flagged = docs.select("doc_id", "text").join(flags, "doc_id", "left").select("doc_id", "text", F.coalesce("flag", F.lit(False)).alias("good"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    slices = flagged.mapInArrow(_slices, f"doc_ids array<{kind}>, good array<boolean>, n_words array<bigint>, hashes binary, codes binary")
+    slices = materialise(slices.withColumn("slice", F.monotonically_increasing_id()), "slices")  # numbers are fixed by writing them
+    words = lambda keep: F.aggregate(F.zip_with("n_words", "good", lambda n, g: F.when(g | F.lit(not keep), n).otherwise(F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    total = slices.agg(F.sum(words(False)).alias("n"), F.sum(words(True)).alias("t")).first()
+    return Corpus(slices, total.n or 0, total.t or 0)
+
+
+def score(corpus: Corpus, range_words: int = RANGE) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means over words), score (their difference)."""
-    spark = docs.sparkSession
-    ready(spark)
-    often = model.losses(model.pairs.where(F.col("n") * hot > model.n)).select(F.concat_ws(" ", "before", "word").alias("name"), "target_loss", "background_loss").toArrow()
-    known = spark.sparkContext.broadcast((often.column(0).combine_chunks().cast(pa.large_string()), often.column(1).to_numpy(), often.column(2).to_numpy()))
+    many = max(1, -(-corpus.n // range_words))
+    asked = corpus.slices.select("slice", "good", "n_words", "hashes", "codes").mapInArrow(_ask(many), "range int, slice bigint, names binary, n binary, t binary")
+    dealt = asked.repartition(many, "range").sortWithinPartitions("range")
+    answers = materialise(dealt.mapInArrow(_answer, "range int, slice bigint, n binary, t binary, words bigint"), "answers")
+    size = (answers.where("slice is null").agg(F.sum("words")).first()[0] or 0) + 1
+    lists = answers.where("slice is not null").groupBy("slice").agg(F.collect_list(F.struct("range", "n", "t")).alias("answers"))
+    kind = corpus.slices.schema["doc_ids"].dataType.elementType.simpleString()
+    totals = {"n": corpus.n, "t": corpus.t}
 
     def run(batches):
-        names, *losses = known.value
         for batch in batches:
-            column = kernel.texts(batch.column("text"))
-            for a, b in kernel.slices(column, 4 * kernel.SLICE):
-                found = Pairs(column.slice(a, b - a))
-                at = pc.index_in(pc.binary_join_element_wise(found.before, found.word, pa.scalar(" ", pa.large_string())), names)
-                cold = np.asarray(at.is_null())
-                at = at.fill_null(0).to_numpy()
-                sums = []
-                for loss in losses:
-                    each = np.zeros(len(found))
-                    each[~cold] = loss[at[~cold]]
-                    sums.append(np.bincount(found.texts, each[found.pair], b - a).astype(float))
-                row, ids = batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a)
-                none = pa.nulls(b - a, pa.string())
-                yield pa.RecordBatch.from_arrays([row, ids, pa.array(found.n_words, pa.int64()), *map(pa.array, sums), none, none], names=_PARTS)
-                rest = cold[found.pair]
-                apart, n = np.unique(found.texts[rest] * max(len(found), 1) + found.pair[rest], return_counts=True)
-                owner, pair = pa.array(apart // max(len(found), 1)), pa.array(apart % max(len(found), 1))
-                missing = pa.nulls(len(n), pa.float64())
+            for i, row in enumerate(batch.select(["n_words", "hashes", "codes", "answers"]).to_pylist()):
+                part = _slice_of(row)
+                got = sorted(row["answers"] or [], key=lambda x: x["range"])
+                counts = {x: np.concatenate([unplaned(g[x]) for g in got]) if got else np.zeros(0) for x in ("n", "t")}
+                words = np.maximum(part.n_words, 1)
+                n, t = (part.losses(counts[x], totals[x], size) / words for x in ("n", "t"))
+                none = part.n_words == 0
+                ids = batch.column("doc_ids").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [row.take(owner), ids.take(owner), pa.array(n, pa.int64()), missing, missing, _strings(found.before.take(pair)), _strings(found.word.take(pair))], names=_PARTS
+                    [ids, pa.array(part.n_words), *(pa.array(x, mask=none) for x in (t, n, t - n))], names=["doc_id", "n_words", "target_loss", "background_loss", "score"]
                 )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = rows.mapInArrow(run, f"row bigint, doc_id {id_type}, n_words bigint, target_sum double, background_sum double, before string, word string")
-    parts = materialise(parts, "parts")  # `row` is fixed by writing it
-    joined = parts.where("word is not null").select("row", "before", "word", "n_words")
-    rare = materialise(model.losses(joined.select("before", "word").distinct()), "losses")
-    more = joined.join(rare, ["before", "word"]).groupBy("row").agg(*(F.sum(F.col("n_words") * F.col(f"{x}_loss")).alias(f"{x}_more") for x in ("target", "background")))
-    mean = lambda x: ((F.col(f"{x}_sum") + F.coalesce(f"{x}_more", F.lit(0.0))) / F.when(F.col("n_words") > 0, F.col("n_words"))).alias(f"{x}_loss")
-    means = parts.where("word is null").join(more, "row", "left").select("doc_id", "n_words", mean("target"), mean("background"))
-    return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-_PARTS = ["row", "doc_id", "n_words", "target_sum", "background_sum", "before", "word"]
+    joined = corpus.slices.join(lists, "slice", "left").select("doc_ids", "n_words", "hashes", "codes", "answers")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
@@ -180,5 +237,4 @@ def good_documents(labels: DataFrame) -> DataFrame:
 
 @query("op10_lm_score")
 def op10(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, good_documents(table(spark, sf_dir, "labels"))))
+    return score(fit(table(spark, sf_dir, "documents"), good_documents(table(spark, sf_dir, "labels"))))

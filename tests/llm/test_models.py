@@ -262,7 +262,9 @@ def _lm(docs, target):
 
     def tokens(text):
         data, offsets = kernel.bytes_of(pa.array([text or ""], pa.large_string()))
-        return list(zip(*(x.tolist() for x in lmscore.cells(kernel.Words(data, offsets, kernel.ALNUM)))))
+        word = kernel.Words(data, offsets, kernel.ALNUM).hash
+        before = np.concatenate([[np.uint64(0)], word])[: len(word)]
+        return list(zip(word.tolist(), lmscore.pair_value(word, before).tolist(), before.tolist()))
 
     count = [({}, {}, {}) for _ in range(2)]
     for d, text in docs:
@@ -276,7 +278,7 @@ def _lm(docs, target):
         for words, pairs, first in count:
             total, s = sum(words.values()), 0.0
             for w, p, v in own:
-                uni = (words.get(w, 0) + 1) / (total + lmscore.VOCABULARY)
+                uni = (words.get(w, 0) + 1) / (total + len(count[0][0]) + 1)
                 s -= math.log((pairs.get(p, 0) + lmscore.MU * uni) / (first.get(v, 0) + lmscore.MU))
             loss.append(s / max(len(own), 1))
         yield d, len(own), loss[1] - loss[0] if own else None
@@ -286,11 +288,11 @@ def _lm(docs, target):
 def test_lm_scores(spark, target):
     docs = [(1, None), (None, "a b a"), (2, "mit license MIT LICENSE a b"), (3, "a b\nc"), (3, "a b\nc"), (4, ""), (5, "zz yy xx")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("model", F.lit(1))
-    got = sorted(((r.doc_id, r.n_words, r.score) for r in lmscore.score(frame, lmscore.fit(frame, target)).collect()), key=key)
+    got = sorted(((r.doc_id, r.n_words, r.score) for r in lmscore.score(lmscore.fit(frame, target)).collect()), key=key)
     want = sorted(_lm(docs, target), key=key)
     for (a, n, x), (b, m, y) in zip(got, want, strict=True):
         assert (a, n) == (b, m) and (x is None) == (y is None) and (x is None or abs(x - y) < 1e-5)
-    assert lmscore.score(frame.limit(0), lmscore.fit(frame.limit(0), target)).collect() == []
+    assert lmscore.score(lmscore.fit(frame.limit(0), target)).collect() == []
 
 
 def test_lm_table(spark):
@@ -302,7 +304,7 @@ def test_lm_table(spark):
     assert mean(lambda d: d in good) < mean(lambda d: d not in good)
 
 
-def _lm_exact(docs, target, vocabulary=1 << 16, mu=64.0):
+def _lm_exact(docs, target, mu=64.0):
     """Counts of real words and pairs, nothing hashed."""
     import math
     from collections import Counter
@@ -314,22 +316,22 @@ def _lm_exact(docs, target, vocabulary=1 << 16, mu=64.0):
             for t in own:
                 for table, x in zip(count[model], t):
                     table[x] += 1
-    size = max(vocabulary, len(count[0][0]) + 1)
+    size = len(count[0][0]) + 1
     count = [(w, p, f, w.total()) for w, p, f in count]
     for (d, _), own in zip(docs, tokens):
         loss = [-sum(math.log((p[b] + mu * (w[a] + 1) / (total + size)) / (f[c] + mu)) for a, b, c in own) / max(len(own), 1) for w, p, f, total in count]
         yield d, len(own), loss[1], loss[0]
 
 
-@pytest.mark.parametrize("hot", [1, 1 << 18])
-def test_lm_counts_do_not_collide(spark, hot):
+@pytest.mark.parametrize("span", [5000, 1 << 20])
+def test_lm_counts_do_not_collide(spark, span):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choice(["Der", "die", f"w{rng.randrange(150_000)}"]) for _ in range(3000))) for i in range(100)]
     docs += [(None, "der die"), (3, docs[3][1]), (200, ""), (201, None)]
     target = set(range(0, 100, 3))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     model = lmscore.fit(frame, sorted(target))
-    got = sorted((tuple(r) for r in lmscore.score(frame, model, hot).collect()), key=key)
+    got = sorted((tuple(r) for r in lmscore.score(model, span).collect()), key=key)
     for g, w in zip(got, sorted(_lm_exact([(d, t or "") for d, t in docs], target), key=key), strict=True):
         assert g[:2] == w[:2] and (g[4] is None) == (not w[1])
         assert g[4] is None or max(abs(g[2] - w[2]), abs(g[3] - w[3]), abs(g[4] - (w[2] - w[3]))) < 1e-9 and min(g[2:4]) > 0
