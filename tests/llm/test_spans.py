@@ -84,6 +84,52 @@ def test_licence_templates(text, labels):
     assert ",".join(sorted({x for _, x in places} | {x for *_, x in matches})) == labels
 
 
+def _pattern(template):
+    """The template as a regular expression over words that each end with a blank."""
+    import re
+
+    parts = []
+    for x in re.findall(r"<<[a-z]+(?::\d+)?>>|[^\s<]+", template):
+        parts.append("(?:" if x == "<<optional>>" else ")?" if x == "<<end>>" else f"(?:[^ ]+ ){{0,{x[6:-2]}}}" if x.startswith("<<var") else x + " ")
+    return re.compile("(?<![^ ])" + "".join(parts))
+
+
+WORDING = {label: t for label, _, t in licenses.WHOLE}
+
+
+def _text(label, holder="the authors"):
+    """The template's own wording, with its optional parts, and words for what is replaceable."""
+    import re
+
+    return re.sub(r"<<var:\d+>>", holder, WORDING[label].replace("<<var:1>>", "1")).replace("<<optional>>", "").replace("<<end>>", "")
+
+
+def test_licences_by_regular_expressions(spark):
+    """Labels and score of all rows, of whole texts and of changed ones against a pattern for each template."""
+    docs = rows("documents") + [(-i, "Preface. " + _text(x).upper() + " End") for i, x in enumerate(WORDING, 1)]
+    docs += [(-100 - i, _text(x).replace(" the ", " the very ", 1 + i % 2)) for i, x in enumerate(WORDING)]
+    whole, opening = ([(label, _pattern(t)) for label, _, t in x] for x in (licenses.WHOLE, licenses.TEMPLATES))
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        text = "".join(w + " " for w in brute.words(dict(docs)[r.doc_id]))
+        found = [{label for label, p in x if p.search(text)} for x in (whole, opening)]
+        base = {x for x in r.base_labels.split(",") if x}
+        assert r.labels == ",".join(sorted(found[0] | found[1] | base)), r.doc_id
+        assert r.score == (1.0 if found[0] else 0.75 if found[1] else 0.5 if base else 0.0)
+
+
+@pytest.mark.parametrize("label", list(WORDING))
+def test_changed_clause_is_no_licence(label):
+    """Each mandatory word matters: without one of the last words, or with one more, the text is not whole."""
+    scanner = licenses.Scanner()
+    is_whole = lambda words: (label, True) in {(m[3], m[2]) for m in scanner.scan(words)[1]}
+    words = _text(label, "zz zz").split()
+    assert is_whole(words) and is_whole(["x", *words, "y"])
+    for at in (len(words) - 2, len(words) * 2 // 3):
+        at = next(i for i in range(at, len(words)) if words[i] != "zz")
+        assert not is_whole(words[:at] + words[at + 1 :])
+    assert not is_whole(words[: len(words) - 4] + ["not"] + words[len(words) - 4 :])
+
+
 def test_licence_automaton():
     a = licenses.Automaton("a <<optional>>b <<var:2>><<end>> c")
     assert [a.match(t.split(), 0) for t in ("a c", "a b c", "a b x c", "a b x y c", "a b x y z c", "a x c", "a b")] == [2, 3, 4, 5, None, None, None]
