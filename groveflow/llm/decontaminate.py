@@ -6,6 +6,9 @@ words shares at least one. Fingerprints are joined, each hit is extended word by
 of `span` words or more are hits. Items of fewer than `span` words are one window: their fingerprint is the hash
 of the whole item (k = its length, window 1).
 
+Items in which a fingerprint stands among the same words meet the documents once, as a class, and documents with the same
+classes get one list of items, so a passage of many items and many documents makes no row for each pair of them.
+
 Before the join a bitmap of fixed size (2 MB, whatever the benchmark's size) built from the item fingerprints
 drops document fingerprints that cannot match, so that clean text is not shuffled. The join itself is a shuffle
 join that Spark may turn into a broadcast by its own threshold.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from groveflow.llm import kernel
 from groveflow.llm.registry import query, ready, table
+from groveflow.operators.spread import join_stats
 from groveflow.session import materialise
 
 K, SPAN = 5, 13
@@ -124,8 +128,8 @@ def _extend(k: int, span: int):
             begin = np.where(long, p - back, p)[keep]
             end = np.where(long, p + ahead, p + ks)[keep]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(keep)), batch.column("item_id").take(pa.array(keep)), pa.array(begin), pa.array(end)],
-                names=["row", "item_id", "begin", "end"],
+                [batch.column("row").take(pa.array(keep)), batch.column("cls").take(pa.array(keep)), pa.array(begin), pa.array(end)],
+                names=["row", "cls", "begin", "end"],
             )
 
     return run
@@ -148,7 +152,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int =
     id_type = benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.select("item_id", "text").mapInArrow(item_prints, f"item_id {id_type}, hits {_HITS}")
     items = items.select("item_id", F.explode("hits").alias("x")).select("item_id", "x.h", "x.k", F.col("x.around").alias("item_around"))
-    items = materialise(items, "items")
+    # items that show a fingerprint among the same words are one class, named by 128 bits: documents meet classes, not items
+    shown = F.concat_ws(",", "h", "k", F.col("item_around").cast("array<string>"))
+    items = materialise(items.withColumn("cls", F.unhex(F.md5(shown))), "items")
+    classes = items.groupBy("cls").agg(F.any_value("h").alias("h"), F.any_value("k").alias("k"), F.any_value("item_around").alias("item_around"))
     bit = F.shiftrightunsigned("h", 64 - BITS) + 1
     found = items.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)  # at most 512 rows of 4 KB, whatever the benchmark holds
@@ -168,9 +175,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int =
     kept = rows.schema["kept"].dataType.simpleString()
     scanned = materialise(rows.mapInArrow(doc_prints, f"row bigint, n_words bigint, hits {_HITS}, kept {kept}"), "prints")
     prints = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
-    joined = prints.join(items, ["h", "k"]).select("row", "p", "k", "around", "item_around", "item_id")
-    spans = joined.mapInArrow(_extend(k, span), f"row bigint, item_id {id_type}, begin bigint, `end` bigint")
-    hits = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.collect_set("item_id").alias("item_ids"))
+    joined = prints.join(classes, ["h", "k"]).select("row", "p", "k", "around", "item_around", "cls")
+    spans = joined.mapInArrow(_extend(k, span), "row bigint, cls binary, begin bigint, `end` bigint")
+    hits = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.array_sort(F.collect_set("cls")).alias("classes"))
+    hits = materialise(hits, "hits")
+    # documents with the same classes have the same items: the lists are made once for each set of classes
+    sets = hits.groupBy("classes").agg(F.count(F.lit(1)).alias("__n"))
+    named = sets.select("classes", "__n", F.explode("classes").alias("cls")).join(items.select("cls", "item_id").distinct(), "cls")
+    named = named.groupBy("classes").agg(F.max("__n").alias("__n"), F.collect_set("item_id").alias("item_ids"))
+    hits = join_stats(hits, named, ["classes"], ["row"], sizes=sets).drop("__n", "classes")
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
     count = F.aggregate(
         "spans",
@@ -190,7 +203,7 @@ def contaminated(n_hit="n_hit", n_words="n_words"):
 @query("op1_decontaminate")
 def op1(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    ids = F.transform(F.coalesce("item_ids", F.array().cast("array<bigint>")), lambda x: x.cast("string"))
+    ids = F.transform(F.coalesce("item_ids", F.array().cast(out.schema["item_ids"].dataType)), lambda x: x.cast("string"))
     return out.select(
         "doc_id",
         "n_words",

@@ -35,6 +35,18 @@ def test_decontaminate_cases(spark):
     assert decontaminate.decontaminate(docs.limit(0), items).collect() == []
 
 
+def test_passage_of_many_items_and_documents(spark):
+    """500 items hold one passage, a third of the documents too: documents meet one class, and every item is listed."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(i, passage) for i in range(500)] + [(1000 + i, f"{passage} tail{i}") for i in range(3)] + [(None, passage)]
+    docs = [(i, f"a{i} {passage} z{i}" if i % 3 == 0 else f"clean words {i}") for i in range(90)] + [(200, "x " * 100 + passage)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(_contract(decontaminate.decontaminate(*frames))) == sorted(brute.decontaminate(docs, items))
+    named = spark.createDataFrame([(f"i{i}", t) for i, t in items], "item_id string, text string")
+    got = decontaminate.decontaminate(frames[0], named).where("n_hit > 0").collect()
+    assert {len(r.item_ids) for r in got} == {504}
+
+
 def test_decontaminate_random(spark):
     rng = random.Random(1)
     text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
