@@ -1,7 +1,7 @@
 """Chat formatting by columnar byte assembly.
 
 Conversations are dealt in ranges of (conversation, turn) and sorted, so a conversation that holds a third of all turns
-spans many tasks. Each slice of a batch (about a megabyte) is formatted at once: the lengths of all segments (header, text, footer of each turn) give the
+spans many tasks. Each slice of a batch (about half a megabyte) is formatted at once: the lengths of all segments (header, text, footer of each turn) give the
 offset of every segment, these give the place of every byte, and headers and texts are scattered into one buffer that
 becomes the Arrow column. A row of the result is a part: consecutive turns of one conversation out of one slice; most
 conversations are one part. A part carries its loss mask as spans of code points.

@@ -44,6 +44,7 @@ from groveflow.session import materialise
 
 WIDTH, PERCENT = 5, 80
 SEEDS = 4
+PACKED = 8 << 20  # bytes of text whose prefix tokens are packed together
 FREQUENT = 1 << 17
 BLOCK = 32 << 20  # bytes of texts that are counted together
 OFTEN = 4  # documents of one block in which a token must occur to be proposed as frequent
@@ -216,7 +217,7 @@ def _prefixes(width, percent, frequent, buckets):
         common = frequent.value  # sorted tokens, and the rank of each by frequency
         for batch in batches:
             column = kernel.texts(batch.column("text"))
-            for a, b in kernel.slices(column, 8 * kernel.SLICE):
+            for a, b in kernel.slices(column, PACKED):
                 names_, owners, tokens_ = [], [], []
                 for i, j in kernel.slices(column.slice(a, b - a)):
                     sets = Sets(column.slice(a + i, j - i), width)
@@ -280,6 +281,8 @@ def _shared_tokens(batches):
     for at in range(0, len(keep), 1 << 16):
         part = keep[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(times[part]), _binary(names[owner[part]])], names=["token", "times", "c"])
+    del names, owner, tokens, times, keep, begin, new, order, counts
+    kernel.trim()
 
 
 def _byte(column: str, i: int):

@@ -1,16 +1,18 @@
 """Array kernels shared by the text operators: words, hashes, windows over Arrow string columns.
 
-All of them work on whole texts as UTF-8 bytes. A batch is cut into slices of about a megabyte (one text is
+All of them work on whole texts as UTF-8 bytes. A batch is cut into slices of about half a megabyte (one text is
 never cut), so that memory follows the slice or the longest single text, not the partition.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -44,8 +46,21 @@ class _Powers:
 _POWERS = _Powers(int(_ODD))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on, and holds what the largest stage before has used."""
+    if _trim is not None:
+        _trim(0)
+
+
 def texts(column) -> pa.Array:
-    """The column as one string array; nulls are empty texts."""
+    """The column as one string array; nulls are empty texts. Called for each batch, it also gives back freed memory."""
+    trim()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.fill_null(column.cast(pa.large_string()), "")

@@ -38,6 +38,7 @@ from groveflow.llm.registry import query, ready, table
 from groveflow.session import materialise
 
 MU = 64.0
+SLICE = 4 << 20  # bytes of text
 RANGE = 1 << 20  # words of the corpus for each range of names
 FLAGS = 1 << 20  # target ids up to this number are a broadcast; beyond it documents are joined with them
 _KINDS = [np.uint64(k) for k in range(3)]  # pair, word, previous word
@@ -111,7 +112,7 @@ class Slice:
 def _slices(batches):
     for batch in batches:
         column, good = kernel.texts(batch.column("text")), batch.column("good")
-        for a, b in kernel.slices(column, 4 * kernel.SLICE):
+        for a, b in kernel.slices(column, SLICE):
             words = kernel.Words(*kernel.bytes_of(column.slice(a, b - a)), kernel.ALNUM)
             hashes, code = np.unique(words.hash, return_inverse=True)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
