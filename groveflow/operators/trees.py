@@ -440,23 +440,22 @@ def group_metrics(rows: DataFrame) -> DataFrame:
     tree = parent.groupBy("tree_id").agg(F.count(F.lit(1)).alias("parents"))
     queue = rows.groupBy("tree_id", "queue").agg(F.countDistinct("parent_id").alias("q")).groupBy("tree_id").agg(F.sum("q").alias("q"))
     t = tree.join(queue, "tree_id")
-    # every edge of a parent shares weight and factor: the correlation is weighted by k on parent rows
-    p = join_stats(parent, tree.withColumn("__n", F.col("parents")), ["tree_id"], ["parent_id"]).withColumn("w", 1.0 / (F.col("parents") * F.col("k")))
-    k = F.col("k")
+    # every edge of a parent shares weight and factor: the correlation is weighted by k, on the few distinct (parents, k);
+    # moments are centred doubles, which neither overflow nor cancel
+    p = join_stats(parent, tree.withColumn("__n", F.col("parents")), ["tree_id"], ["parent_id"])
+    k = F.col("k").cast("double")
+    p = p.groupBy("parents", "k").agg((F.count(F.lit(1)) * k).alias("edges")).withColumn("w", 1.0 / (F.col("parents") * k))
+    e, w = F.col("edges"), F.col("w")
+    p = p.withColumn("__mean", p.agg(F.struct((F.sum(e * k) / F.sum(e)).alias("k"), (F.sum(e * w) / F.sum(e)).alias("w")).alias("m")).scalar())
+    dk, dw = k - F.col("__mean.k"), w - F.col("__mean.w")
     s = p.agg(
-        F.sum(k).alias("n"), F.sum(k * F.col("w")).alias("sw"), F.sum(k * k).alias("sk"), F.sum(k * k * F.col("w")).alias("swk"),
-        F.sum(k * F.col("w") * F.col("w")).alias("sww"), F.sum(k * k * k).alias("skk"),
-        F.avg(k).alias("children_mean"), F.stddev_pop(k).alias("children_std"),
-    )
-    n = F.col("n")
-    num = F.col("swk") - F.col("sw") * F.col("sk") / n
-    den = F.sqrt(F.greatest(F.col("sww") - F.col("sw") * F.col("sw") / n, F.lit(0.0))) * F.sqrt(
-        F.greatest(F.col("skk") - F.col("sk") * F.col("sk") / n, F.lit(0.0))
+        F.sum(e * dw * dk).alias("swk"), F.sum(e * dw * dw).alias("sww"), F.sum(e * dk * dk).alias("skk"),
+        ((F.min("k") < F.max("k")) & (F.min(w) < F.max(w))).alias("varied"),
     )
     return s.select(
-        scalar(t, F.avg("parents")).alias("parents_per_tree"), "children_mean", "children_std",
+        scalar(t, F.avg("parents")).alias("parents_per_tree"), scalar(parent, F.avg("k")).alias("children_mean"), scalar(parent, F.stddev_pop("k")).alias("children_std"),
         scalar(t, F.avg(F.col("q") / F.col("parents"))).alias("queue_mass"),
-        F.when(den > 0, num / den).otherwise(0.0).alias("weight_branch_corr"),
+        F.when(F.col("varied"), F.col("swk") / (F.sqrt("sww") * F.sqrt("skk"))).otherwise(0.0).alias("weight_branch_corr"),
         scalar(t, F.count(F.lit(1))).alias("trees"),
     )
 
