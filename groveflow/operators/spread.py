@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # groups whatever the data: the broadcast list of hot keys has a proven bound.
 HOT_PARTS = 1024
 SALTS = 64
+# Rows of one task where a whole table is sorted by a key.
+TASK_ROWS = 1 << 20
 
 # Helper columns of this module all start with this; callers' tables must not hold such names (they are refused, not overwritten).
 OWN = "__spread_"
@@ -80,6 +82,13 @@ def join_stats(df, stats, keys, row_key, sizes=None, salts=SALTS, how="inner", s
     return rows.drop("__spread_hot").join(copies, [*key, "__spread_salt"], how).drop("__spread_salt", "__spread_key")
 
 
+def in_tasks(df: DataFrame, keys: list[str], rows: int = TASK_ROWS) -> DataFrame:
+    """Spread rows by `keys` over so many tasks that each gets about `rows` of them, where the session's shuffle partitions
+    would give more: what a task sorts then does not grow with the table. Smaller tables stay as they are."""
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def hash_bucket(key: Column, digits: int = 3) -> Column:
     """Order bucket of an md5 text: its leading hex digits (16**digits even buckets)."""
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")

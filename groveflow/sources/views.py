@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.spread import in_tasks
+
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
@@ -28,12 +30,17 @@ def rollouts_by_source(spark, path) -> DataFrame:
     return rollouts(spark, path).join(sources, "uid")
 
 
+def lines(spark, path) -> DataFrame:
+    """Order lines, spread by order: the lines of an order are one task's, and a task has about a million of them."""
+    return in_tasks(table(spark, path, "lineitem"), ["l_orderkey"])
+
+
 def tokens(spark, path) -> DataFrame:
     """One token per order line. A sequence is bounded by the response length limit, so the window
     partition is one response."""
     seq = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     q = F.col("l_quantity")
-    return table(spark, path, "lineitem").select(
+    return lines(spark, path).select(
         F.col("l_orderkey").alias("rollout_id"),
         (F.row_number().over(seq) - 1).cast("bigint").alias("pos"),
         (-(F.col("l_discount") + F.sqrt(q) / 50)).alias("old_lp"),
@@ -96,7 +103,7 @@ def nodes(spark, path) -> DataFrame:
 def pilots(spark, path) -> DataFrame:
     """Pilot prefixes of a node: the lines of an order (their number is bounded by the pilot count)."""
     seq = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, path, "lineitem").select(
+    return lines(spark, path).select(
         F.col("l_orderkey").alias("node_id"),
         (F.row_number().over(seq) - 1).cast("bigint").alias("pilot"),
         (F.col("l_quantity") / 10).alias("level"),
