@@ -4,7 +4,7 @@ The pilots of a node are bounded by the configured pilot count; nodes are not. O
 over one small array per node, evaluated inside the executor JVM.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sample_key, tanh_distance, value_gap_bound
@@ -15,30 +15,32 @@ def pair_distances(support: DataFrame) -> DataFrame:
     """Distance of pilots i < j, averaged over the continuations that come from i or j.
 
     Every such continuation has one of the two as its origin, so the origin's row meets the other pilots'
-    rows of the same continuation: pilots x continuations rows instead of pairs x continuations.
+    rows of the same continuation: pilots x continuations rows instead of pairs x continuations. They meet in a window
+    inside the node, so rows that are already spread by node move no further.
     """
-    own = support.where("pilot = origin").select("node_id", "support", F.col("pilot").alias("o"), F.col("logp").alias("lo"))
-    other = support.where("pilot <> origin").select("node_id", "support", F.col("pilot").alias("p"), F.col("logp").alias("lp"))
-    pairs = own.join(other, ["node_id", "support"]).select(
-        "node_id", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), tanh_distance(F.col("lo"), F.col("lp")).alias("d")
+    own = F.max(F.when(F.col("pilot") == F.col("origin"), F.col("logp"))).over(Window.partitionBy("node_id", "support"))
+    rows = support.withColumn("lo", own).where("pilot <> origin AND lo IS NOT NULL")
+    pairs = rows.select(
+        "node_id", F.least("origin", "pilot").alias("i"), F.greatest("origin", "pilot").alias("j"), tanh_distance(F.col("lo"), F.col("logp")).alias("d")
     )
     return pairs.groupBy("node_id", "i", "j").agg(F.avg("d").alias("tv")).where("tv IS NOT NULL")
 
 
 def pair_distances_all(support: DataFrame, half: bool = True) -> DataFrame:
-    """Legacy distance over all continuations: (half of) the summed absolute probability difference."""
-    a = support.select("node_id", "support", F.col("pilot").alias("i"), F.exp("logp").alias("pi"))
-    b = support.select("node_id", "support", F.col("pilot").alias("j"), F.exp("logp").alias("pj"))
+    """Legacy distance over all continuations: (half of) the summed absolute probability difference. A continuation's rows
+    (one a pilot, bounded by the pilot count) meet in a window inside the node."""
+    entry = F.struct(F.col("pilot").alias("j"), F.exp("logp").alias("pj"))
+    rows = support.withColumn("all", F.collect_list(entry).over(Window.partitionBy("node_id", "support")))
+    rows = rows.select("node_id", F.col("pilot").alias("i"), F.exp("logp").alias("pi"), F.inline(F.filter("all", lambda e: e["j"] > F.col("pilot"))))
     tv = F.sum(F.abs(F.col("pi") - F.col("pj"))) * (0.5 if half else 1.0)
-    return a.join(b, ["node_id", "support"]).where("i < j").groupBy("node_id", "i", "j").agg(tv.alias("tv"))
+    return rows.groupBy("node_id", "i", "j").agg(tv.alias("tv"))
 
 
 def softmax_distances(support: DataFrame) -> DataFrame:
     """Half the L1 distance of the normalised likelihood rows of two pilots."""
-    norm = support.groupBy("node_id", "pilot").agg(F.max("logp").alias("m"))
-    rows = support.join(norm, ["node_id", "pilot"]).withColumn("e", F.exp(F.col("logp") - F.col("m")))
-    total = rows.groupBy("node_id", "pilot").agg(F.sum("e").alias("z"))
-    rows = rows.join(total, ["node_id", "pilot"]).select("node_id", "pilot", "support", F.log(F.col("e") / F.col("z")).alias("logp"))
+    row = Window.partitionBy("node_id", "pilot")
+    rows = support.withColumn("e", F.exp(F.col("logp") - F.max("logp").over(row)))
+    rows = rows.withColumn("z", F.sum("e").over(row)).select("node_id", "pilot", "support", F.log(F.col("e") / F.col("z")).alias("logp"))
     return pair_distances_all(rows)
 
 
@@ -78,26 +80,23 @@ def terminal_dispersion(pilots: DataFrame, pairs: DataFrame, **bound) -> DataFra
     )
 
 
-def pair_map(pairs: DataFrame) -> DataFrame:
-    """All pair distances of a node in one map keyed `i_j` (bounded by the pilot count squared)."""
-    key = F.concat_ws("_", "i", "j")
-    return pairs.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("tv")))).alias("tv"))
-
-
-def _distance(tv: Column, i: Column, j: Column) -> Column:
-    lo, hi = F.least(i, j), F.greatest(i, j)
-    return F.coalesce(F.try_element_at(tv, F.concat_ws("_", lo, hi)), F.lit(float("inf")))
+def with_near(pilots: DataFrame, pairs: DataFrame, near: Column) -> DataFrame:
+    """Per node the pilots in order (`members`) and the pairs (i, j) of them that are near (bounded by the pilot count squared)."""
+    m = pilots.groupBy("node_id").agg(F.sort_array(F.collect_list("pilot")).alias("members"))
+    n = pairs.where(near).groupBy("node_id").agg(F.collect_list(F.struct("i", "j")).alias("near"))
+    return m.join(n, "node_id", "left").withColumn("near", F.coalesce("near", F.array().cast(n.schema["near"].dataType)))
 
 
-def star_fold(members: Column, near) -> Column:
+def star_fold(members: Column, near: Column) -> Column:
     """In order, a member joins the first representative it is near to, else it founds a group.
     Returns struct(reps, group): representatives and the group number of every member."""
     zero = F.struct(F.array().cast("array<bigint>").alias("reps"), F.array().cast("array<int>").alias("group"))
 
     def step(acc, x):
-        hit = F.array_position(F.transform(acc["reps"], lambda r: near(r, x)), True)
-        reps = F.when(hit == 0, F.array_append(acc["reps"], x)).otherwise(acc["reps"])
-        num = F.when(hit == 0, F.size(acc["reps"])).otherwise(hit - 1).cast("int")
+        # representatives ascend like the members, so the first one is the smallest
+        first = F.array_min(F.transform(F.filter(near, lambda e: (e["j"] == x) & F.array_contains(acc["reps"], e["i"])), lambda e: e["i"]))
+        reps = F.when(first.isNull(), F.array_append(acc["reps"], x)).otherwise(acc["reps"])
+        num = F.when(first.isNull(), F.size(acc["reps"])).otherwise(F.array_position(acc["reps"], first) - 1).cast("int")
         return F.struct(reps.alias("reps"), F.array_append(acc["group"], num).alias("group"))
 
     return F.aggregate(members, zero, step)
@@ -105,33 +104,37 @@ def star_fold(members: Column, near) -> Column:
 
 def star_clusters(pilots: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Clusters of near-duplicate pilots around representatives: (node_id, pilot, cluster, is_rep)."""
-    m = pilots.groupBy("node_id").agg(F.sort_array(F.collect_list("pilot")).alias("members"))
-    m = m.join(pair_map(pairs), "node_id", "left").withColumn("tv", F.coalesce("tv", F.create_map().cast("map<string,double>")))
-    m = m.withColumn("f", star_fold(F.col("members"), lambda r, x: _distance(F.col("tv"), r, x) < threshold))
+    m = with_near(pilots, pairs, F.col("tv") < threshold).withColumn("f", star_fold(F.col("members"), F.col("near")))
     rows = m.select("node_id", "f.reps", F.inline(F.arrays_zip(F.col("members").alias("pilot"), F.col("f.group").alias("cluster"))))
     return rows.select("node_id", "pilot", "cluster", F.array_contains("reps", F.col("pilot")).alias("is_rep"))
 
 
 def cluster_weights(clusters: DataFrame) -> DataFrame:
     """Multiplicity of the cluster and weight of its representative = size / pilots of the node."""
-    size = clusters.groupBy("node_id", "cluster").agg(F.count(F.lit(1)).alias("multiplicity"))
-    total = clusters.groupBy("node_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = clusters.join(size, ["node_id", "cluster"]).join(total, "node_id")
+    rows = clusters.withColumns(
+        {
+            "multiplicity": F.count(F.lit(1)).over(Window.partitionBy("node_id", "cluster")),
+            "total": F.count(F.lit(1)).over(Window.partitionBy("node_id")),
+        }
+    )
     return rows.withColumn("rep_weight", F.when(F.col("is_rep"), F.col("multiplicity") / F.col("total"))).drop("total")
 
 
 def unique_pilots(pilots: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Survivors after dropping, again and again, the pilot with most near duplicates (larger index on ties)."""
-    m = pilots.groupBy("node_id").agg(F.sort_array(F.collect_list("pilot")).alias("members"))
-    m = m.join(pair_map(pairs), "node_id", "left").withColumn("tv", F.coalesce("tv", F.create_map().cast("map<string,double>")))
-    near = lambda i, j: (i != j) & (_distance(F.col("tv"), i, j) < threshold)
-
-    def drop_one(alive, _):
-        degree = F.transform(alive, lambda i: F.struct(F.size(F.filter(alive, lambda j: near(i, j))).alias("d"), i.alias("i")))
-        worst = F.array_max(degree)
-        return F.when(worst["d"] > 0, F.filter(alive, lambda i: i != worst["i"])).otherwise(alive)
-
-    m = m.withColumn("alive", F.aggregate("members", F.col("members"), drop_one))
+    m = with_near(pilots, pairs, F.col("tv") < threshold)
+    known = F.filter("near", lambda e: F.array_contains("members", e["i"]) & F.array_contains("members", e["j"]))
+
+    def drop_one(acc, _):
+        left = acc["left"]
+        degree = lambda x: F.struct(F.size(F.filter(left, lambda e: (e["i"] == x) | (e["j"] == x))).alias("d"), x.alias("i"))
+        ends = F.concat(F.transform(left, lambda e: e["i"]), F.transform(left, lambda e: e["j"]))
+        worst = F.array_max(F.transform(ends, degree))["i"]
+        fewer = F.filter(left, lambda e: (e["i"] != worst) & (e["j"] != worst))
+        return F.when(F.size(left) > 0, F.struct(fewer.alias("left"), F.array_append(acc["gone"], worst).alias("gone"))).otherwise(acc)
+
+    zero = F.struct(known.alias("left"), F.array().cast("array<bigint>").alias("gone"))
+    m = m.withColumn("alive", F.when(F.size("near") > 0, F.array_except("members", F.aggregate("members", zero, drop_one)["gone"])).otherwise(F.col("members")))
     return m.select("node_id", F.explode("alive").alias("pilot"))
 
 
@@ -152,9 +155,7 @@ def reuse_candidates(kept: DataFrame, k: int, seed: int = 0) -> DataFrame:
 def share_targets(siblings: DataFrame, pairs: DataFrame, radius: float, limit: float) -> DataFrame:
     """A sibling is shared with the first earlier sibling that still expands and lies within the limit; a
     shared sibling is no target. Same fold as the clusters with its own closeness test."""
-    m = siblings.groupBy("node_id").agg(F.sort_array(F.collect_list("pilot")).alias("members"))
-    m = m.join(pair_map(pairs), "node_id", "left").withColumn("tv", F.coalesce("tv", F.create_map().cast("map<string,double>")))
-    m = m.withColumn("f", star_fold(F.col("members"), lambda r, x: _distance(F.col("tv"), r, x) + radius <= limit))
+    m = with_near(siblings, pairs, F.col("tv") + radius <= limit).withColumn("f", star_fold(F.col("members"), F.col("near")))
     rows = m.select("node_id", F.col("f.reps").alias("reps"), F.inline(F.arrays_zip(F.col("members").alias("pilot"), F.col("f.group").alias("g"))))
     rep = F.element_at("reps", F.col("g") + 1)
     return rows.select(
