@@ -1,6 +1,13 @@
 """Sinks: step dumps, accounting tables, statistics files, verified prompt tables."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialise
+
+# Flushes of a run that share a folder.
+FLUSHES = 1024
 
 
 def step_dump(df: DataFrame, path: str) -> None:
@@ -18,9 +25,27 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def append_flush(df: DataFrame, path: str) -> None:
-    """Records of flushes below their run and flush; a flush that is written again replaces itself."""
-    replace_partitions(df, path, ["run_id", "flush_id"])
+def append_flush(df: DataFrame, path: str, block: int = FLUSHES) -> None:
+    """Records of flushes below their run; a flush that is written again replaces itself.
+
+    A folder holds `block` consecutive flushes of a run, so folders and files grow far slower than flushes. Folders that are
+    written into again keep the flushes that `df` does not hold: those are copied aside first, then both replace the folder.
+    """
+    spark = df.sparkSession
+    keys, folder = ["run_id", "flush_id"], ["run_id", "flush_block"]
+    # the rows are used three times: a stored copy is the same each time
+    new = materialise(df.withColumn("flush_block", F.floor(F.col("flush_id") / block)), "flushes")
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    if old is not None:
+        touched, mine = new.select(*folder).distinct(), new.select(*keys).distinct()
+        kept = old.join(F.broadcast(touched), folder, "left_semi").join(mine, keys, "left_anti")
+        new = new.unionByName(materialise(kept.select(*new.columns), "kept"))
+    replace_partitions(new.repartition(*folder), path, folder)
 
 
 def statistics_csv(df: DataFrame, path: str) -> None:
