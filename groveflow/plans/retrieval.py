@@ -37,7 +37,8 @@ def stated(spark, path):
 def approximate(spark, path):
     corpus, q = stated(spark, path)
     projection = LSH.fit(corpus)
-    return LSH.approximate_top_k(q, LSH.write_index(corpus, projection), corpus, 10, projection)
+    probes = LSH.needed_probes(q, corpus, 10, projection)
+    return LSH.approximate_top_k(q, LSH.write_index(corpus, projection), corpus, 10, projection, probes)
 
 
 @query("j10_approximate_top_k")
