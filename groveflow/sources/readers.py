@@ -39,12 +39,24 @@ def tree_files(spark: SparkSession, root: str, schema: str) -> DataFrame:
     unwrapped, unreadable files are skipped.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    number = F.regexp_extract("file", r"(?:/|tree=)(\d+)(?:\.json|/part-[^/]*)$", 1).try_cast("int")
+    return _trees(raw.select("file", number.alias("tree"), "value"), schema)
+
+
+def tree_packs(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The same trees from files that hold many of them (`writers.tree_packs`): one line per tree, with its number and its
+    document as a string. Files then grow with the bytes, not with the trees; a number that is missing is -1."""
+    raw = spark.read.schema("tree int, doc string").option("recursiveFileLookup", True).json(root).withColumn("file", F.col("_metadata.file_path"))
+    return _trees(raw.select("file", "tree", F.col("doc").alias("value")), schema)
+
+
+def _trees(raw: DataFrame, schema: str) -> DataFrame:
+    """Parsed documents (file, tree, value); the iteration comes from the path."""
     inner = F.from_json(F.concat(F.lit('{"s":'), F.col("value"), F.lit("}")), "s string")["s"]
     doc = F.when(F.ltrim("value").startswith('"'), inner).otherwise(F.col("value"))
-    num = lambda p: F.regexp_extract("file", p, 1).try_cast("int")
     rows = raw.select(
-        num(r"iteration[_=](\d+)").alias("iteration"),
-        F.coalesce(num(r"(?:/|tree=)(\d+)(?:\.json|/part-[^/]*)$"), F.lit(-1)).alias("tree_index"),
+        F.regexp_extract("file", r"iteration[_=](\d+)", 1).try_cast("int").alias("iteration"),
+        F.coalesce("tree", F.lit(-1)).alias("tree_index"),
         F.from_json(doc, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("tree"),
     )
     return rows.where(F.col("tree").isNotNull() & F.col("tree._bad").isNull() & F.col("iteration").isNotNull())

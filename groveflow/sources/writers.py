@@ -15,6 +15,12 @@ def step_dump(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("step").json(path)
 
 
+def tree_packs(df: DataFrame, path: str) -> None:
+    """Trees (iteration, tree, doc) below per-iteration folders, one JSON line per tree: a task writes one file per iteration,
+    where a file per tree would make the driver list and move as many files as there are trees."""
+    df.select("iteration", "tree", "doc").write.partitionBy("iteration").json(path)
+
+
 def append_artifacts(df: DataFrame, path: str) -> None:
     """Append accounting, flush or manifest records below their run."""
     df.write.mode("append").partitionBy("run_id").parquet(path)
