@@ -1,5 +1,8 @@
 """Preference pairs and ranking measures. Pairs of an unbounded group are counted, never listed."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,6 +10,9 @@ from ..functions.numeric import sample_key, sigmoid, stable_id
 from ..session import materialise
 from .spread import attach_stats, hash_bucket, join_stats, ranked, running_sum, value_bucket, value_counts
 
+# Rows of one task where pairs are counted in the order of their ranks.
+RANKED_ROWS = 1 << 18
+
 
 def sample_pairs(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """At most k accept x reject pairs per question from (question_id, item, accept).
@@ -80,19 +86,20 @@ def ranking_accuracy(df: DataFrame) -> DataFrame:
     return run.groupBy("uid").agg(F.coalesce(hits / F.nullif(pairs, F.lit(0)), F.lit(0.5)).alias("accuracy"))
 
 
-def gap_sums(df: DataFrame, keys: list[str], value: str, parts: int = 256) -> DataFrame:
-    """Sum of the differences of `value` over all pairs of a group (keys, total), from running counts of distinct values."""
-    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+def gap_sums(df: DataFrame, keys: list[str], value: str, parts: int = 256, weight: str | None = None) -> DataFrame:
+    """Sum of the differences of `value` over all pairs of a group (keys, total), from running counts of distinct values.
+    `weight`: how many rows a row stands for."""
+    levels = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     v, c = F.col(value), F.col("c")
     run = running_sum(levels, keys, [v], value_bucket(levels, v, parts), {"upto": c, "mass": c * v})
     return run.groupBy(*keys).agg(F.sum(c * (v * (F.col("upto") - c) - (F.col("mass") - c * v))).alias("total"))
 
 
-def dominance_sums(df: DataFrame, keys: list[str], rank: str, value: str, size: str, parts: int = 256) -> DataFrame:
+def dominance_sums(df: DataFrame, keys: list[str], rank: str, value: str, size: str, parts: int = 256, weight: str | None = None) -> DataFrame:
     """Sum of (value_h - value_l) over the pairs of a group that `rank` and `value` order alike: rank_l < rank_h and
     value_l < value_h. Two-dimensional dominance, without pair rows: (keys, alike).
 
-    rank: 0 .. size - 1 in the group. Two ranks differ first in one binary digit; at that digit's level both stand in the
+    rank: 0 .. size - 1 in the group; `weight`: how many rows a row stands for. Two ranks differ first in one binary digit; at that digit's level both stand in the
     block of equal higher digits, the lower in its left half, the higher in its right. So each pair belongs to one block of
     one level, and a block needs only running counts and sums of its left half over the distinct values. A row takes part
     in at most log2(size) levels, those where its block has a right half. Blocks are pre-aggregated by value, and their
@@ -100,18 +107,78 @@ def dominance_sums(df: DataFrame, keys: list[str], rank: str, value: str, size:
     """
     r, n = F.col(rank), F.col(size)
     levels = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda d: F.call_function("shiftright", n - 1, d) > 0)
-    rows = df.where(n > 1).select(*keys, r.alias("r"), n.alias("n"), F.col(value).alias("v"), F.explode(levels).alias("digit"))
+    rows = df.where(n > 1).select(*keys, r.alias("r"), n.alias("n"), F.col(value).alias("v"), (F.col(weight) if weight else F.lit(1)).alias("w"), F.explode(levels).alias("digit"))
     block = F.expr("shiftright(r, digit + 1)")
     right = F.expr("shiftright(r, digit) & 1")
     rows = rows.withColumn("block", block).where(F.expr("shiftleft(block, digit + 1) + shiftleft(1L, digit) <= n - 1"))
     inner = [*keys, "digit", "block"]
-    cells = rows.groupBy(*inner, "v").agg(F.sum(1 - right).alias("left"), F.sum(right).alias("right"))
+    cells = rows.groupBy(*inner, "v").agg(F.sum((1 - right) * F.col("w")).alias("left"), F.sum(right * F.col("w")).alias("right"))
     v, left = F.col("v"), F.col("left")
     run = running_sum(cells, inner, [v], value_bucket(df.select(F.col(value).alias("v")), F.col("v"), parts), {"count": left, "mass": left * v})
     # values are distinct in a block, so what the cell itself adds counts as equal: (v - v) * left = 0
     return run.groupBy(*keys).agg(F.sum(F.col("right") * (v * F.col("count") - F.col("mass"))).alias("alike"))
 
 
+def _alike(group: np.ndarray, value: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the pairs of rows of each group: of (later - earlier) value where the later is larger, and of all differences.
+
+    group: ascending numbers below `groups`. Rows stand for their ranks; two of them differ first in one binary digit, as in
+    `dominance_sums`. Values are taken from the group's least and by its range, so that groups do not touch each other's digits.
+    """
+    alike, total = np.zeros(groups), np.zeros(groups)
+    if not len(group):
+        return alike, total
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(begin, len(group)))
+    start, many = np.repeat(begin, size), np.repeat(size, size)
+    at = np.arange(len(group)) - start
+    least = np.minimum.reduceat(value, begin)
+    width = np.ldexp(1.0, np.frexp(np.maximum.reduceat(value, begin) - least)[1])  # a power of two: no digit is lost
+    v = (value - np.repeat(least, size)) / np.repeat(width, size)
+    order, digit = np.lexsort((v, group)), 0
+    while True:
+        order = order[many[order] > 1 << digit]  # groups with a right half at this digit
+        if not len(order):
+            break
+        block = (start + (at >> digit + 1))[order]
+        rows = order[np.argsort(block, kind="stable")]
+        block, right = np.sort(block), (at[rows] >> digit) & 1
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        each = np.diff(np.append(first, len(block)))
+        below = lambda x: np.cumsum(x) - np.repeat((np.cumsum(x) - x)[first], each)  # noqa: E731  running sums inside blocks
+        gain = right * (v[rows] * below(1 - right) - below((1 - right) * v[rows]))
+        alike += np.bincount(group[rows], gain, groups)
+        digit += 1
+    net = np.bincount(group, v * (2 * at - (many - 1)), groups)  # later minus earlier, over all pairs
+    scale = np.zeros(groups)
+    scale[group[begin]] = width
+    return alike * scale, (2 * alike - net) * scale
+
+
+def _pair_sums(batches):
+    """The sums of the groups of a task whose rows come in the order of (uid, rank). The first and the last group may go on in
+    other tasks: their `total` stays null, and the task's counts of their values follow as cells (seg, v, c)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    names = pa.concat_arrays(rows.column("uid").chunks).dictionary_encode("encode")  # a null uid is one like any other
+    code, known = names.indices.to_numpy(), rows.column("known").to_numpy()
+    groups, acc = len(names.dictionary), rows.column("acc").to_numpy()[known]
+    alike, total = _alike(code[known], acc, groups)
+    edge = np.zeros(groups, bool)
+    edge[[0, -1]] = True
+    fields = ["uid", "seg", "v", "c", "alike", "total"]
+    kinds = [names.dictionary.type, pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+    none = [pa.nulls(groups, k) for k in kinds]
+    yield pa.RecordBatch.from_arrays([names.dictionary, *none[1:4], pa.array(alike), pa.array(total, mask=edge)], names=fields)
+    for g in np.flatnonzero(edge):
+        values, counts = np.unique(acc[code[known] == g], return_counts=True)
+        none = [pa.nulls(len(values), k) for k in kinds]
+        uid = names.dictionary.take(pa.array(np.full(len(values), g)))
+        yield pa.RecordBatch.from_arrays([uid, pa.array(np.full(len(values), TaskContext.get().partitionId(), np.int64)), pa.array(values), pa.array(counts.astype(np.int64)), *none[4:]], names=fields)
+
+
 def weighted_ranking_accuracy(df: DataFrame) -> DataFrame:
     """Share of a prompt's pairs that the score ranks like the accuracy, weighted by the pair's difference in accuracy; 0.5
     where no pair differs. (uid, accuracy) from (uid, rollout_id, score, acc) with soft accuracies.
@@ -119,21 +186,25 @@ def weighted_ranking_accuracy(df: DataFrame) -> DataFrame:
     A pair of equal scores counts as ranked right if the more accurate rollout stands later (by rollout_id). That is the
     order of (score, rollout_id), so the right pairs are those which that order and the accuracy order alike. Rows without
     score or accuracy take no part.
+
+    All rows are sorted by range of (uid, score, rollout_id), about RANKED_ROWS a task, which counts the pairs inside it. At
+    most two prompts of a task go on in others; pairs of theirs across tasks come from counts of each task's distinct values.
     """
-    every = df.select("uid").distinct()
-    known = df.where("score IS NOT NULL AND acc IS NOT NULL").select("uid", "rollout_id", F.col("score").cast("double").alias("score"), F.col("acc").cast("double").alias("acc"))
-    # equal scores may repeat without bound: scores are ranked by counts of distinct ones, then positions inside a score
-    levels = known.groupBy("uid", "score").agg(F.count(F.lit(1)).alias("c"))
-    below = running_sum(levels, ["uid"], [F.col("score")], value_bucket(levels, F.col("score")), {"upto": F.col("c")})
-    below = below.select("uid", "score", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("__n"))
-    inside = ranked(known, ["uid", "score"], [F.col("rollout_id")], value_bucket(known, F.col("rollout_id")), "at")
-    rows = join_stats(inside, below, ["uid", "score"], ["rollout_id"]).drop("__n")
-    rows = attach_stats(rows, ["uid"], {"size": F.count(F.lit(1))}, ["rollout_id"]).withColumn("rank", F.col("below") + F.col("at") - 1)
-    rows = materialise(rows.select("uid", "rank", "size", "acc"), "ranks")
-    alike, total = dominance_sums(rows, ["uid"], "rank", "acc", "size"), gap_sums(rows, ["uid"], "acc")
-    sums = total.join(alike.withColumnRenamed("uid", "__a"), F.col("uid").eqNullSafe(F.col("__a")), "left").withColumn("share", F.coalesce("alike", F.lit(0.0)) / F.nullif("total", F.lit(0.0)))
-    # null uid is a prompt like any other
-    return every.join(sums.select(F.col("uid").alias("__u"), "share"), F.col("uid").eqNullSafe(F.col("__u")), "left").select("uid", F.coalesce("share", F.lit(0.5)).alias("accuracy"))
+    score, acc = F.col("score").cast("double"), F.col("acc").cast("double")
+    known = score.isNotNull() & acc.isNotNull()
+    order = ["uid", "score", "rollout_id"]
+    rows = df.select("uid", "rollout_id", F.when(known, score).alias("score"), F.when(known, acc).otherwise(0.0).alias("acc"), known.alias("known"))
+    tasks = -(-rows.count() // RANKED_ROWS) or 1
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("uid", "acc", "known")
+    kind = df.schema["uid"].dataType.simpleString()
+    parts = materialise(rows.mapInArrow(_pair_sums, f"uid {kind}, seg bigint, v double, c bigint, alike double, total double"), "pairs")
+    cells = parts.where("c IS NOT NULL").select("uid", "seg", "v", "c", F.lit(tasks).cast("bigint").alias("size"))
+    across, gaps = dominance_sums(cells, ["uid"], "seg", "v", "size", weight="c"), gap_sums(cells, ["uid"], "v", weight="c")
+    split = parts.where("c IS NULL AND total IS NULL").select("uid", "alike").unionByName(across).unionByName(gaps, allowMissingColumns=True)
+    split = split.groupBy("uid").agg(F.sum("alike").alias("alike"), F.sum("total").alias("total"))
+    sums = parts.where("total IS NOT NULL").select("uid", "alike", "total").unionByName(split)
+    share = F.coalesce(F.col("alike"), F.lit(0.0)) / F.nullif("total", F.lit(0.0))
+    return sums.select("uid", F.coalesce(share, F.lit(0.5)).alias("accuracy"))
 
 
 def action_ranking(df: DataFrame) -> DataFrame:

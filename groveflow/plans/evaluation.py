@@ -213,17 +213,17 @@ def ranking_accuracy(spark, path):
     return P.ranking_accuracy(views.rollouts(spark, path)).select("uid", r6("accuracy").alias("accuracy"))
 
 
-def soft_rollouts(spark, path):
+def soft_rollouts(rollouts, uid="uid"):
     """Rollouts with an accuracy in ninths (of the price's cents) and a coarse score, so that both have ties."""
     cents = F.pmod(F.round(F.exp("score") * 100).cast("bigint"), F.lit(9))
-    return views.rollouts(spark, path).select("uid", "rollout_id", F.round("score", 1).alias("score"), (cents / 8.0).alias("acc"))
+    return rollouts.select(F.col(uid).alias("uid"), "rollout_id", F.round("score", 1).alias("score"), (cents / 8.0).alias("acc"))
 
 
 @query("j19_weighted_accuracy", f"""WITH s AS (SELECT o_custkey AS uid, o_orderkey AS rollout_id, round(ln(o_totalprice),1) AS score, (round(exp(ln(o_totalprice))*100)::BIGINT%9)/8.0::DOUBLE AS acc FROM orders),
   p AS (SELECT a.uid, sum(((a.score>b.score)=(a.acc>b.acc))::INT*abs(a.acc-b.acc)) AS good, sum(abs(a.acc-b.acc)) AS total FROM s a JOIN s b ON a.uid=b.uid AND a.rollout_id<b.rollout_id GROUP BY 1)
   SELECT uid, {R('coalesce(good/nullif(total,0),0.5)')} AS accuracy FROM (SELECT DISTINCT uid FROM s) LEFT JOIN p USING (uid)""")
 def weighted_accuracy(spark, path):
-    return P.weighted_ranking_accuracy(soft_rollouts(spark, path)).select("uid", r6("accuracy").alias("accuracy"))
+    return P.weighted_ranking_accuracy(soft_rollouts(views.rollouts(spark, path))).select("uid", r6("accuracy").alias("accuracy"))
 
 
 @query("j19_source_accuracy", f"""WITH {SOURCED}, s AS (SELECT data_source AS uid, rollout_id, round(score,1) AS score, (round(exp(score)*100)::BIGINT%9)/8.0::DOUBLE AS acc FROM sourced),
@@ -231,8 +231,7 @@ def weighted_accuracy(spark, path):
   SELECT uid AS data_source, {R('coalesce(good/nullif(total,0),0.5)')} AS accuracy FROM (SELECT DISTINCT uid FROM s) LEFT JOIN p USING (uid)""")
 def source_accuracy(spark, path):
     """The same over whole sources: a few groups that hold all rows."""
-    sources = views.rollouts_by_source(spark, path).select("rollout_id", "data_source")
-    rows = soft_rollouts(spark, path).drop("uid").join(sources, "rollout_id").withColumnRenamed("data_source", "uid")
+    rows = soft_rollouts(views.rollouts_by_source(spark, path), "data_source")
     return P.weighted_ranking_accuracy(rows).select(F.col("uid").alias("data_source"), r6("accuracy").alias("accuracy"))
 
 
