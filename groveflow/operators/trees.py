@@ -18,6 +18,9 @@ from .spread import first_k, hash_bucket, join_stats, ranked, running_sum, scala
 
 CUT_EVERY = 4
 
+# Levels of a document that one table holds.
+STEP = 8
+
 
 def node_schema(depth: int) -> T.StructType:
     """Schema of a nested tree document of bounded depth; deeper children stay JSON text."""
@@ -32,45 +35,40 @@ def node_schema(depth: int) -> T.StructType:
 
 
 def flatten_trees(docs: DataFrame, depth: int) -> DataFrame:
-    """Node rows from nested JSON documents (tree_id, doc), one explode per level.
+    """Node rows from nested JSON documents (tree_id, doc): each is made and parsed once, and its nodes leave in one explode.
 
     `pre_order` sorts like a stack walk: the child positions from the root. `cut_off` marks nodes whose
     children lie below the schema depth; the caller sends such trees to quarantine or raises the depth.
     """
-    level = docs.select(
-        "tree_id",
-        F.from_json("doc", node_schema(depth)).alias("n"),
-        F.lit(None).cast("string").alias("parent_id"),
-        F.array(F.lit(0)).alias("pre_order"),
-    )
-    out = []
-    for d in range(depth + 1):
+    def walk(n: Column, parent: Column, pre: Column, d: int) -> Column:
         last = d == depth
-        out.append(
-            level.select(
-                "tree_id",
-                (F.when(F.col("n.children").isNotNull(), F.raise_error(F.lit("a tree is deeper than the schema"))).otherwise(F.col("n.id")) if last else F.col("n.id")).alias("node_id"),
-                "parent_id",
-                F.lit(d).alias("depth"),
-                "pre_order",
-                F.col("n.text").alias("text"),
-                F.col("n.reward").alias("reward"),
-                F.col("n.finish_reason").alias("finish_reason"),
-                (F.col("n.children").isNotNull() if last else F.lit(False)).alias("cut_off"),
-            )
+        row = F.struct(
+            (F.when(n["children"].isNotNull(), F.raise_error(F.lit("a tree is deeper than the schema"))).otherwise(n["id"]) if last else n["id"]).alias("node_id"),
+            parent.alias("parent_id"),
+            F.lit(d).alias("depth"),
+            pre.alias("pre_order"),
+            n["text"].alias("text"),
+            n["reward"].alias("reward"),
+            n["finish_reason"].alias("finish_reason"),
+            (n["children"].isNotNull() if last else F.lit(False)).alias("cut_off"),
         )
-        if not last:
-            level = level.select(
-                "tree_id", F.posexplode("n.children").alias("i", "c"), F.col("n.id").alias("parent_id"), "pre_order"
-            ).select("tree_id", F.col("c").alias("n"), "parent_id", F.array_append("pre_order", F.col("i")).alias("pre_order"))
-    return reduce(DataFrame.unionByName, out)
+        return F.array(row) if last else _and_below(row, n["children"], lambda c, i: walk(c, n["id"], F.array_append(pre, i), d + 1))
+
+    parsed = docs.select("tree_id", F.from_json("doc", node_schema(depth)).alias("n"))
+    return parsed.select("tree_id", F.inline(walk(F.col("n"), F.lit(None).cast("string"), F.array(F.lit(0)), 0)))
+
+
+def _and_below(row: Column, children: Column, walk) -> Column:
+    """Array of a node's row and those that `walk(child, position)` gives for its children."""
+    return F.concat(F.array(row), F.coalesce(F.flatten(F.transform(children, walk)), F.array()))
 
 
 def flatten_any_depth(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node rows of nested JSON documents (tree_id, doc) of any depth, and the documents that are set aside.
 
-    Documents are parsed once into variants; each level is a table (node columns and the children, still variants), and the
-    next one explodes its children, until no node has any. The number of jobs is the depth of the deepest tree.
+    Documents are parsed once into variants; STEP levels are a table (node columns and, of the lowest level, the children,
+    still variants), and the next one explodes those children, until no node has any. The number of jobs is the depth of the
+    deepest tree over STEP.
     Nodes: tree_id, node_id, parent_id, depth, pre_order (positions from the root: sorts like a stack walk), text, reward,
     finish_reason; fields of another type are null. Set aside (tree_id, doc, reason): broken JSON, documents that are no
     object, null documents, and trees in which `children` of some node is no list; none of these has node rows.
@@ -80,22 +78,29 @@ def flatten_any_depth(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.col("doc").isNull(), "no document").when(F.col("v").isNull(), "broken JSON").when(~F.startswith(kind, F.lit("OBJECT")), "no object")
     parsed = materialise(parsed.withColumn("reason", reason).withColumn("row", F.monotonically_increasing_id()), "documents")
     kids = lambda v: F.try_variant_get(v, "$.children", "array<variant>")
-    listed = lambda v: F.try_variant_get(v, "$.children", "variant").isNull() | kids(v).isNotNull() | F.is_variant_null(F.try_variant_get(v, "$.children", "variant"))
+    # list or absent; the second look copies no list
+    listed = lambda v, below: below.isNotNull() | F.try_variant_get(v, "$.children", "variant").isNull() | F.is_variant_null(F.try_variant_get(v, "$.children", "variant"))
 
-    def level_of(rows: DataFrame, depth: int) -> DataFrame:
-        v = F.col("v")
+    def walk(v: Column, parent: Column, pre: Column, depth: int, left: int) -> Column:
         fields = {"node_id": ("$.id", "string"), "text": ("$.text", "string"), "reward": ("$.reward", "double"), "finish_reason": ("$.finish_reason", "string")}
-        got = rows.select(
-            "row", "tree_id", "parent_id", F.lit(depth).alias("depth"), "pre_order", *[F.try_variant_get(v, p, k).alias(n) for n, (p, k) in fields.items()],
-            kids(v).alias("kids"), listed(v).alias("listed"),
-        )
+        got = {n: F.try_variant_get(v, p, k) for n, (p, k) in fields.items()}
+
+        def nodes(below: Column) -> Column:
+            rest = F.lit(None).cast("array<variant>") if left else below
+            row = F.struct(parent.alias("parent_id"), F.lit(depth).alias("depth"), pre.alias("pre_order"), *[c.alias(n) for n, c in got.items()], rest.alias("kids"), listed(v, below).alias("listed"))
+            return _and_below(row, below, lambda c, i: walk(c, got["node_id"], F.array_append(pre, i), depth + 1, left - 1)) if left else F.array(row)
+
+        return F.transform(F.array(kids(v)), nodes)[0]  # the children, which are copied out of their parent, once
+
+    def level_of(rows: DataFrame, depth: int) -> DataFrame:
+        got = rows.select("row", "tree_id", F.inline(walk(F.col("v"), F.col("parent_id"), F.col("pre_order"), depth, STEP - 1)))
         return materialise(got.withColumn("n_kids", F.coalesce(F.size("kids"), F.lit(0))), "level")
 
     roots = parsed.where("reason IS NULL").select("row", "tree_id", "v", F.lit(None).cast("string").alias("parent_id"), F.array(F.lit(0)).alias("pre_order"))
     levels = [level_of(roots, 0)]
     while not (open_ := levels[-1].where("n_kids > 0")).isEmpty():
         below = open_.select("row", "tree_id", F.col("node_id").alias("parent_id"), "pre_order", F.posexplode("kids").alias("at", "v"))
-        levels.append(level_of(below.withColumn("pre_order", F.array_append("pre_order", F.col("at"))), len(levels)))
+        levels.append(level_of(below.withColumn("pre_order", F.array_append("pre_order", F.col("at"))), STEP * len(levels)))
     nodes = reduce(DataFrame.unionByName, [x.drop("kids", "n_kids") for x in levels])
     odd = nodes.where("NOT listed").select("row").distinct()
     set_aside = parsed.where("reason IS NOT NULL").select("tree_id", "doc", "reason").unionByName(
