@@ -9,6 +9,7 @@ later than the delay are dropped by Spark. All operators need the RocksDB state
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import FractionalType, IntegralType, StructType
 
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+PACK = 4096  # waiting rows in one element of the state
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -28,8 +30,21 @@ def rocksdb(spark: SparkSession) -> None:
         spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _plain(column: pd.Series, kind) -> list:
+    """Python values, null as None: whole numbers come as floats where the batch holds a null, and must not go on as such."""
+    values = column.tolist()
+    if column.hasnans:
+        return [None if pd.isna(x) else kind(x) if kind else x for x in values]
+    return list(map(kind, values)) if kind else values
+
+
+def _packs(rows: list[tuple]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[at : at + PACK]),) for at in range(0, len(rows), PACK)]
+
+
 class Ordered(StatefulProcessor):
-    """Keeps rows (at_ms first, then `order`) until the watermark has passed them.
+    """Keeps rows (at_ms first, then `order`) until the watermark has passed them. Waiting rows are stored in packs of at most
+    PACK, pickled tuples in the order of `columns`: every element of a state costs a call and a conversion.
 
     Subclasses give `columns` (of a stored row: at_ms bigint and what they need) and `out` (columns of a result row), and
     say what `take(row)` does, when they want to be woken (`deadline()`) and what happens then (`expire(now)`); both methods
@@ -43,7 +58,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.open(handle)
 
     def open(self, handle) -> None: ...
@@ -68,20 +83,20 @@ class Ordered(StatefulProcessor):
             self.handle.registerTimer(int(min(times)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, got = None, []
         for part in rows:
             if len(part):
-                # whole numbers come as floats where the batch holds a null, and must not go into the state as such
-                rows_ = part[self.names].astype(object).itertuples(index=False, name=None)
-                self.waiting.appendList([tuple(None if pd.isna(x) else kind(x) if kind else x for kind, x in zip(self.kinds, r)) for r in rows_])
+                got += zip(*(_plain(part[c], kind) for c, kind in zip(self.names, self.kinds)))
                 least = int(part["at_ms"].min())
                 first = least if first is None else min(first, least)
+        if got:
+            self.waiting.appendList(_packs(got))
         self._wake([first])
-        yield pd.DataFrame([], columns=self.out)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [dict(zip(self.names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = [dict(zip(self.names, r)) for (pack,) in self.waiting.get() for r in pickle.loads(pack)]
         due = sorted((r for r in rows if r["at_ms"] <= now), key=self.order)
         later = [r for r in rows if r["at_ms"] > now]
         self.load(key)
@@ -91,12 +106,13 @@ class Ordered(StatefulProcessor):
             done += self.take(row)
         done += self.expire(now)
         if later:
-            self.waiting.put([tuple(r[c] for c in self.names) for r in later])
-        else:
+            self.waiting.put(_packs([tuple(r[c] for c in self.names) for r in later]))
+        elif rows:
             self.waiting.clear()
         self.store()
         self._wake([min((r["at_ms"] for r in later), default=None), self.deadline()], now)
-        yield pd.DataFrame(done, columns=self.out)
+        if done:
+            yield pd.DataFrame(done, columns=self.out)
 
     @staticmethod
     def order(row: dict):
@@ -216,7 +232,8 @@ class _Idle(Ordered):
         return row["at_ms"], row["iteration"]
 
     def load(self, key) -> None:
-        self.key, self.now = key, tuple(self.state.get()) if self.state.exists() else None
+        now = self.state.get()
+        self.key, self.now = key, tuple(now) if now is not None else None
 
     def store(self) -> None:
         self.state.update(self.now) if self.now else self.state.clear()
